@@ -14,11 +14,12 @@ def _lookup(values: dict, key: Column) -> Column:
 def calendar_age_years(since: Column, as_of: Column) -> Column:
     """Completed anniversaries plus the fraction of the running year; negative if reversed."""
     early, late = F.least(since, as_of), F.greatest(since, as_of)
-    span = F.year(late) - F.year(early)
-    years = span - (F.add_months(early, span * 12) > late).cast("int")
+    # Whole months are counted to the clamped anniversary: 29 February ends on the 28th.
+    years = F.floor(F.months_between(late, early) / 12).cast("int")
     last, following = F.add_months(early, years * 12), F.add_months(early, years * 12 + 12)
     age = years + F.datediff(late, last) / F.datediff(following, last)
-    return F.when(since.isNull() | as_of.isNull(), None).when(as_of < since, -age).otherwise(age)
+    known = since.isNotNull() & as_of.isNotNull()
+    return F.when(known, age * F.when(as_of < since, -1.0).otherwise(1.0))
 
 
 def recency_class(age: Column) -> Column:

@@ -8,13 +8,14 @@ _WHITESPACE = (
     "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 _NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_TIME = r"([01][0-9]|2[0-3])(:?[0-5][0-9](:?[0-5][0-9]([.,][0-9]+)?)?)?"
-_OFFSET = r"([+-][0-9]{2}(:?[0-5][0-9](:?[0-5][0-9])?)?)?"
+_TIME = r"(?:[01][0-9]|2[0-3])(?::?[0-5][0-9](?::?[0-5][0-9](?:[.,][0-9]+)?)?)?"
+_OFFSET = r"(?:[+-][0-9]{2}(?::?[0-5][0-9](?::?[0-5][0-9])?)?)?"
+# Groups 1, 2 and 4, 3 and 5 hold year, month and day; anything else matches with empty groups.
 _ISO = (
-    r"^([0-9]{4})(?:-([0-9]{2})-([0-9]{2})|([0-9]{2})([0-9]{2}))(Z|[\s\S]"
+    r"^(?:([0-9]{4})(?:-([0-9]{2})-([0-9]{2})|([0-9]{2})([0-9]{2}))(?:Z|[\s\S]"
     + _TIME
     + _OFFSET
-    + r"Z?)?$"
+    + r"Z?)?|[\s\S]*)$"
 )
 
 
@@ -25,9 +26,8 @@ def text(c: Column) -> Column:
 
 def finite_double(c: Column) -> Column:
     """Finite number, else NULL. Spark alone would also take forms such as '1d'."""
-    trimmed = text(c)
-    number = F.when(trimmed.rlike(_NUMBER), trimmed).try_cast("double")
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
+    trimmed = F.btrim(c.cast("string"), F.lit(_WHITESPACE))
+    return finite(F.regexp_extract(trimmed, _NUMBER, 0).try_cast("double"))
 
 
 def finite(c: Column) -> Column:
@@ -57,18 +57,14 @@ def stand_join_id(c: Column) -> Column:
 
 def iso_date(c: Column) -> Column:
     """Calendar date as written: offsets and Z never shift it."""
-    trimmed = text(c)
-    year = F.regexp_extract(trimmed, _ISO, 1)
-    month = F.concat(F.regexp_extract(trimmed, _ISO, 2), F.regexp_extract(trimmed, _ISO, 4))
-    day = F.concat(F.regexp_extract(trimmed, _ISO, 3), F.regexp_extract(trimmed, _ISO, 5))
-    return F.when(trimmed.rlike(_ISO), F.concat_ws("-", year, month, day)).try_cast("date")
+    trimmed = F.btrim(c.cast("string"), F.lit(_WHITESPACE))
+    return F.regexp_replace(trimmed, _ISO, "$1-$2$4-$3$5").try_cast("date")
 
 
 def boolean(c: Column) -> Column:
-    trimmed = F.lower(text(c))
+    """Registry spellings of yes and no; numbers count when they are 1 or 0."""
+    word = F.lower(F.btrim(c.cast("string"), F.lit(_WHITESPACE)))
     return (
-        F.when(trimmed.isin("true", "t", "yes", "y", "1"), True)
-        .when(trimmed.isin("false", "f", "no", "n", "0"), False)
-        .when(finite_double(c) == 1, True)
-        .when(finite_double(c) == 0, False)
+        F.when(word.rlike("^(true|t|yes|y|[+]?0*1([.]0*)?)$"), True)
+        .when(word.rlike("^(false|f|no|n|[+-]?0+([.]0*)?)$"), False)
     )

@@ -17,9 +17,6 @@ from standcarbon.operators.skew import split_join
 
 GROUP = ["stand_id", "stratum_key", "species_code"]
 _AGES = ("inventory_age", "current_age")
-_STAND = Window.partitionBy("stand_id")
-_STRATUM = Window.partitionBy("stand_id", "stratum_key")
-
 COEFFICIENTS = (
     "inventory_per_share",
     "detail_per_stock",
@@ -31,6 +28,16 @@ COEFFICIENTS = (
 )
 
 
+def _over_stand(aggregate: Column) -> Column:
+    return aggregate.over(Window.partitionBy("stand_id"))
+
+
+def _over_stratum(aggregate: Column) -> Column:
+    return aggregate.over(Window.partitionBy("stand_id", "stratum_key"))
+
+
+
+
 def is_living(stratum: Column) -> Column:
     """A record without stratum is living."""
     return F.coalesce(stratum != S.NON_LIVING_STRATUM, F.lit(True))
@@ -77,9 +84,9 @@ def group_elements(elements: DataFrame) -> DataFrame:
 def _stratum_sums(groups: DataFrame) -> DataFrame:
     return groups.withColumns(
         {
-            "t_stock": F.sum("stock").over(_STRATUM),
-            "t_share": F.sum("share").over(_STRATUM),
-            "t_bad": F.sum("bad_shares").over(_STRATUM),
+            "t_stock": _over_stratum(F.sum("stock")),
+            "t_share": _over_stratum(F.sum("share")),
+            "t_bad": _over_stratum(F.sum("bad_shares")),
             "stratum_code": F.nullif(F.col("stratum_key"), F.lit("")),
         }
     )
@@ -88,14 +95,14 @@ def _stratum_sums(groups: DataFrame) -> DataFrame:
 def _stand_sums(rows: DataFrame) -> DataFrame:
     return rows.withColumns(
         {
-            "s_records": F.coalesce(F.sum("records").over(_STAND), F.lit(0)),
-            "s_with_stock": F.coalesce(F.sum("records_with_stock").over(_STAND), F.lit(0)),
-            "s_stock": F.sum("stock").over(_STAND),
-            "s_share": F.sum("share").over(_STAND),
-            "s_bad": F.sum("bad_shares").over(_STAND),
-            "has_strata": F.max("stratum_code").over(_STAND).isNotNull(),
+            "s_records": F.coalesce(_over_stand(F.sum("records")), F.lit(0)),
+            "s_with_stock": F.coalesce(_over_stand(F.sum("records_with_stock")), F.lit(0)),
+            "s_stock": _over_stand(F.sum("stock")),
+            "s_share": _over_stand(F.sum("share")),
+            "s_bad": _over_stand(F.sum("bad_shares")),
+            "has_strata": _over_stand(F.max("stratum_code")).isNotNull(),
             "one_stratum": F.coalesce(
-                F.min("stratum_code").over(_STAND) == F.max("stratum_code").over(_STAND),
+                _over_stand(F.min("stratum_code")) == _over_stand(F.max("stratum_code")),
                 F.lit(True),
             ),
         }
@@ -103,7 +110,7 @@ def _stand_sums(rows: DataFrame) -> DataFrame:
 
 
 def _all(condition: Column) -> Column:
-    return F.min(condition).over(_STAND)
+    return _over_stand(F.min(condition))
 
 
 def _no(condition: Column) -> Column:
@@ -131,7 +138,7 @@ def stand_allocation(stands: DataFrame, groups: DataFrame) -> DataFrame:
     unlisted = _any(
         [
             F.coalesce(value > 0, F.lit(False))
-            & _no(F.max(F.col("stratum_code") == code).over(_STAND))
+            & _no(_over_stand(F.max(F.col("stratum_code") == code)))
             for code, value in values.items()
         ]
     )

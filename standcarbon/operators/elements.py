@@ -5,11 +5,22 @@ from pyspark.sql import functions as F
 
 from standcarbon.functions import measures as M
 from standcarbon.functions import parsing as P
-from standcarbon.schemas import DEFAULT_DENSITY
+from standcarbon.schemas import DEFAULT_DENSITY, STRATUM_COMPONENT
 
+REGISTRY_COLUMNS = (
+    "id", "katastri_nr", "eraldise_nr", "invent_kp", "pindala", "korgus", "tagavara_1_ha",
+    "tagavara_2_ha", "tagavara_y_ha", "juurdekasv", "rpindala_1", "taius_1", "kasvukoht_kood",
+    "boniteedi_kood", "kuivendatud", "arengukl_kood",
+)
 
-def _field(name: str) -> Column:
-    return F.get_json_object("raw_json", f"$.{name}")
+
+_ELEMENT = ", ".join(
+    f"{name} string"
+    for name in (
+        "id", "eraldisId", "rindeKood", "puuliigiKood", "osakaal", "tagavara", "vanus",
+        "jooksevVanus",
+    )
+)
 
 
 def normalize_elements(details: DataFrame) -> DataFrame:
@@ -20,30 +31,39 @@ def normalize_elements(details: DataFrame) -> DataFrame:
     """
     objects = F.filter("elements", lambda item: F.ltrim(item).startswith("{"))
     rows = details.select("stand_id", F.posexplode(objects).alias("pos", "raw_json"))
-    owner = F.coalesce(P.text(_field("eraldisId")), F.lit("unknown"))
-    identity = P.integer(_field("id"))
-    species_code = F.upper(P.text(_field("puuliigiKood")))
-    return rows.select(
+    # Each step is its own projection, so that an object is parsed once, not once per use.
+    parsed = rows.withColumn("_e", F.from_json("raw_json", _ELEMENT)).select(
+        "stand_id",
+        "pos",
+        "raw_json",
+        P.text(F.col("_e.id")).alias("_id"),
+        P.integer(F.col("_e.id")).alias("_number"),
+        F.coalesce(P.text(F.col("_e.eraldisId")), F.lit("unknown")).alias("_owner"),
+        F.upper(P.text(F.col("_e.rindeKood"))).alias("stratum_code"),
+        F.upper(P.text(F.col("_e.puuliigiKood"))).alias("species_code"),
+        P.finite_double(F.col("_e.osakaal")).alias("share_pct"),
+        P.finite_double(F.col("_e.tagavara")).alias("stock_m3_ha"),
+        P.finite_double(F.col("_e.vanus")).alias("inventory_age"),
+        P.finite_double(F.col("_e.jooksevVanus")).alias("current_age"),
+    )
+    number = F.when(F.col("_number") != 0, F.col("_number")).cast("string")
+    return parsed.filter(F.coalesce(F.col("stock_m3_ha") >= 0, F.lit(True))).select(
         "stand_id",
         "pos",
-        F.coalesce(
-            F.when(identity != 0, identity).cast("string"),
-            P.text(_field("id")),
-            F.concat_ws(":", owner, F.col("pos")),
-        ).alias("record_id"),
-        F.upper(P.text(_field("rindeKood"))).alias("stratum_code"),
-        species_code.alias("species_code"),
-        M.species_name(species_code).alias("species"),
-        P.finite_double(_field("osakaal")).alias("share_pct"),
-        P.finite_double(_field("tagavara")).alias("stock_m3_ha"),
-        P.finite_double(_field("vanus")).alias("inventory_age"),
-        P.finite_double(_field("jooksevVanus")).alias("current_age"),
+        F.coalesce(number, "_id", F.concat_ws(":", "_owner", "pos")).alias("record_id"),
+        "stratum_code",
+        "species_code",
+        M.species_name(F.col("species_code")).alias("species"),
+        "share_pct",
+        "stock_m3_ha",
+        "inventory_age",
+        "current_age",
         "raw_json",
-    ).filter(F.coalesce(F.col("stock_m3_ha") >= 0, F.lit(True)))
+    )
 
 
 def build_stands(stands: DataFrame, as_of: Column) -> DataFrame:
-    """Typed stand records from registry text columns; other columns pass through.
+    """STAND from registry text columns; other columns pass through.
 
     A registry column a feed does not carry is unknown.
     """
@@ -55,34 +75,21 @@ def build_stands(stands: DataFrame, as_of: Column) -> DataFrame:
         value = P.finite_double(raw(name))
         return F.when(value >= 0, value)
 
-    components = [component(f"tagavara_{part}_ha") for part in ("1", "2", "y")]
-    known_sum = sum((F.coalesce(part, F.lit(0.0)) for part in components), F.lit(0.0))
-    inventory_date = P.iso_date(raw("invent_kp"))
-    registry = {
-        "id", "katastri_nr", "eraldise_nr", "invent_kp", "pindala", "korgus", "tagavara_1_ha",
-        "tagavara_2_ha", "tagavara_y_ha", "juurdekasv", "rpindala_1", "taius_1",
-        "kasvukoht_kood", "boniteedi_kood", "kuivendatud", "arengukl_kood",
-    }
     raw_inputs = [
         item
         for part in ("1", "2", "y")
-        for item in (
-            F.lit(f"tagavara_{part}_ha"),
-            raw(f"tagavara_{part}_ha").cast("string"),
-        )
+        for item in (F.lit(f"tagavara_{part}_ha"), raw(f"tagavara_{part}_ha").cast("string"))
     ]
-    return stands.select(
+    typed = stands.select(
         P.stand_record_id(raw("id")).alias("stand_id"),
         P.text(raw("katastri_nr")).alias("cadastral_ref"),
         P.integer(raw("eraldise_nr")).alias("stand_number"),
-        inventory_date.alias("inventory_date"),
-        M.calendar_age_years(inventory_date, as_of).alias("inventory_age_years"),
+        P.iso_date(raw("invent_kp")).alias("inventory_date"),
         P.finite_double(raw("pindala")).alias("area_ha"),
         P.finite_double(raw("korgus")).alias("height_m"),
-        components[0].alias("stock_layer_1"),
-        components[1].alias("stock_layer_2"),
-        components[2].alias("stock_young"),
-        F.when(F.coalesce(*components).isNotNull(), known_sum).alias("stock_m3_ha"),
+        component("tagavara_1_ha").alias("stock_layer_1"),
+        component("tagavara_2_ha").alias("stock_layer_2"),
+        component("tagavara_y_ha").alias("stock_young"),
         F.create_map(*raw_inputs).alias("raw_stock_inputs"),
         P.finite_double(raw("juurdekasv")).alias("current_increment_m3_ha_y"),
         P.finite_double(raw("rpindala_1")).alias("basal_area_m2_ha"),
@@ -91,7 +98,15 @@ def build_stands(stands: DataFrame, as_of: Column) -> DataFrame:
         P.text(raw("boniteedi_kood")).alias("site_class"),
         P.boolean(raw("kuivendatud")).alias("drained"),
         P.text(raw("arengukl_kood")).alias("development_class"),
-        *[name for name in stands.columns if name not in registry],
+        *[name for name in stands.columns if name not in REGISTRY_COLUMNS],
+    )
+    components = [F.col(name) for name in STRATUM_COMPONENT.values()]
+    known_sum = sum((F.coalesce(part, F.lit(0.0)) for part in components), F.lit(0.0))
+    return typed.withColumns(
+        {
+            "stock_m3_ha": F.when(F.coalesce(*components).isNotNull(), known_sum),
+            "inventory_age_years": M.calendar_age_years(F.col("inventory_date"), as_of),
+        }
     )
 
 
