@@ -126,6 +126,8 @@ def stands(spark: SparkSession, folder: str) -> DataFrame:
     def component(value: Column) -> Column:
         return F.when(p % 13 == 0, None).when(p % 19 == 0, 0.0).otherwise(value)
 
+    # Every 16th stand lies where no notice is.
+    west = _lot_x(p) - F.when(p % 16 == 5, ISLAND).otherwise(0.0)
     first = F.when(p % 3 == 1, F.col("s1") * 1.5).otherwise(F.col("s1"))
     parts = table(spark, folder, "part").withColumn("stand_id", p.cast("string"))
     placed = (
@@ -145,9 +147,9 @@ def stands(spark: SparkSession, folder: str) -> DataFrame:
             F.col("p_brand").alias("site_type"),
             F.col("p_type").alias("site_class"),
             (p % 2 == 0).alias("drained"),
-            _lot_x(p).alias("minx"),
+            west.alias("minx"),
             (_lot_y(p) + 40.0).alias("miny"),
-            (_lot_x(p) + 250.0 + p % 7 * 20.0).alias("maxx"),
+            (west + 250.0 + p % 7 * 20.0).alias("maxx"),
             (_lot_y(p) + 300.0 + p % 5 * 25.0).alias("maxy"),
         )
     )

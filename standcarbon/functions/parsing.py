@@ -32,14 +32,18 @@ def finite_double(c: Column) -> Column:
 
 def finite(c: Column) -> Column:
     """NULL for NaN and infinities of a numeric column."""
-    return F.when(F.abs(c) < F.lit(float("inf")), c)
+    return F.when(F.abs(c) < float("inf"), c)
 
 
-def integer(c: Column) -> Column:
-    number = finite_double(c)
+def integral(number: Column) -> Column:
+    """Whole value of a numeric column, NULL for any other."""
     return F.when(number == F.floor(number), number).try_cast("bigint")
 
 
+def integer(c: Column) -> Column:
+    return integral(finite_double(c))
+
+
 def whole_number_part(c: Column) -> Column:
     """Number truncated towards zero."""
     return finite_double(c).try_cast("bigint")

@@ -14,13 +14,10 @@ REGISTRY_COLUMNS = (
 )
 
 
-_ELEMENT = ", ".join(
-    f"{name} string"
-    for name in (
-        "id", "eraldisId", "rindeKood", "puuliigiKood", "osakaal", "tagavara", "vanus",
-        "jooksevVanus",
-    )
+_ELEMENT_FIELDS = (
+    "id", "eraldisId", "rindeKood", "puuliigiKood", "osakaal", "tagavara", "vanus", "jooksevVanus",
 )
+_ELEMENT = ", ".join(f"{name} string" for name in _ELEMENT_FIELDS)
 
 
 def normalize_elements(details: DataFrame) -> DataFrame:
@@ -31,23 +28,25 @@ def normalize_elements(details: DataFrame) -> DataFrame:
     """
     objects = F.filter("elements", lambda item: F.ltrim(item).startswith("{"))
     rows = details.select("stand_id", F.posexplode(objects).alias("pos", "raw_json"))
-    # Each step is its own projection, so that an object is parsed once, not once per use.
-    parsed = rows.withColumn("_e", F.from_json("raw_json", _ELEMENT)).select(
+    # Its own projection, so that an object is parsed once and not once per field.
+    rows = rows.withColumn("_e", F.from_json("raw_json", _ELEMENT))
+    e = {name: F.col(f"_e.{name}") for name in _ELEMENT_FIELDS}
+    typed = rows.select(
         "stand_id",
         "pos",
         "raw_json",
-        P.text(F.col("_e.id")).alias("_id"),
-        P.integer(F.col("_e.id")).alias("_number"),
-        F.coalesce(P.text(F.col("_e.eraldisId")), F.lit("unknown")).alias("_owner"),
-        F.upper(P.text(F.col("_e.rindeKood"))).alias("stratum_code"),
-        F.upper(P.text(F.col("_e.puuliigiKood"))).alias("species_code"),
-        P.finite_double(F.col("_e.osakaal")).alias("share_pct"),
-        P.finite_double(F.col("_e.tagavara")).alias("stock_m3_ha"),
-        P.finite_double(F.col("_e.vanus")).alias("inventory_age"),
-        P.finite_double(F.col("_e.jooksevVanus")).alias("current_age"),
+        P.text(e["id"]).alias("_id"),
+        P.finite_double(e["id"]).alias("_number"),
+        F.coalesce(P.text(e["eraldisId"]), F.lit("unknown")).alias("_owner"),
+        F.upper(P.text(e["rindeKood"])).alias("stratum_code"),
+        F.upper(P.text(e["puuliigiKood"])).alias("species_code"),
+        P.finite_double(e["osakaal"]).alias("share_pct"),
+        P.finite_double(e["tagavara"]).alias("stock_m3_ha"),
+        P.finite_double(e["vanus"]).alias("inventory_age"),
+        P.finite_double(e["jooksevVanus"]).alias("current_age"),
     )
-    number = F.when(F.col("_number") != 0, F.col("_number")).cast("string")
-    return parsed.filter(F.coalesce(F.col("stock_m3_ha") >= 0, F.lit(True))).select(
+    number = F.when(F.col("_number") != 0, P.integral(F.col("_number"))).cast("string")
+    return typed.filter(F.coalesce(F.col("stock_m3_ha") >= 0, F.lit(True))).select(
         "stand_id",
         "pos",
         F.coalesce(number, "_id", F.concat_ws(":", "_owner", "pos")).alias("record_id"),

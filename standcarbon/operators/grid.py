@@ -51,10 +51,16 @@ def _post(df: DataFrame, prefix: str, grids: Column, base_cell: float) -> DataFr
     return posted.withColumn("_cx", cells("minx", "maxx")).withColumn("_cy", cells("miny", "maxy"))
 
 
-def _rows_by_level(df: DataFrame, prefix: str) -> dict[int, int]:
-    """At most MAX_LEVEL + 1 numbers."""
-    counted = df.groupBy(prefix + "level").agg(F.count(F.lit(1)).alias("rows"))
-    return {row[prefix + "level"]: row["rows"] for row in counted.collect()}
+def _rows_by_level(a: DataFrame, b: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """Rows per level of either side: at most 2 * (MAX_LEVEL + 1) numbers, in one job."""
+    levels = a.select(F.lit(0).alias("side"), F.col("l_level").alias("level")).unionByName(
+        b.select(F.lit(1).alias("side"), F.col("r_level").alias("level"))
+    )
+    counted = levels.groupBy("side", "level").agg(F.count(F.lit(1)).alias("rows")).collect()
+    left, right = (
+        {row["level"]: row["rows"] for row in counted if row["side"] == side} for side in (0, 1)
+    )
+    return left, right
 
 
 def _grids(level: Column, own: dict[int, int], other: dict[int, int], side: int) -> Column:
@@ -86,7 +92,7 @@ def box_join(
     With `touching` shared borders count too. `left_key` tells the left rows apart.
     """
     a, b = _boxes(left, "l_", base_cell), _boxes(right, "r_", base_cell)
-    left_rows, right_rows = _rows_by_level(a, "l_"), _rows_by_level(b, "r_")
+    left_rows, right_rows = _rows_by_level(a, b)
     a_cells = _post(a, "l_", _grids(F.col("l_level"), left_rows, right_rows, 0), base_cell)
     b_cells = _post(b, "r_", _grids(F.col("r_level"), right_rows, left_rows, 1), base_cell)
     few = sum(left_rows.values()) <= rows_per_task

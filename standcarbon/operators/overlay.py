@@ -39,9 +39,10 @@ def overlay_boxes(
 def prepare_geometry(df: DataFrame, geographic: bool) -> DataFrame:
     """Metric, oriented geometry with bounds, area and the edge list the kernel reads."""
     metric = G.to_metric(F.col("geometry")) if geographic else F.col("geometry")
-    oriented = df.withColumn("_metric", G.oriented(metric))
+    # Bounds come from the plain rings, so a job that needs only them does not orient anything.
+    bounded = G.with_bounds(df.withColumn("_metric", metric), "_metric")
     return (
-        G.with_bounds(oriented, "_metric")
+        bounded.withColumn("_metric", G.oriented(F.col("_metric")))
         .withColumn("area_ha", G.area_m2(F.col("_metric")) / 10000)
         .withColumn("edges", G.edge_list(F.col("_metric")))
         .drop("_metric")

@@ -115,10 +115,12 @@ from (select cast(p_partkey as varchar) as stand_id,
       as stock_young,
     case when p_partkey % 10 <> 0 then p_size / 10 end as current_increment_m3_ha_y,
     p_brand as site_type, p_type as site_class, p_partkey % 2 = 0 as drained,
-    (p_partkey % 100) * 400e0 as minx, (p_partkey // 100) * 400e0 + 40e0 as miny,
-    (p_partkey % 100) * 400e0 + 250e0 + p_partkey % 7 * 20e0 as maxx,
+    west as minx, (p_partkey // 100) * 400e0 + 40e0 as miny,
+    west + 250e0 + p_partkey % 7 * 20e0 as maxx,
     (p_partkey // 100) * 400e0 + 300e0 + p_partkey % 5 * 25e0 as maxy
-  from part left join (select stand_id,
+  from (select *, (p_partkey % 100) * 400e0 - case when p_partkey % 16 = 5 then 10000000e0
+        else 0e0 end as west from part) p1
+  left join (select stand_id,
       sum(case when stratum_code is null or stratum_code = '1' then stock_m3_ha end) as s1,
       sum(case when stratum_code = '2' then stock_m3_ha end) as s2,
       sum(case when stratum_code = 'Y' then stock_m3_ha end) as sy

@@ -413,6 +413,11 @@ class Analysis:
         largest = largest_species(self.overlaps, A.stand_species(self.species_rates))
         return notice_results(self.notices, measures, largest, self.as_of)
 
+    @cached_property
+    def stored_results(self) -> DataFrame:
+        """Results computed once, for reports that read them several times."""
+        return cut_lineage(self.results())
+
     def records(self) -> DataFrame:
         return A.stand_records(self.elements, self.allocation, self.hot_elements)
 

@@ -950,7 +950,7 @@ coalesce(quantile_cont(standing_live_biomass_tco2, 0.66), 0) as q2 from results"
 
 @query(sql(f"select round(q1, 4) as q1, round(q2, 4) as q2 from ({_QUANTILES})", "results"))
 def quantile_thresholds(spark, folder):
-    return R.quantile_thresholds(run(spark, folder).results())
+    return R.quantile_thresholds(run(spark, folder).stored_results)
 
 
 @query(
@@ -965,7 +965,7 @@ standing_live_biomass_tco2 as v, q1, q2 from results, ({_QUANTILES}) q))""",
 )
 def map_layer(spark, folder):
     a = run(spark, folder)
-    return R.map_layer(a.results()).select("notice_id", "map_class", "map_color")
+    return R.map_layer(a.stored_results).select("notice_id", "map_class", "map_color")
 
 
 _EXPORT_LABELS = [c for c in RESULT_LABELS if c not in ("source_layer", "submitted_date")]
@@ -994,4 +994,4 @@ where standing_live_biomass_tco2 is not null or planned_harvest_biomass_tco2 is
     )
 )
 def chart_rows(spark, folder):
-    return R.chart_rows(run(spark, folder).results())
+    return R.chart_rows(run(spark, folder).stored_results)

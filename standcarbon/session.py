@@ -14,6 +14,8 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Split skewed join partitions even where that costs one more shuffle.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # The JVM does not compile methods over 8000 bytes; Spark then splits them instead.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }.items():
         spark.conf.set(key, value)
     return spark
