@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from standcarbon.functions import measures as M
 from standcarbon.functions import parsing as P
+from standcarbon.operators.skew import split_join
 from standcarbon.schemas import DEFAULT_DENSITY, STRATUM_COMPONENT
 
 REGISTRY_COLUMNS = (
@@ -148,6 +149,9 @@ def latest_details(documents: DataFrame, order: str) -> DataFrame:
     )
 
 
-def prune_details(details: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """Only details of stands that really overlap a notice."""
-    return details.join(overlaps.select("stand_id").distinct(), "stand_id", "left_semi")
+def prune_details(
+    details: DataFrame, overlaps: DataFrame, hot: DataFrame | None = None, spread: tuple = ()
+) -> DataFrame:
+    """Only details of stands that really overlap a notice; `hot` stands of `details` are split."""
+    stands = overlaps.select("stand_id").distinct()
+    return split_join(details, stands, ["stand_id"], hot, spread, "left_semi")

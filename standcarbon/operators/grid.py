@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from standcarbon.functions.geometry import BOUNDS
-from standcarbon.operators.skew import ROWS_PER_TASK, hot_keys, split_join
+from standcarbon.operators import skew
+from standcarbon.operators.skew import hot_keys, split_join
 
 BASE_CELL = 512.0
 LEVEL_FACTOR = 4.0
@@ -79,25 +80,36 @@ def _grids(level: Column, own: dict[int, int], other: dict[int, int], side: int)
     return choices
 
 
+def _hot_cells(cells: DataFrame, rows: dict[int, int]) -> DataFrame | None:
+    """Crowded cells; a side that fits one task as a whole has none and is not counted."""
+    return hot_keys(cells, _CELL) if sum(rows.values()) > skew.ROWS_PER_TASK else None
+
+
 def box_join(
     left: DataFrame,
     right: DataFrame,
     left_key: str,
+    right_key: str,
     base_cell: float = BASE_CELL,
     touching: bool = False,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Pairs of rows whose boxes overlap, each exactly once; columns get prefixes `l_` and `r_`.
 
-    With `touching` shared borders count too. `left_key` tells the left rows apart.
+    With `touching` shared borders count too. The keys tell the rows of a side apart.
     """
     a, b = _boxes(left, "l_", base_cell), _boxes(right, "r_", base_cell)
     left_rows, right_rows = _rows_by_level(a, b)
     a_cells = _post(a, "l_", _grids(F.col("l_level"), left_rows, right_rows, 0), base_cell)
     b_cells = _post(b, "r_", _grids(F.col("r_level"), right_rows, left_rows, 1), base_cell)
-    few = sum(left_rows.values()) <= rows_per_task
-    hot = None if few else hot_keys(a_cells, _CELL, rows_per_task)
-    met = split_join(a_cells, b_cells, _CELL, hot, ["l_" + left_key])
+    met = split_join(
+        a_cells,
+        b_cells,
+        _CELL,
+        _hot_cells(a_cells, left_rows),
+        ["l_" + left_key],
+        right_hot=_hot_cells(b_cells, right_rows),
+        right_spread=["r_" + right_key],
+    )
 
     corner_x = F.greatest("l_minx", "r_minx")
     corner_y = F.greatest("l_miny", "r_miny")

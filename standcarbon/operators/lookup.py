@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from standcarbon.functions.geometry import BOUNDS, pad_bounds
 from standcarbon.operators.grid import BASE_CELL, box_join
+from standcarbon.operators.skew import hot_keys, split_join
 from standcarbon.schemas import BBOX_PAD_DEGREES
 from standcarbon.sources.layers import dedupe_first
 
@@ -17,12 +18,20 @@ def references(df: DataFrame) -> DataFrame:
 
 def exact_stands(stands: DataFrame, notices: DataFrame) -> DataFrame:
     """Stands some notice refers to."""
-    return stands.join(references(notices), REFERENCE, "left_semi")
+    hot = hot_keys(stands, REFERENCE)
+    return split_join(stands, references(notices), REFERENCE, hot, ["stand_id"], "left_semi")
 
 
 def unmatched_notices(notices: DataFrame, stands: DataFrame) -> DataFrame:
     """Notices without a full reference, or whose reference no stand has."""
-    return notices.join(references(stands), REFERENCE, "left_anti")
+    complete = F.col("cadastral_ref").isNotNull() & F.col("stand_number").isNotNull()
+    # Notices without reference need no lookup; in it they would all meet in one task.
+    referring = notices.filter(complete)
+    hot = hot_keys(referring, REFERENCE)
+    unknown = split_join(
+        referring, references(stands), REFERENCE, hot, ["notice_id"], "left_anti"
+    )
+    return notices.filter(~complete).unionByName(unknown)
 
 
 def bbox_stands(
@@ -36,6 +45,7 @@ def bbox_stands(
         pad_bounds(notices.select("notice_id", *BOUNDS), pad),
         stands.select("stand_id", *BOUNDS),
         "notice_id",
+        "stand_id",
         base_cell,
         touching=True,
     )

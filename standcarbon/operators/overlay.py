@@ -24,6 +24,7 @@ def overlay_boxes(
         notices.select("notice_id", *G.BOUNDS),
         stands.select("stand_id", *G.BOUNDS),
         "notice_id",
+        "stand_id",
         base_cell,
     )
     width = F.least("l_maxx", "r_maxx") - F.greatest("l_minx", "r_minx")
@@ -57,6 +58,7 @@ def overlay_polygons(
         notices.select("notice_id", "edges", *G.BOUNDS),
         stands.select("stand_id", "edges", *G.BOUNDS),
         "notice_id",
+        "stand_id",
         base_cell,
     )
     notice_type = notices.schema["notice_id"].dataType.simpleString()

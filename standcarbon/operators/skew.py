@@ -12,17 +12,18 @@ MAX_HOT_KEYS = 10_000
 
 
 def hot_keys(
-    df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None
 ) -> DataFrame | None:
     """Keys of `df` with too many rows for one task and the number of parts to split each into.
 
     Counting reads the key columns only and is combined before its shuffle. None: no key is hot.
     """
+    limit = rows_per_task or ROWS_PER_TASK
     counted = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > rows_per_task)
-        .select(*keys, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts"))
+        .filter(F.col("_rows") > limit)
+        .select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts"))
         .orderBy(F.desc("_parts"))
         .limit(MAX_HOT_KEYS)
     )
@@ -30,6 +31,19 @@ def hot_keys(
     return df.sparkSession.createDataFrame(found, counted.schema) if found else None
 
 
+def _split(df: DataFrame, keys: Sequence[str], hot: DataFrame, spread: Sequence[str], name: str):
+    """Each row goes to one part of its key: a hash, so a retried task puts it where it was."""
+    part = F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")
+    return df.join(F.broadcast(hot), list(keys), "left").withColumn(name, part).drop("_parts")
+
+
+def _copy(df: DataFrame, keys: Sequence[str], hot: DataFrame, name: str):
+    """Each row goes to every part of its key."""
+    parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    copied = df.join(F.broadcast(hot), list(keys), "left").withColumn(name, F.explode(parts))
+    return copied.drop("_parts")
+
+
 def split_join(
     left: DataFrame,
     right: DataFrame,
@@ -37,24 +51,21 @@ def split_join(
     hot: DataFrame | None,
     spread: Sequence[str],
     how: str = "inner",
+    right_hot: DataFrame | None = None,
+    right_spread: Sequence[str] = (),
 ) -> DataFrame:
-    """`left` ⋈ `right` on `keys`; rows of `left` with a hot key are split over several parts, and
-    the right rows of that key are copied to each part.
+    """`left` ⋈ `right` on `keys`; rows of a hot key are split over several parts, and the rows of
+    the other side with that key are copied to each part.
 
-    `spread` names columns telling apart the left rows of one key. The part is a hash of them, so
-    a retried task puts a row where it was before.
+    `hot` and `spread` concern the left side: its hot keys, and columns telling apart its rows of
+    one key. `right_hot` and `right_spread` likewise, for inner joins.
     """
-    if hot is None:
-        return left.join(right, list(keys), how)
-    parts = F.coalesce("_parts", F.lit(1))
-    parted_left = left.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_part", F.pmod(F.xxhash64(*spread), parts).cast("int")
-    )
-    parted_right = right.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), parts - 1))
-    )
-    return (
-        parted_left.drop("_parts")
-        .join(parted_right.drop("_parts"), [*keys, "_part"], how)
-        .drop("_part")
-    )
+    on = list(keys)
+    if hot is not None:
+        left, right = _split(left, keys, hot, spread, "_part"), _copy(right, keys, hot, "_part")
+        on.append("_part")
+    if right_hot is not None:
+        left = _copy(left, keys, right_hot, "_right_part")
+        right = _split(right, keys, right_hot, right_spread, "_right_part")
+        on.append("_right_part")
+    return left.join(right, on, how).drop("_part", "_right_part")

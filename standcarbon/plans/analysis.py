@@ -36,10 +36,23 @@ class Overlaps:
     def totals(self) -> DataFrame:
         return self.rows.groupBy("notice_id").agg(F.sum("overlap_ha").alias("total_overlap_ha"))
 
-    def with_stands(self, facts: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-        """Overlaps with rows of their stand."""
-        rows = self.rows if rows is None else rows
-        return split_join(rows, facts, ["stand_id"], self.hot_stands, ["notice_id"])
+    def with_stands(
+        self,
+        facts: DataFrame,
+        rows: DataFrame | None = None,
+        hot_facts: DataFrame | None = None,
+        spread: tuple[str, ...] = (),
+    ) -> DataFrame:
+        """Overlaps with rows of their stand; `hot_facts` are stands with very many such rows."""
+        return split_join(
+            self.rows if rows is None else rows,
+            facts,
+            ["stand_id"],
+            self.hot_stands,
+            ["notice_id"],
+            right_hot=hot_facts,
+            right_spread=spread,
+        )
 
     def with_planned_part(self, notices: DataFrame) -> DataFrame:
         """Overlaps with their share, by area, of the planned volume of the notice."""
@@ -239,7 +252,7 @@ def species_breakdown(
     site = stands.select("stand_id", "site_class", "site_type", "drained")
     records = split_join(records, site, ["stand_id"], hot_records, ["record_id"])
     parts = overlaps.with_planned_part(notices)
-    listed = overlaps.with_stands(records, parts)
+    listed = overlaps.with_stands(records, parts, hot_records, ("record_id",))
     positive = F.col("planned_part_m3") > 0
     scopes = F.array(
         F.struct(

@@ -385,8 +385,9 @@ where exists (select 1 from overlap_rows o where o.stand_id = e.stand_id)""",
     )
 )
 def detail_pruning(spark, folder):
-    overlaps = overlay(X.notices(spark, folder), X.stands(spark, folder))
-    return E.prune_details(X.elements(spark, folder), overlaps).select("stand_id", "record_id")
+    a = run(spark, folder)
+    pruned = E.prune_details(a.elements, a.overlaps.rows, a.hot_elements, ("record_id",))
+    return pruned.select("stand_id", "record_id")
 
 
 @query(

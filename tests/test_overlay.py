@@ -13,6 +13,7 @@ from standcarbon.operators.area_kernel import overlap_areas
 from standcarbon.operators.grid import box_join
 from standcarbon.operators.lookup import bbox_stands, stands_for_notices
 from standcarbon.operators.overlay import overlay, prepare_geometry
+from standcarbon.operators import skew
 from standcarbon.operators.skew import hot_keys, split_join
 
 ORIGIN = 6_500_000.0
@@ -58,13 +59,19 @@ def test_boxes_of_all_sizes_meet_once(spark, cell):
     assert found == pytest.approx(brute(a, b))
 
 
-def test_one_huge_box_over_many_small_ones_splits_its_cell(spark):
+def test_one_huge_box_over_many_small_ones_splits_its_cell(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 20)
     a = [(x * 10, 0, x * 10 + 5, 5) for x in range(300)]
     b = [(-1e6, -1e6, 1e6, 1e6), (0, 0, 20, 20)]
     left, right = boxes(spark, a, "notice_id"), boxes(spark, b, "stand_id")
-    got = box_join(left, right, "notice_id", rows_per_task=20)
-    found = {(r["l_notice_id"], r["r_stand_id"]) for r in got.collect()}
-    assert got.count() == len(found) and found == set(brute(a, b))
+    for first, second, flip in ((left, right, False), (right, left, True)):
+        keys = ("stand_id", "notice_id") if flip else ("notice_id", "stand_id")
+        got = box_join(first, second, *keys)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("_right_part" if flip else "_part") in plan
+        ends = ("r_notice_id", "l_stand_id") if flip else ("l_notice_id", "r_stand_id")
+        found = {tuple(r[end] for end in ends) for r in got.collect()}
+        assert got.count() == len(found) and found == set(brute(a, b))
 
 
 def test_touching_and_unplaced_boxes(spark):
