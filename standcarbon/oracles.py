@@ -430,9 +430,10 @@ def rounded(*columns: str) -> str:
 
 
 def steady_rounding(text: str) -> str:
-    """Every `round(x, 4)` as a floor that sends halves down.
+    """Every `round(x, 4)` as a floor whose steps lie just above the halves.
 
-    The engines round exact halves differently, and float noise decides what is an exact half.
+    Values of few digits often are exact halves: engines round those differently, and float noise
+    decides on which side they fall. No value of few digits lies on a step of this floor.
     """
     start = text.find("round(")
     if start < 0:
@@ -446,7 +447,7 @@ def steady_rounding(text: str) -> str:
     if not inner.endswith(", 4"):
         return text[:start] + f"round({steady_rounding(inner)})" + rest
     value = steady_rounding(inner.removesuffix(", 4"))
-    return text[:start] + f"(floor(({value}) * 10000 + 0.4999) / 10000)" + rest
+    return text[:start] + f"(floor(({value}) * 10000 + 0.4998765432) / 10000)" + rest
 
 
 RESULT_NUMBERS = (

@@ -289,6 +289,13 @@ def species_breakdown(
     )
 
 
+def _standing_labels(basis: Column) -> Column:
+    """Aggregate: the labels present, in order. Flags per label keep the aggregation hash-based,
+    which a collected set would not."""
+    labels = sorted((S.DETAIL_STOCK, S.ALLOCATED_STOCK, S.UNKNOWN))
+    return F.concat_ws(" + ", *[F.when(F.bool_or(basis == label), label) for label in labels])
+
+
 def notice_measures(overlaps: Overlaps, stand_facts: DataFrame) -> DataFrame:
     """Everything the overlaps of a notice add up to, in one aggregation.
 
@@ -300,7 +307,7 @@ def notice_measures(overlaps: Overlaps, stand_facts: DataFrame) -> DataFrame:
     measures = {
         "covered_by_inventory_ha": F.sum(area),
         "_standing": F.sum(F.col("standing_tco2_per_ha") * area),
-        "standing_volume_basis": M.joined_labels(F.col("standing_basis")),
+        "standing_volume_basis": _standing_labels(F.col("standing_basis")),
         "standing_biomass_is_complete": F.bool_and(F.col("standing_basis") != S.UNKNOWN),
         "_planned": F.sum(F.col("harvest_tco2_per_m3") * area),
         "_harvest_ok": F.bool_and("harvest_ok"),

@@ -38,10 +38,10 @@ ORACLES: dict[str, str] = {}
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Doubles to four digits, halves down, where sums in another order agree."""
+    """Doubles to four digits, where sums in another order agree; see `steady_rounding`."""
 
     def steady(name: str) -> Column:
-        return (F.floor(F.col(name) * 10000 + 0.4999) / 10000).alias(name)
+        return (F.floor(F.col(name) * 10000 + 0.4998765432) / 10000).alias(name)
 
     kinds = dict(df.dtypes)
     return df.select(*[steady(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
