@@ -93,10 +93,13 @@ def _safe_ratio(numerator: Column, denominator: Column) -> Column:
     return numerator / F.nullif(denominator, F.lit(0.0))
 
 
-def _estimate(value: str, basis: str, flag: str | None) -> dict[str, Column]:
-    """Combined value, labels and completeness; a partial sum is no total."""
+def _estimate(value: str, basis: str, flag: str, flagged: bool) -> dict[str, Column]:
+    """Combined value, labels and completeness; a partial sum is no total.
+
+    Where rows carry no flag they are complete if their value is known.
+    """
     complete = F.coalesce(
-        F.bool_and(F.col(flag) if flag else F.col(value).isNotNull()), F.lit(True)
+        F.bool_and(F.col(flag) if flagged else F.col(value).isNotNull()), F.lit(True)
     )
     labels = M.joined_labels(F.col(basis))
     marked = (
@@ -107,39 +110,36 @@ def _estimate(value: str, basis: str, flag: str | None) -> dict[str, Column]:
     return {
         value: F.when(complete, F.sum(value)),
         basis: F.when(complete, labels).otherwise(marked),
-    } | {(flag or value.split("_biomass")[0] + "_biomass_is_complete"): complete}
-
-
-def aggregate_intersections(rows: DataFrame) -> DataFrame:
-    """One row per notice; unknown stays unknown and incomplete sums are withheld."""
-    columns = set(rows.columns)
+        flag: complete,
+    }
 
-    def flag(name: str) -> str | None:
-        return name if name in columns else None
 
-    standing = _estimate(
-        "standing_live_biomass_tco2", "standing_volume_basis", flag("standing_biomass_is_complete")
-    )
-    planned = _estimate(
+ESTIMATES = (
+    ("standing_live_biomass_tco2", "standing_volume_basis", "standing_biomass_is_complete"),
+    (
         "planned_harvest_biomass_tco2",
         "planned_harvest_volume_basis",
-        flag("planned_harvest_biomass_is_complete"),
-    )
-    if "standing_live_biomass_is_complete" in standing:
-        standing["standing_biomass_is_complete"] = standing.pop("standing_live_biomass_is_complete")
-    ages = {
+        "planned_harvest_biomass_is_complete",
+    ),
+)
+
+
+def aggregate_intersections(rows: DataFrame) -> DataFrame:
+    """One row per notice; unknown stays unknown and incomplete sums are withheld."""
+    combined: dict[str, Column] = {}
+    for value, basis, flag in ESTIMATES:
+        combined |= _estimate(value, basis, flag, flag in rows.columns)
+    combined |= {
         "covered_by_inventory_ha": F.sum("overlap_ha"),
         "weighted_age_num": F.sum("weighted_age_num"),
         "weighted_age_den": F.sum("weighted_age_den"),
         "mean_age": _safe_ratio(F.sum("weighted_age_num"), F.sum("weighted_age_den")),
     }
-    if "weighted_current_age_num" in columns:
-        ages["mean_current_age_years"] = _safe_ratio(
+    if "weighted_current_age_num" in rows.columns:
+        combined["mean_current_age_years"] = _safe_ratio(
             F.sum("weighted_current_age_num"), F.sum("weighted_current_age_den")
         )
-    return rows.groupBy("notice_id").agg(
-        *[value.alias(name) for name, value in (standing | planned | ages).items()]
-    )
+    return rows.groupBy("notice_id").agg(*[value.alias(name) for name, value in combined.items()])
 
 
 def weighted_ages(rows: DataFrame) -> DataFrame:
