@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SKETCH_ACCURACY = 100_000
 # Rank error of the sketch is 1 / SKETCH_ACCURACY; brackets are taken far wider.
 BRACKET = 8 / SKETCH_ACCURACY
+# Fewer values than this are all ranked: there a bracket could be narrower than two ranks.
+RANK_ALL = int(4 / BRACKET)
 SPLITS = 512
 
 
@@ -36,7 +38,9 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
         (sketch["limits"][2 * i], sketch["limits"][2 * i + 1]) for i in range(len(probabilities))
     ]
     inside = reduce(
-        lambda left, right: left | right, [(value >= low) & (value <= high) for low, high in brackets]
+        lambda left, right: left | right,
+        [(value >= low) & (value <= high) for low, high in brackets],
+        sketch["n"] < RANK_ALL,
     )
     gap = sum(
         ((value > limit).cast("int") for bracket in brackets for limit in bracket), F.lit(0)
