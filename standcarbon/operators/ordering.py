@@ -58,7 +58,10 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
         position = F.lit(p) * (sketch["n"] - 1)
         low = F.floor(position)
         lower, upper = at(low), at(F.least(low + 1, sketch["n"] - 1))
-        quantiles.append((lower + (upper - lower) * F.max(position - low)).alias(f"q{i}"))
+        # From the nearer end, so that a whole position gives that value itself.
+        part, step = F.max(position - low), upper - lower
+        nearer = F.when(part < 0.5, lower + step * part).otherwise(upper - step * (1 - part))
+        quantiles.append(nearer.alias(f"q{i}"))
     return running.agg(*quantiles)
 
 
