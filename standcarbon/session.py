@@ -1,6 +1,8 @@
 """Session settings and lineage cuts."""
 
 import tempfile
+from functools import cache
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,21 +18,50 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         # The JVM does not compile methods over 8000 bytes; Spark then splits them instead.
         "spark.sql.codegen.hugeMethodLimit": "8000",
+        # A batch that goes to Python ends at either bound, so long rows cannot pile up.
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     }.items():
         spark.conf.set(key, value)
     return spark
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="standcarbon-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a session inside one process gets a temporary one; on a cluster that
+    would be a folder of one machine, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     folder = folder or spark.sparkContext.getCheckpointDir()
-    return folder or tempfile.mkdtemp(prefix="standcarbon-")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _local_folder()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The same rows, written once as Parquet to the shared folder and read back from there.
+
+    Cuts the lineage, survives the loss of executors, and later readers scan only the columns
+    they use. The files go when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/standcarbon-{uuid4()}"
+    df.write.parquet(path)
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, survives the loss of executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Computed once for all that read it."""
+    return staged(df)
