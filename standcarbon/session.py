@@ -1,7 +1,10 @@
 """Session settings and lineage cuts."""
 
+import os
 import tempfile
+import zipfile
 from functools import cache
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +26,29 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     }.items():
         spark.conf.set(key, value)
+    _ship(spark)
     return spark
 
 
+@cache
+def _archive() -> str:
+    """This package as an archive that Python workers can import from."""
+    package = Path(__file__).resolve().parent
+    path = os.path.realpath(Path(tempfile.mkdtemp(prefix="standcarbon-")) / "standcarbon.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    return path
+
+
+def _ship(spark: SparkSession) -> None:
+    """Gives the workers this package, wherever the driver was started from."""
+    context = spark.sparkContext
+    if not getattr(context, "_standcarbon", False):
+        context.addPyFile(_archive())
+        context._standcarbon = True
+
+
 @cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="standcarbon-")
