@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from standcarbon.llm import simhash
+from standcarbon.llm import rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,3 +28,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query()
 def op1_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query()
+def op6_quality_rules(spark, folder):
+    return rules.quality_verdicts(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )

@@ -66,7 +66,7 @@ def per_text(
             columns = [*batch.columns[: len(keys)], *(pa.array(v) if isinstance(v, list) else v for v in made.values())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, *made])
 
-    chosen = df.select(*keys, F.col(text).cast("string").alias("_text"))
+    chosen = df.select(*keys, F.col(text).cast("string").alias("_whole_text"))
     return chosen.mapInArrow(run, ", ".join([*given, schema]))
 
 
