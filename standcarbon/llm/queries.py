@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from standcarbon.llm import rules, simhash
+from standcarbon.llm import rules, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,3 +35,8 @@ def op6_quality_rules(spark, folder):
     return rules.quality_verdicts(
         table(spark, folder, "documents"), table(spark, folder, "labels")
     )
+
+
+@query()
+def op7_sharding(spark, folder):
+    return sharding.shard_documents(table(spark, folder, "documents"), 16)
