@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from standcarbon.llm import rules, sharding, simhash
+from standcarbon.llm import rules, sharding, simhash, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,6 +21,12 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -40,3 +46,15 @@ def op6_quality_rules(spark, folder):
 @query()
 def op7_sharding(spark, folder):
     return sharding.shard_documents(table(spark, folder, "documents"), 16)
+
+
+@query()
+def op8_token_files(spark, folder):
+    documents = table(spark, folder, "documents")
+    return token_files.token_file_digest(documents, tokenizer("byte_bpe_50k.json"), 2)
+
+
+@query()
+def op9_token_counts(spark, folder):
+    documents = table(spark, folder, "documents")
+    return token_counts.token_counts(documents, tokenizer("word_bpe_49k.json"), 2048)
