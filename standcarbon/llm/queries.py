@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from standcarbon.llm import rules, sharding, simhash, token_counts, token_files
+from standcarbon.llm import rules, secrets, sharding, simhash, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,3 +58,8 @@ def op8_token_files(spark, folder):
 def op9_token_counts(spark, folder):
     documents = table(spark, folder, "documents")
     return token_counts.token_counts(documents, tokenizer("word_bpe_49k.json"), 2048)
+
+
+@query()
+def op4_secret_scan(spark, folder):
+    return secrets.scan(table(spark, folder, "documents"))

@@ -9,10 +9,14 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import pairwise
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
+# Kernels get the texts of a batch in pieces of about this size, so a worker's memory depends
+# neither on the number nor on the length of the rows in a batch, but for a single longer text.
+PIECE_BYTES = 2 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -60,16 +64,31 @@ def per_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
         for batch in batches:
-            texts = batch.column(len(keys)).cast(pa.binary()).to_pylist()
-            texts = [t or b"" for t in texts]
-            made = kernel(texts, state) if setup else kernel(texts)
-            columns = [*batch.columns[: len(keys)], *(pa.array(v) if isinstance(v, list) else v for v in made.values())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, *made])
+            for piece in pieces(batch, len(keys)):
+                texts = piece.column(len(keys)).cast(pa.binary()).to_pylist()
+                texts = [t or b"" for t in texts]
+                made = kernel(texts, state) if setup else kernel(texts)
+                values = (pa.array(v) if isinstance(v, list) else v for v in made.values())
+                columns = [*piece.columns[: len(keys)], *values]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, *made])
 
     chosen = df.select(*keys, F.col(text).cast("string").alias("_whole_text"))
     return chosen.mapInArrow(run, ", ".join([*given, schema]))
 
 
+def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch, cut where the texts of `column` pass PIECE_BYTES."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(False)
+    start = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        held += size
+        if held >= PIECE_BYTES:
+            yield batch.slice(start, i + 1 - start)
+            start, held = i + 1, 0
+    if start < batch.num_rows or not batch.num_rows:
+        yield batch.slice(start)
+
+
 def offsets(sizes: Iterable[int]) -> list[tuple[int, int]]:
     """(start, end) of consecutive pieces of these sizes."""
     ends = [0]
@@ -78,6 +97,12 @@ def offsets(sizes: Iterable[int]) -> list[tuple[int, int]]:
     return list(pairwise(ends))
 
 
+def scattered(df: DataFrame, rows: int) -> DataFrame:
+    """A sample of about `rows` to twice `rows` rows, whatever ids or texts repeat."""
+    every = max(1, df.count() // rows)
+    return df.filter(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0)
+
+
 def unused(name: str, df: DataFrame) -> str:
     """`name`, lengthened until no column of `df` has it."""
     taken = {c.lower() for c in df.columns}
