@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from standcarbon.llm import rules, secrets, sharding, simhash, token_counts, token_files
+from standcarbon.llm import decontam, rules, secrets, sharding, simhash, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,3 +63,10 @@ def op9_token_counts(spark, folder):
 @query()
 def op4_secret_scan(spark, folder):
     return secrets.scan(table(spark, folder, "documents"))
+
+
+@query()
+def op5_decontamination(spark, folder):
+    return decontam.contaminated(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )

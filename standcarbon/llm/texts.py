@@ -20,17 +20,23 @@ PIECE_BYTES = 2 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def word_blocks(data: bytes, size: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
-    """The words of a text in order, at most about `size` bytes of them at a time."""
+def byte_blocks(data: bytes, size: int = BLOCK_BYTES) -> Iterator[bytes]:
+    """A text in consecutive parts of about `size` bytes, cut at white space."""
     start = 0
     while start < len(data):
         cut = _SPACE.search(data, start + size)
         end = cut.start() if cut else len(data)
-        if words := data[start:end].split():
-            yield words
+        yield data[start:end]
         start = end
 
 
+def word_blocks(data: bytes, size: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text in order, at most about `size` bytes of them at a time."""
+    for block in byte_blocks(data, size):
+        if words := block.split():
+            yield words
+
+
 def shingle_blocks(data: bytes, width: int) -> Iterator[list[bytes]]:
     """Runs of `width` words, space-joined; a text with fewer words is one run, without words none."""
     carry: list[bytes] = []
