@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from standcarbon.llm import decontam, rules, secrets, sharding, simhash, token_counts, token_files
+from standcarbon.llm import decontam, lines, rules, secrets, sharding, simhash, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,3 +70,8 @@ def op5_decontamination(spark, folder):
     return decontam.contaminated(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
     )
+
+
+@query()
+def op10_line_dedup(spark, folder):
+    return lines.line_report(table(spark, folder, "documents"))
