@@ -7,6 +7,7 @@ are pushed; an entry whose nodes have changed since is skipped. No token identif
 
 import json
 import re
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -117,7 +118,7 @@ class WordCounter:
         """Makes the counts of all these words known."""
         if len(self.known) + len(words) > REMEMBERED:
             self.older, self.known = self.known, {}
-        for word in words - self.known.keys():
+        for word in words.difference(self.known):
             count = self.older.get(word)
             self.known[word] = self.word(word) if count is None else count
 
@@ -133,6 +134,12 @@ class WordCounter:
         return np.array([self.text(t) for t in texts], dtype=np.int64)
 
 
+@cache
+def word_counter(path: str) -> WordCounter:
+    """One for each worker process, kept from task to task."""
+    return WordCounter(path)
+
+
 def token_counts(
     docs: DataFrame,
     path: str,
@@ -153,7 +160,7 @@ def token_counts(
 
     plain = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     counted = per_text(
-        plain, ["_id"], "_text", "n_bytes long, n_tokens long", kernel, lambda: WordCounter(path)
+        plain, ["_id"], "_text", "n_bytes long, n_tokens long", kernel, lambda: word_counter(path)
     )
     over = (F.col("n_tokens") > limit).alias("over_limit")
     return counted.select(F.col("_id").alias(doc_id), "n_bytes", "n_tokens", over)
