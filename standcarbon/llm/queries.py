@@ -4,7 +4,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from standcarbon.llm import decontam, lines, mixing, rules, secrets, sharding, simhash, token_counts, token_files
+from standcarbon.llm import (
+    decontam,
+    lines,
+    mixing,
+    rules,
+    secrets,
+    sharding,
+    simhash,
+    token_counts,
+    token_files,
+    weak_labels,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,3 +128,8 @@ from shown join plan on plan.i = shown.i and plan.k = (block + epoch * blocks) %
 @query(_MIX)
 def op2_mixing(spark, folder):
     return mixing.mix_plan(table(spark, folder, "documents"))
+
+
+@query()
+def op3_quality_classifier(spark, folder):
+    return weak_labels.classify(table(spark, folder, "documents"))
