@@ -1,0 +1,116 @@
+import random
+from collections import Counter
+
+from standcarbon.llm import decontam as D
+
+from .corpus import CLASHING, PLAIN, awkward_rows, prose, table
+
+ITEMS = "item_id long, text string"
+
+
+def items(n: int, seed: int) -> list[tuple[int, str]]:
+    rng = random.Random(seed)
+    return [(i, f"{prose(rng, rng.randint(8, 60))}. {prose(rng, rng.randint(1, 12))}") for i in range(n)]
+
+
+def test_wand_equals_exhaustive_scores():
+    rng = random.Random(1)
+    for _ in range(300):
+        postings = []
+        for _ in range(rng.randint(1, 6)):
+            numbers = sorted(rng.sample(range(30), rng.randint(1, 12)))
+            postings.append((numbers, [rng.random() for _ in numbers]))
+        scores: Counter = Counter()
+        for numbers, weights in postings:
+            scores.update(dict(zip(numbers, weights, strict=True)))
+        bound = rng.random() * 3
+        got = {i: round(s, 9) for i, s in D.wand(postings, bound)}
+        assert got == {i: round(s, 9) for i, s in scores.items() if s >= bound}
+
+
+def brute(text: str | None, index: D.Index, threshold: float) -> dict[int, tuple]:
+    """Every passage against every item."""
+    words = D.normal_words((text or "").encode())
+    hits: dict[int, tuple] = {}
+    for start in range(0, max(1, len(words) - index.span), index.span):
+        passage = words[start : start + 2 * index.span]
+        have = set(passage)
+        for n, item in enumerate(index.items):
+            score = 0.0
+            for t, (numbers, weights) in zip(index.terms, index.postings, strict=True):
+                if t in have and n in numbers:
+                    score += weights[numbers.index(n)]
+            q, a = item.overlap(passage)
+            if score >= threshold - 1e-12 and q >= D.QUESTION_OVERLAP and a >= D.ANSWER_OVERLAP:
+                hits[n] = max(hits.get(n, (0, 0, 0)), (round(score, 9), q, a))
+    return hits
+
+
+def test_search_against_brute_force():
+    rng = random.Random(2)
+    tests = items(60, 3)
+    searcher = D.Searcher([(i, t.encode()) for i, t in tests])
+    for _ in range(60):
+        parts = [prose(rng, rng.randint(0, 150))]
+        for _ in range(rng.randint(0, 2)):
+            words = rng.choice(tests)[1].split()
+            if rng.random() < 0.6:
+                words[rng.randrange(len(words))] = "other"
+            parts += [" ".join(words).upper() if rng.random() < 0.3 else " ".join(words)]
+            parts.append(prose(rng, rng.randint(0, 90)))
+        text = " ".join(parts)
+        got = {(i, round(s, 9), q, a) for i, s, q, a in searcher.search(text.encode(), D.THRESHOLD)}
+        want = {
+            (index.items[n].id, *hit)
+            for index in searcher.indexes
+            for n, hit in brute(text, index, D.THRESHOLD).items()
+        }
+        assert got == want
+
+
+def test_planted_passages_go_and_others_stay(spark):
+    rng = random.Random(4)
+    tests = items(40, 5)
+    rows = [(i, prose(rng, 300), "en", "s", 1) for i in range(40)]
+    for i in range(20):
+        words = rows[i][1].split()
+        at = rng.randrange(len(words))
+        rows[i] = (i, " ".join([*words[:at], tests[i][1], *words[at:]]), "en", "s", 1)
+    benchmark = spark.createDataFrame(tests, ITEMS)
+    found = D.contaminated(table(spark, rows), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(20)}
+    kept = D.drop_contaminated(table(spark, rows, clashing=True), benchmark)
+    assert kept.columns == [*PLAIN, *CLASHING]
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(20, 40))
+
+
+def test_a_leak_across_blocks_of_a_long_text():
+    rng = random.Random(6)
+    tests = items(5, 7)
+    searcher = D.Searcher([(i, t.encode()) for i, t in tests])
+    before = prose(rng, 400_000)[: (1 << 20) - 40]
+    text = f"{before} {tests[2][1]} {prose(rng, 50)}".encode()
+    assert [hit[0] for hit in searcher.search(text, D.THRESHOLD)] == [2]
+
+
+def test_several_indexes_find_the_same(spark, monkeypatch):
+    tests, rng = items(30, 8), random.Random(9)
+    rows = [(i, f"{prose(rng, 20)} {t} {prose(rng, 20)}", "en", "s", 1) for i, t in tests]
+    benchmark = spark.createDataFrame(tests, ITEMS)
+    one = {(r.doc_id, r.item_id) for r in D.contaminated(table(spark, rows), benchmark).collect()}
+    monkeypatch.setattr(D, "INDEX_ITEMS", 7)
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(table(spark, rows), benchmark).collect()} == one
+    assert D.drop_contaminated(table(spark, rows), benchmark).count() == 0
+
+
+def test_awkward_tables(spark):
+    rows = awkward_rows()
+    tests = [(1, None), (2, ""), (3, "one two"), (None, rows[7][1]), (4, rows[8][1]), (4, rows[8][1])]
+    benchmark = spark.createDataFrame(tests, ITEMS)
+    found = D.contaminated(table(spark, rows, clashing=True), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} >= {(7, None), (8, 4)}
+    assert {r.doc_id for r in found}.isdisjoint({0, 1, 2, 3, 4, 6})
+    none = spark.createDataFrame([], ITEMS)
+    assert D.contaminated(table(spark, rows), none).count() == 0
+    assert D.drop_contaminated(table(spark, rows), none).count() == len(rows)
+    assert D.drop_contaminated(table(spark, []), benchmark).count() == 0
