@@ -21,6 +21,7 @@ from standcarbon.session import staged
 MIN_CHARS = 20
 # Lines under one posting that are compared pair by pair.
 PAIRWISE = 64
+BITMAP_BITS = 25
 BLANKS = " \t\r\x0b\x0c"
 _FIRST, _SECOND = 1, 2
 _OWN, _LONGER = 0, 1
@@ -130,6 +131,22 @@ def _left_out(hot: DataFrame) -> DataFrame:
     return same.unionByName(added).filter("a <> b").distinct()
 
 
+def _maybe(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of `lines` whose hash may be among `wanted`, by a bitmap of 2 ** BITMAP_BITS places.
+
+    The bitmap has 4 MB whatever the data, so it can be broadcast. It drops most lines before
+    their texts are shuffled; which of the rest are wanted is for a join to say.
+    """
+    place = lambda h: F.pmod(h, F.lit(1 << BITMAP_BITS)) + 1
+    bucket = F.bitmap_bucket_number(place(F.col("h")))
+    bit = F.bitmap_bit_position(place(F.col("h")))
+    bits = wanted.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    near = lines.withColumns({"bucket": bucket, "bit": bit}).join(F.broadcast(bits), "bucket")
+    byte = F.conv(F.hex(F.substr("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    held = F.getbit(byte.cast("int"), F.pmod("bit", F.lit(8)).cast("int")) == 1
+    return near.filter(held).drop("bucket", "bit", "bits")
+
+
 def links(distinct: DataFrame, lines: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     """Pairs (a, b) of line hashes that link all lines within one edit of each other."""
     posted = staged(_posted(distinct))
@@ -141,12 +158,12 @@ def links(distinct: DataFrame, lines: DataFrame, pairwise: int = PAIRWISE) -> Da
     pairs = staged(_candidates(crowded.filter(F.col("n") <= pairwise)))
     hot = crowded.filter(F.col("n") > pairwise).select("h", "role", "segment")
     wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h")))
-    wanted = wanted.unionByName(hot.select("h")).distinct()
+    wanted = staged(wanted.unionByName(hot.select("h")).distinct())
     hashed = lines.filter(F.col("chars") >= MIN_CHARS).select(
         line_hash(F.col("line"), F.col("chars")).alias("h"), "line", "chars"
     )
     # Copies of a line are one text here; they are dropped before the texts are shuffled.
-    first = hashed.join(wanted, "h", "left_semi").dropDuplicates(["h"])
+    first = _maybe(hashed, wanted).join(wanted, "h", "left_semi").dropDuplicates(["h"])
     texts = staged(first)
     return _verified(pairs, texts).unionByName(_left_out(hot.distinct().join(texts, "h")))
 
