@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from standcarbon import schemas as S
 from standcarbon.functions import measures as M
-from standcarbon.operators.skew import split_join
+from standcarbon.operators.skew import many_to_many
 
 GROUP = ["stand_id", "stratum_key", "species_code"]
 _AGES = ("inventory_age", "current_age")
@@ -36,8 +36,6 @@ def _over_stratum(aggregate: Column) -> Column:
     return aggregate.over(Window.partitionBy("stand_id", "stratum_key"))
 
 
-
-
 def is_living(stratum: Column) -> Column:
     """A record without stratum is living."""
     return F.coalesce(stratum != S.NON_LIVING_STRATUM, F.lit(True))
@@ -333,16 +331,9 @@ def record_coefficients(allocation: DataFrame) -> DataFrame:
     )
 
 
-def match_records(
-    elements: DataFrame, coefficients: DataFrame, hot: DataFrame | None = None
-) -> DataFrame:
-    """Living records next to the coefficients of their stratum; hot stands are split."""
-    living, keys = living_elements(elements), ["stand_id", "stratum_key"]
-    if hot is None:
-        return living.join(coefficients, keys)
-    strata = F.broadcast(hot)
-    keyed = coefficients.select(*keys).join(strata, "stand_id")
-    return split_join(living, coefficients, keys, keyed, ["record_id", "pos"])
+def match_records(elements: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """Living records next to the coefficients of their stratum."""
+    return living_elements(elements).join(coefficients, ["stand_id", "stratum_key"])
 
 
 def record_volume(scope: str) -> Column:
@@ -360,11 +351,9 @@ RECORD = (
 )
 
 
-def stand_records(
-    elements: DataFrame, allocation: DataFrame, hot: DataFrame | None = None
-) -> DataFrame:
+def stand_records(elements: DataFrame, allocation: DataFrame) -> DataFrame:
     """STAND_ALLOC: standing m3 per hectare and harvest weight (sums to 1) of each record."""
-    matched = match_records(elements, record_coefficients(allocation), hot)
+    matched = match_records(elements, record_coefficients(allocation))
     listed = matched.select(
         *RECORD,
         "standing_basis",
@@ -381,14 +370,12 @@ def stand_records(
     return listed.unionByName(zero, allowMissingColumns=True)
 
 
-def inventory_records(
-    elements: DataFrame, allocation: DataFrame, hot: DataFrame | None = None
-) -> DataFrame:
+def inventory_records(elements: DataFrame, allocation: DataFrame) -> DataFrame:
     """Stand stock per hectare shared out by declared shares, wherever that is possible."""
     coefficients = record_coefficients(
         allocation.select("stand_id", "stratum_key", "inventory_per_share")
     )
-    matched = match_records(elements, coefficients, hot)
+    matched = match_records(elements, coefficients)
     shared = matched.filter("share_pct > 0").withColumn(
         "volume_m3_per_ha", F.col("inventory_per_share") * F.col("share_pct")
     )
@@ -402,14 +389,12 @@ def inventory_records(
     return listed.unionByName(zero, allowMissingColumns=True)
 
 
-def detail_records(
-    elements: DataFrame, allocation: DataFrame, hot: DataFrame | None = None
-) -> DataFrame:
+def detail_records(elements: DataFrame, allocation: DataFrame) -> DataFrame:
     """Weights of the records of complete details: strata by stock, species by local share."""
     coefficients = record_coefficients(
         allocation.select("stand_id", "stratum_key", "detail_per_share", "detail_per_stock")
     )
-    matched = match_records(elements, coefficients, hot)
+    matched = match_records(elements, coefficients)
     return (
         matched.withColumn("weight", record_volume("detail"))
         .filter("weight is not null")
@@ -417,26 +402,22 @@ def detail_records(
     )
 
 
-def planned_records(
-    elements: DataFrame, volumes: DataFrame, hot: DataFrame | None = None
-) -> DataFrame:
+def planned_records(elements: DataFrame, volumes: DataFrame) -> DataFrame:
     """Planned volume (stand_id, volume_m3) spread over bare species rows.
 
     Zero volume is one known row of 0 m3; a volume that cannot be spread lists nothing.
     """
     coefficients = record_coefficients(bare_allocation(group_elements(elements)))
-    matched = match_records(elements, coefficients, hot)
+    matched = match_records(elements, coefficients)
     weights = matched.withColumn("weight", record_volume("harvest")).filter("weight is not null")
-    spread = split_join(
-        weights, volumes.filter("volume_m3 > 0"), ["stand_id"], hot, ["record_id", "pos"]
-    ).withColumn("volume_m3", F.col("volume_m3") * F.col("weight"))
+    spread = weights.join(volumes.filter("volume_m3 > 0"), "stand_id").withColumn(
+        "volume_m3", F.col("volume_m3") * F.col("weight")
+    )
     zero = volumes.filter("volume_m3 = 0").select("stand_id", "volume_m3")
     return spread.select(*RECORD, "volume_m3").unionByName(zero, allowMissingColumns=True)
 
 
-def allocate_by_share(
-    elements: DataFrame, volumes: DataFrame, hot: DataFrame | None = None
-) -> DataFrame:
+def allocate_by_share(elements: DataFrame, volumes: DataFrame) -> DataFrame:
     """Known total (stand_id, total_volume_m3) over the rows with a positive share.
 
     Unlike the inventory rule, rows without share are passed over.
@@ -446,7 +427,7 @@ def allocate_by_share(
     known = volumes.filter("total_volume_m3 > 0").join(totals, "stand_id")
     volume = F.col("total_volume_m3") * F.col("share_pct") / F.col("_total_share")
     return (
-        split_join(shared, known, ["stand_id"], hot, ["record_id", "pos"])
+        shared.join(known, "stand_id")
         .withColumn("volume_m3", volume)
         .withColumn("carbon_co2e_t", M.tco2e(volume, F.col("species_code")))
         .drop("_total_share", "total_volume_m3")
@@ -462,3 +443,21 @@ def carbon_totals(records: DataFrame, keys: list[str], volume: str) -> DataFrame
             F.sum(M.tco2e(F.col(volume), F.col("species_code"))),
         ).alias("tco2e")
     )
+
+
+def prorate_by_share(elements: DataFrame, parts: DataFrame) -> DataFrame:
+    """Planned parts (notice_id, stand_id, planned_part_m3) over the species records of the stand.
+
+    One row per overlap and record with a positive share, by that share; a part that is not positive
+    lists nothing.
+    """
+    shared = elements.filter("share_pct > 0")
+    totals = shared.groupBy("stand_id").agg(F.sum("share_pct").alias("_total_share"))
+    known = shared.join(totals, "stand_id")
+    positive = parts.filter("planned_part_m3 > 0")
+    rows = many_to_many(positive, known, ["stand_id"], ["notice_id"], ["record_id", "pos"])
+    volume = F.col("planned_part_m3") * F.col("share_pct") / F.col("_total_share")
+    return rows.select(
+        "notice_id", "stand_id", "record_id", "species_code",
+        volume.alias("volume_m3"), M.tco2e(volume, F.col("species_code")).alias("carbon_co2e_t"),
+    )

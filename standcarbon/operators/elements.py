@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from standcarbon.functions import measures as M
 from standcarbon.functions import parsing as P
-from standcarbon.operators.skew import split_join
 from standcarbon.schemas import DEFAULT_DENSITY, STRATUM_COMPONENT
 
 REGISTRY_COLUMNS = (
@@ -15,6 +14,13 @@ REGISTRY_COLUMNS = (
 )
 
 
+# What build_stands produces; a feed's columns of these names are not passed through.
+STAND_COLUMNS = (
+    "stand_id", "cadastral_ref", "stand_number", "inventory_date", "area_ha", "height_m",
+    "stock_layer_1", "stock_layer_2", "stock_young", "raw_stock_inputs",
+    "current_increment_m3_ha_y", "basal_area_m2_ha", "stocking_pct", "site_type", "site_class",
+    "drained", "development_class", "stock_m3_ha", "inventory_age_years",
+)
 _ELEMENT_FIELDS = (
     "id", "eraldisId", "rindeKood", "puuliigiKood", "osakaal", "tagavara", "vanus", "jooksevVanus",
 )
@@ -65,7 +71,8 @@ def normalize_elements(details: DataFrame) -> DataFrame:
 def build_stands(stands: DataFrame, as_of: Column) -> DataFrame:
     """STAND from registry text columns; other columns pass through.
 
-    A registry column a feed does not carry is unknown.
+    A registry column a feed does not carry is unknown. `stand_id` of `canonical_stands` is kept:
+    it is the form in which details are matched.
     """
 
     def raw(name: str) -> Column:
@@ -81,7 +88,9 @@ def build_stands(stands: DataFrame, as_of: Column) -> DataFrame:
         for item in (F.lit(f"tagavara_{part}_ha"), raw(f"tagavara_{part}_ha").cast("string"))
     ]
     typed = stands.select(
-        P.stand_record_id(raw("id")).alias("stand_id"),
+        (
+            F.col("stand_id") if "stand_id" in stands.columns else P.stand_record_id(raw("id"))
+        ).alias("stand_id"),
         P.text(raw("katastri_nr")).alias("cadastral_ref"),
         P.integer(raw("eraldise_nr")).alias("stand_number"),
         P.iso_date(raw("invent_kp")).alias("inventory_date"),
@@ -98,7 +107,7 @@ def build_stands(stands: DataFrame, as_of: Column) -> DataFrame:
         P.text(raw("boniteedi_kood")).alias("site_class"),
         P.boolean(raw("kuivendatud")).alias("drained"),
         P.text(raw("arengukl_kood")).alias("development_class"),
-        *[name for name in stands.columns if name not in REGISTRY_COLUMNS],
+        *[name for name in stands.columns if name not in (*REGISTRY_COLUMNS, *STAND_COLUMNS)],
     )
     components = [F.col(name) for name in STRATUM_COMPONENT.values()]
     known_sum = sum((F.coalesce(part, F.lit(0.0)) for part in components), F.lit(0.0))
@@ -113,11 +122,9 @@ def build_stands(stands: DataFrame, as_of: Column) -> DataFrame:
 def stand_detail_summary(elements: DataFrame) -> DataFrame:
     """Stock, stock-weighted density and age, and main species of each stand."""
     stock, share = F.col("stock_m3_ha"), F.col("share_pct")
-    usable = elements.filter(
-        F.when(stock.isNotNull(), stock >= 0).otherwise(F.coalesce(share > 0, F.lit(False)))
-    )
+    usable = usable_species(elements)
     total = F.coalesce(F.sum(stock), F.lit(0.0))
-    density = F.sum(stock * M.wood_density(F.col("species_code"))) / total
+    density = F.sum(stock * F.col("wood_density")) / total
     age = F.sum(stock * F.coalesce("inventory_age", F.lit(0.0))) / total
     name = M.species_name(F.col("species_code"))
     by_stock = F.max_by(
@@ -149,9 +156,20 @@ def latest_details(documents: DataFrame, order: str) -> DataFrame:
     )
 
 
-def prune_details(
-    details: DataFrame, overlaps: DataFrame, hot: DataFrame | None = None, spread: tuple = ()
-) -> DataFrame:
-    """Only details of stands that really overlap a notice; `hot` stands of `details` are split."""
-    stands = overlaps.select("stand_id").distinct()
-    return split_join(details, stands, ["stand_id"], hot, spread, "left_semi")
+def prune_details(details: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """Only details of stands that really overlap a notice."""
+    return details.join(overlaps.select("stand_id").distinct(), "stand_id", "left_semi")
+
+
+def usable_species(elements: DataFrame) -> DataFrame:
+    """The species rows a detail summary rests on, with the density of their wood."""
+    stock, share = F.col("stock_m3_ha"), F.col("share_pct")
+    usable = elements.filter(
+        F.when(stock.isNotNull(), stock >= 0).otherwise(F.coalesce(share > 0, F.lit(False)))
+    )
+    return usable.withColumn("wood_density", M.wood_density(F.col("species_code")))
+
+
+def detail_site(details: DataFrame) -> DataFrame:
+    """Site fields of the detail documents, one row per stand."""
+    return details.select("stand_id", "site_class", "site_type", "drained")

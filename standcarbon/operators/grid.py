@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from standcarbon.functions.geometry import BOUNDS
-from standcarbon.operators import skew
-from standcarbon.operators.skew import hot_keys, split_join
+from standcarbon.operators.skew import many_to_many
+from standcarbon.session import staged
 
 BASE_CELL = 512.0
+# The same for coordinates in degrees: about half a kilometre of latitude.
+DEGREE_CELL = 0.005
 LEVEL_FACTOR = 4.0
-MAX_LEVEL = 12
 
-_CELL = ("_grid", "_cx", "_cy")
+_CELL = ["_grid", "_cx", "_cy"]
 
 
 def _level(prefix: str, base_cell: float) -> Column:
@@ -27,7 +28,7 @@ def _level(prefix: str, base_cell: float) -> Column:
     height = F.col(prefix + "maxy") - F.col(prefix + "miny")
     steps = F.ceil(F.log(F.greatest(width, height) / base_cell) / math.log(LEVEL_FACTOR))
     # log of 0 is NULL: a point belongs to the finest level.
-    return F.least(F.greatest(F.coalesce(steps, F.lit(0)), F.lit(0)), F.lit(MAX_LEVEL)).cast("int")
+    return F.greatest(F.coalesce(steps, F.lit(0)), F.lit(0)).cast("int")
 
 
 def _boxes(df: DataFrame, prefix: str, base_cell: float) -> DataFrame:
@@ -52,19 +53,16 @@ def _post(df: DataFrame, prefix: str, grids: Column, base_cell: float) -> DataFr
     return posted.withColumn("_cx", cells("minx", "maxx")).withColumn("_cy", cells("miny", "maxy"))
 
 
-def _rows_by_level(a: DataFrame, b: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
-    """Rows per level of either side: at most 2 * (MAX_LEVEL + 1) numbers, in one job."""
+def _levels(a: DataFrame, b: DataFrame) -> tuple[list[int], list[int]]:
+    """Levels in use on either side: as many as a box can be doubled twice, a few hundred."""
     levels = a.select(F.lit(0).alias("side"), F.col("l_level").alias("level")).unionByName(
         b.select(F.lit(1).alias("side"), F.col("r_level").alias("level"))
     )
-    counted = levels.groupBy("side", "level").agg(F.count(F.lit(1)).alias("rows")).collect()
-    left, right = (
-        {row["level"]: row["rows"] for row in counted if row["side"] == side} for side in (0, 1)
-    )
-    return left, right
+    found = sorted((row["side"], row["level"]) for row in levels.distinct().collect())
+    return [n for side, n in found if side == 0], [n for side, n in found if side == 1]
 
 
-def _grids(level: Column, own: dict[int, int], other: dict[int, int], side: int) -> Column:
+def _grids(level: Column, own: list[int], other: list[int], side: int) -> Column:
     """Grids a box is posted on: the level of its own, and the coarser ones of the other side.
 
     Pairs on one level meet on the grid of side 0.
@@ -80,11 +78,6 @@ def _grids(level: Column, own: dict[int, int], other: dict[int, int], side: int)
     return choices
 
 
-def _hot_cells(cells: DataFrame, rows: dict[int, int]) -> DataFrame | None:
-    """Crowded cells; a side that fits one task as a whole has none and is not counted."""
-    return hot_keys(cells, _CELL) if sum(rows.values()) > skew.ROWS_PER_TASK else None
-
-
 def box_join(
     left: DataFrame,
     right: DataFrame,
@@ -95,21 +88,15 @@ def box_join(
 ) -> DataFrame:
     """Pairs of rows whose boxes overlap, each exactly once; columns get prefixes `l_` and `r_`.
 
-    With `touching` shared borders count too. The keys tell the rows of a side apart.
+    With `touching` shared borders count too. The keys tell the rows of a side apart. Both sides are
+    staged first, so give ids and bounds only and look other columns up afterwards.
     """
-    a, b = _boxes(left, "l_", base_cell), _boxes(right, "r_", base_cell)
-    left_rows, right_rows = _rows_by_level(a, b)
-    a_cells = _post(a, "l_", _grids(F.col("l_level"), left_rows, right_rows, 0), base_cell)
-    b_cells = _post(b, "r_", _grids(F.col("r_level"), right_rows, left_rows, 1), base_cell)
-    met = split_join(
-        a_cells,
-        b_cells,
-        _CELL,
-        _hot_cells(a_cells, left_rows),
-        ["l_" + left_key],
-        right_hot=_hot_cells(b_cells, right_rows),
-        right_spread=["r_" + right_key],
-    )
+    a = staged(_boxes(left, "l_", base_cell))
+    b = staged(_boxes(right, "r_", base_cell))
+    left_levels, right_levels = _levels(a, b)
+    a_cells = _post(a, "l_", _grids(F.col("l_level"), left_levels, right_levels, 0), base_cell)
+    b_cells = _post(b, "r_", _grids(F.col("r_level"), right_levels, left_levels, 1), base_cell)
+    met = many_to_many(a_cells, b_cells, _CELL, ["l_" + left_key], ["r_" + right_key])
 
     corner_x = F.greatest("l_minx", "r_minx")
     corner_y = F.greatest("l_miny", "r_miny")

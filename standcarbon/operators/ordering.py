@@ -1,91 +1,67 @@
-"""Exact global ranks without sorting everything in one task: quantiles and row numbers."""
+"""Exact global ranks without sorting everything in one task: quantiles and row numbers.
+
+Rows are dealt to tasks by ranges of the key; each part is ranked on its own and shifted by the
+sizes of the parts before it. The parts are staged, so counting and ranking see the same ones.
+"""
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 100_000
-# Rank error of the sketch is 1 / SKETCH_ACCURACY; brackets are taken far wider.
-BRACKET = 8 / SKETCH_ACCURACY
-# Fewer values than this are all ranked: there a bracket could be narrower than two ranks.
-RANK_ALL = int(4 / BRACKET)
-SPLITS = 512
+from standcarbon.session import staged
+
+
+def _ranked(df: DataFrame, key: str, weight: Column) -> DataFrame:
+    """`df` with `_upto`: the running sum of `weight` in ascending order of `key`."""
+    parted = staged(
+        df.withColumn("_weight", weight)
+        .repartitionByRange(F.col(key).asc())
+        .withColumn("_part", F.spark_partition_id())
+    )
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per part, that is per task.
+    offsets = (
+        parted.groupBy("_part")
+        .agg(F.sum("_weight").alias("_sum"))
+        .select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    )
+    within = Window.partitionBy("_part").orderBy(key)
+    within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        parted.withColumn("_within", F.sum("_weight").over(within))
+        .join(F.broadcast(offsets), "_part")
+        .withColumn("_upto", F.col("_within") + F.col("_offset"))
+        .drop("_part", "_within", "_offset", "_weight")
+    )
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
     """One row q1, q2, …: linearly interpolated quantiles of the finite values; NULL if none.
 
-    A mergeable sketch brackets each quantile between two values. Values inside a bracket are
-    counted per distinct value, those between brackets only as one number per gap, so the final
-    running count sees about 16 / SKETCH_ACCURACY of the distinct values.
+    Equal values are counted first, so a frequent value is one row.
     """
-    value = F.col("_v")
-    values = df.select(F.col(column).cast("double").alias("_v")).filter(
-        F.abs(value) < float("inf")
-    )
-    limits = [
-        limit for p in probabilities for limit in (max(p - BRACKET, 0.0), min(p + BRACKET, 1.0))
-    ]
-    sketch = values.select(
-        F.struct(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx("_v", limits, SKETCH_ACCURACY).alias("limits"),
-        )
-    ).scalar()
-    brackets = [
-        (sketch["limits"][2 * i], sketch["limits"][2 * i + 1]) for i in range(len(probabilities))
-    ]
-    inside = reduce(
-        lambda left, right: left | right,
-        [(value >= low) & (value <= high) for low, high in brackets],
-        sketch["n"] < RANK_ALL,
-    )
-    gap = sum(
-        ((value > limit).cast("int") for bracket in brackets for limit in bracket), F.lit(0)
-    )
-    cells = values.groupBy(
-        F.when(~inside, gap).alias("_gap"), F.when(inside, value).alias("_inside")
-    ).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_first"))
-    running = cells.withColumn("_upto", F.sum("_n").over(Window.orderBy("_first")))
+    values = df.select(F.col(column).cast("double").alias("_v"))
+    finite = values.filter(F.abs(F.col("_v")) < float("inf"))
+    counted = finite.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    running = staged(_ranked(counted, "_v", F.col("_n")))
+    n = F.lit(running.agg(F.max("_upto")).first()[0] or 0)
 
     def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("_upto") > rank, F.col("_first")))
+        return F.min(F.when(F.col("_upto") > rank, F.col("_v")))
 
     quantiles = []
     for i, p in enumerate(probabilities, start=1):
-        position = F.lit(p) * (sketch["n"] - 1)
+        position = F.lit(p) * (n - 1)
         low = F.floor(position)
-        lower, upper = at(low), at(F.least(low + 1, sketch["n"] - 1))
+        lower, upper = at(low), at(F.least(low + 1, n - 1))
         # From the nearer end, so that a whole position gives that value itself.
-        part, step = F.max(position - low), upper - lower
+        part, step = position - low, upper - lower
         nearer = F.when(part < 0.5, lower + step * part).otherwise(upper - step * (1 - part))
         quantiles.append(nearer.alias(f"q{i}"))
     return running.agg(*quantiles)
 
 
-def row_numbers(df: DataFrame, key: str, name: str, splits: int = SPLITS) -> DataFrame:
-    """Numbers rows 1..n in the order of a unique `key`.
-
-    A fixed sample of keys cuts the key range into parts; each part is numbered on its own and
-    shifted by the sizes of the parts before it. Any sample gives the same numbers.
-    """
-    sample = df.select(key).orderBy(F.xxhash64(key), key).limit(splits)
-    cuts = sample.select(F.array_sort(F.collect_list(key))).scalar()
-    part = F.size(F.filter("_cuts", lambda cut: cut < F.col(key)))
-    parted = df.withColumn("_cuts", cuts).withColumn("_part", part).drop("_cuts")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per part, at most `splits` + 1 of them.
-    offsets = (
-        parted.groupBy("_part")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    return (
-        parted.withColumn("_within", within)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_within") + F.col("_offset"))
-        .drop("_part", "_within", "_offset")
-    )
+def row_numbers(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Numbers rows 1..n in the order of a unique `key`."""
+    return _ranked(df, key, F.lit(1)).withColumnRenamed("_upto", name)

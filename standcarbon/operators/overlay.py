@@ -55,23 +55,29 @@ def overlay_polygons(
 ) -> DataFrame:
     """For polygons of any shape; both sides come from `prepare_geometry`."""
     pairs = box_join(
-        notices.select("notice_id", "edges", *G.BOUNDS),
-        stands.select("stand_id", "edges", *G.BOUNDS),
+        notices.select("notice_id", *G.BOUNDS),
+        stands.select("stand_id", *G.BOUNDS),
         "notice_id",
         "stand_id",
         base_cell,
     )
     notice_type = notices.schema["notice_id"].dataType.simpleString()
     stand_type = stands.schema["stand_id"].dataType.simpleString()
-    measured = pairs.select(
+    boxes = pairs.select(
         F.col("l_notice_id").alias("key_notice"),
         F.col("r_stand_id").alias("key_stand"),
-        F.col("l_edges").alias("left_edges"),
-        F.col("r_edges").alias("right_edges"),
         F.greatest("l_minx", "r_minx").alias("x0"),
         F.greatest("l_miny", "r_miny").alias("y0"),
         F.least("l_maxx", "r_maxx").alias("x1"),
         F.least("l_maxy", "r_maxy").alias("y1"),
+    )
+    # Edges are looked up for pairs whose boxes meet; they take no part in the cell join.
+    shapes = [
+        notices.select(F.col("notice_id").alias("key_notice"), F.col("edges").alias("left_edges")),
+        stands.select(F.col("stand_id").alias("key_stand"), F.col("edges").alias("right_edges")),
+    ]
+    measured = boxes.join(shapes[0], "key_notice").join(shapes[1], "key_stand").select(
+        "key_notice", "key_stand", "left_edges", "right_edges", "x0", "y0", "x1", "y1"
     ).mapInArrow(
         overlap_batches,
         f"key_notice {notice_type}, key_stand {stand_type}, overlap_m2 double",

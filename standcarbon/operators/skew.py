@@ -1,71 +1,71 @@
-"""Equi-join that splits hot keys over many tasks."""
+"""Equi-join of many rows with many, that deals crowded keys out over tasks.
+
+Adaptive execution splits a partition that is large. It cannot see that two small partitions hold
+one key whose rows all pair up. Here the pairs of a key are counted beforehand.
+
+Joins with at most one row per key on one side need none of this and are plain joins.
+"""
 
 from collections.abc import Sequence
+from math import isqrt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_TASK = 1_000_000
-# Bounds what is collected and broadcast. A key outside the top 10,000 holds less than 1 / 10,000
-# of all rows, so leaving it whole is no skew; such keys still join completely.
-MAX_HOT_KEYS = 10_000
+from standcarbon.session import staged
 
+PAIRS_PER_TASK = 200_000_000
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None
-) -> DataFrame | None:
-    """Keys of `df` with too many rows for one task and the number of parts to split each into.
 
-    Counting reads the key columns only and is combined before its shuffle. None: no key is hot.
+def crowded_keys(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], pairs: int | None = None
+) -> DataFrame:
+    """Keys with more than `pairs` pairs, and into how many parts to cut the rows of either side.
+
+    One aggregation over the key columns, combined before its shuffle. All such keys, in a staged
+    table: nothing is collected, and a later join broadcasts it only if it is small.
     """
-    limit = rows_per_task or ROWS_PER_TASK
-    counted = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > limit)
-        .select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts"))
-        .orderBy(F.desc("_parts"))
-        .limit(MAX_HOT_KEYS)
+    limit = pairs or PAIRS_PER_TASK
+    side = isqrt(limit)
+    both = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
+        right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
     )
-    found = counted.collect()
-    return df.sparkSession.createDataFrame(found, counted.schema) if found else None
+    counted = both.groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    crowded = counted.filter(F.col("_l").cast("double") * F.col("_r") > limit)
 
+    def parts(rows: str) -> Column:
+        return F.ceil(F.col(rows) / side).cast("int")
 
-def _split(df: DataFrame, keys: Sequence[str], hot: DataFrame, spread: Sequence[str], name: str):
-    """Each row goes to one part of its key: a hash, so a retried task puts it where it was."""
-    part = F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")
-    return df.join(F.broadcast(hot), list(keys), "left").withColumn(name, part).drop("_parts")
+    return staged(crowded.select(*keys, parts("_l").alias("_left"), parts("_r").alias("_right")))
 
 
-def _copy(df: DataFrame, keys: Sequence[str], hot: DataFrame, name: str):
-    """Each row goes to every part of its key."""
-    parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
-    copied = df.join(F.broadcast(hot), list(keys), "left").withColumn(name, F.explode(parts))
-    return copied.drop("_parts")
+def _dealt(
+    df: DataFrame, crowded: DataFrame, keys: Sequence[str], spread: Sequence[str], own: str, other: str
+) -> DataFrame:
+    """Each row in one part of its own side, by a hash so that a retried task puts it where it
+    was, and a copy for each part of the other side."""
+    known = df.join(crowded, list(keys), "left")
+    mine = F.pmod(F.xxhash64(*spread), F.coalesce(own, F.lit(1))).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+    part = known.withColumn(f"{own}_part", mine).withColumn(f"{other}_part", others)
+    return part.drop("_left", "_right")
 
 
-def split_join(
+def many_to_many(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
-    hot: DataFrame | None,
-    spread: Sequence[str],
-    how: str = "inner",
-    right_hot: DataFrame | None = None,
-    right_spread: Sequence[str] = (),
+    left_spread: Sequence[str],
+    right_spread: Sequence[str],
 ) -> DataFrame:
-    """`left` ⋈ `right` on `keys`; rows of a hot key are split over several parts, and the rows of
-    the other side with that key are copied to each part.
+    """`left` ⋈ `right` on `keys`; no task forms more than PAIRS_PER_TASK pairs of one key.
 
-    `hot` and `spread` concern the left side: its hot keys, and columns telling apart its rows of
-    one key. `right_hot` and `right_spread` likewise, for inner joins.
+    The spread columns tell the rows of a key apart.
     """
-    on = list(keys)
-    if hot is not None:
-        left, right = _split(left, keys, hot, spread, "_part"), _copy(right, keys, hot, "_part")
-        on.append("_part")
-    if right_hot is not None:
-        left = _copy(left, keys, right_hot, "_right_part")
-        right = _split(right, keys, right_hot, right_spread, "_right_part")
-        on.append("_right_part")
-    return left.join(right, on, how).drop("_part", "_right_part")
+    crowded = crowded_keys(left, right, keys)
+    if crowded.isEmpty():
+        return left.join(right, list(keys))
+    a = _dealt(left, crowded, keys, left_spread, "_left", "_right")
+    b = _dealt(right, crowded, keys, right_spread, "_right", "_left")
+    parts = ["_left_part", "_right_part"]
+    return a.join(b, [*keys, *parts]).drop(*parts)

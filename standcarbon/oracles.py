@@ -348,12 +348,13 @@ from (select o.notice_id, bool_and(s.current_increment_m3_ha_y is not null) as o
     "dominant": (
         ("breakdown",),
         """
-select notice_id, species as dominant_species
-from (select notice_id, species, row_number() over (partition by notice_id
-    order by estimate_scope desc, volume desc, species) as rn
-  from (select notice_id, estimate_scope, species, round(sum(volume_m3), 6) as volume
+select notice_id, min(species) as dominant_species
+from (select *, max(volume) over (partition by notice_id, estimate_scope) as most,
+    max(estimate_scope) over (partition by notice_id) as scope
+  from (select notice_id, estimate_scope, species, sum(volume_m3) as volume
     from breakdown group by notice_id, estimate_scope, species))
-where rn = 1
+where estimate_scope = scope and volume >= most * (1 - 1e-9)
+group by notice_id
 """,
     ),
     "results": (

@@ -10,8 +10,8 @@ from standcarbon.functions import measures as M
 from standcarbon.functions import parsing as P
 from standcarbon.operators import allocate as A
 from standcarbon.operators.overlay import overlay
-from standcarbon.operators.skew import hot_keys, split_join
-from standcarbon.session import cut_lineage
+from standcarbon.operators.skew import many_to_many
+from standcarbon.session import staged
 
 
 def usable_volume(volume: Column) -> Column:
@@ -20,47 +20,32 @@ def usable_volume(volume: Column) -> Column:
 
 
 class Overlaps:
-    """The overlap table with the stands and notices that hold very many of its rows."""
+    """The overlap table, (notice_id, stand_id, overlap_ha), joined with facts of either side."""
 
     def __init__(self, rows: DataFrame):
         self.rows = rows
 
-    @cached_property
-    def hot_stands(self) -> DataFrame | None:
-        return hot_keys(self.rows, ["stand_id"])
-
-    @cached_property
-    def hot_notices(self) -> DataFrame | None:
-        return hot_keys(self.rows, ["notice_id"])
-
     def totals(self) -> DataFrame:
         return self.rows.groupBy("notice_id").agg(F.sum("overlap_ha").alias("total_overlap_ha"))
 
-    def with_stands(
-        self,
-        facts: DataFrame,
-        rows: DataFrame | None = None,
-        hot_facts: DataFrame | None = None,
-        spread: tuple[str, ...] = (),
+    def with_stands(self, facts: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+        """Overlaps with facts of their stand, one row a stand."""
+        return (self.rows if rows is None else rows).join(facts, "stand_id")
+
+    def with_records(
+        self, records: DataFrame, spread: list[str], rows: DataFrame | None = None
     ) -> DataFrame:
-        """Overlaps with rows of their stand; `hot_facts` are stands with very many such rows."""
-        return split_join(
-            self.rows if rows is None else rows,
-            facts,
-            ["stand_id"],
-            self.hot_stands,
-            ["notice_id"],
-            right_hot=hot_facts,
-            right_spread=spread,
-        )
+        """Overlaps with each of the many rows of their stand; `spread` tells those apart."""
+        rows = self.rows if rows is None else rows
+        return many_to_many(rows, records, ["stand_id"], ["notice_id"], spread)
 
     def with_planned_part(self, notices: DataFrame) -> DataFrame:
         """Overlaps with their share, by area, of the planned volume of the notice."""
         planned = notices.select("notice_id", usable_volume(F.col("planned_volume_m3")).alias("_v"))
         known = self.totals().join(planned, "notice_id")
-        joined = split_join(self.rows, known, ["notice_id"], self.hot_notices, ["stand_id"])
         part = F.col("_v") * F.col("overlap_ha") / F.col("total_overlap_ha")
-        return joined.withColumn("planned_part_m3", part).drop("_v", "total_overlap_ha")
+        joined = self.rows.join(known, "notice_id").withColumn("planned_part_m3", part)
+        return joined.drop("_v", "total_overlap_ha")
 
 
 def intersections(overlaps: Overlaps, notices: DataFrame, rates: DataFrame) -> DataFrame:
@@ -197,30 +182,40 @@ def aggregate_increment(
     return rows.groupBy(key).agg(*[value.alias(name) for name, value in measures.items()])
 
 
+# Volumes closer than this to the largest, in parts of it, are as large: sums made in another order
+# differ in the last digits only.
+TIE = 1e-9
+
+
 def largest_species(overlaps: Overlaps, species: DataFrame) -> DataFrame:
     """Species with the largest volume per notice in either scope, first by name on ties.
 
-    Volumes are compared rounded, because sums in another order differ in the last digits. Within
-    a notice planned volumes are in proportion to weight x area, whatever its volume.
+    Within a notice planned volumes are in proportion to weight x area, whatever its volume.
     """
     named = species.withColumn("species", M.species_name(F.col("species_code")))
     area = F.col("overlap_ha")
     by_species = (
-        overlaps.with_stands(named)
+        overlaps.with_records(named, ["species_code"])
         .groupBy("notice_id", "species")
         .agg(
-            F.round(F.sum(F.col("standing_m3_per_ha") * area), 6).alias("standing"),
-            F.round(F.sum(F.col("harvest_weight") * area), 9).alias("planned"),
+            F.sum(F.col("standing_m3_per_ha") * area).alias("standing"),
+            F.sum(F.col("harvest_weight") * area).alias("planned"),
         )
     )
+    # One entry per species: the lists are as long as the code list at most.
+    listed = by_species.groupBy("notice_id").agg(
+        F.collect_list(F.struct("species", "standing", "planned")).alias("_s")
+    )
 
     def largest(volume: str) -> Column:
-        known = F.col(volume).isNotNull()
-        order = F.struct(-F.col(volume), F.col("species"))
-        return F.min_by(F.when(known, F.col("species")), F.when(known, order))
+        most = F.array_max(F.transform("_s", lambda s: s[volume]))
+        ties = F.filter("_s", lambda s: s[volume] >= most * (1 - TIE))
+        return F.array_min(F.transform(ties, lambda s: s["species"]))
 
-    return by_species.groupBy("notice_id").agg(
-        largest("standing").alias("largest_standing"), largest("planned").alias("largest_planned")
+    return listed.select(
+        "notice_id",
+        largest("standing").alias("largest_standing"),
+        largest("planned").alias("largest_planned"),
     )
 
 
@@ -246,13 +241,11 @@ def species_breakdown(
     notices: DataFrame,
     records: DataFrame,
     stands: DataFrame,
-    hot_records: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (notice, stand, record, scope); the two scopes are never added together."""
     site = stands.select("stand_id", "site_class", "site_type", "drained")
-    records = split_join(records, site, ["stand_id"], hot_records, ["record_id"])
-    parts = overlaps.with_planned_part(notices)
-    listed = overlaps.with_stands(records, parts, hot_records, ("record_id",))
+    parts = staged(overlaps.with_planned_part(notices))
+    listed = overlaps.with_records(records.join(site, "stand_id"), ["record_id"], parts)
     positive = F.col("planned_part_m3") > 0
     scopes = F.array(
         F.struct(
@@ -289,6 +282,50 @@ def species_breakdown(
     )
 
 
+def species_totals(overlaps: Overlaps, notices: DataFrame, rates: DataFrame) -> DataFrame:
+    """(species, estimate_scope, volume_m3, biomass_tco2) over all notices.
+
+    Volumes are linear in area and in planned volume, so both are summed per stand first and no
+    (notice, stand, record) row is formed.
+    """
+    part = F.col("planned_part_m3")
+    stands = (
+        overlaps.with_planned_part(notices)
+        .groupBy("stand_id")
+        .agg(
+            F.sum("overlap_ha").alias("_area"),
+            F.sum(F.when(part > 0, part)).alias("_part"),
+            F.count_if(part == 0).alias("_zeros"),
+        )
+    )
+    joined = stands.join(rates, "stand_id")
+    scopes = F.array(
+        F.struct(
+            F.lit("standing").alias("estimate_scope"),
+            (F.col("standing_m3_per_ha") * F.col("_area")).alias("volume_m3"),
+        ),
+        F.struct(
+            F.lit("planned_harvest").alias("estimate_scope"),
+            (F.col("harvest_weight") * F.col("_part")).alias("volume_m3"),
+        ),
+    )
+    rows = joined.select("species_code", F.explode(scopes).alias("_s")).select("species_code", "_s.*")
+    # A declared volume of zero is a known row without species.
+    zero = stands.filter("_zeros > 0").select(
+        F.lit(None).cast("string").alias("species_code"),
+        F.lit("planned_harvest").alias("estimate_scope"),
+        F.lit(0.0).alias("volume_m3"),
+    )
+    every = rows.filter("volume_m3 is not null").unionByName(zero)
+    by_code = every.groupBy("species_code", "estimate_scope").agg(F.sum("volume_m3").alias("volume_m3"))
+    return by_code.select(
+        M.species_name(F.col("species_code")).alias("species"),
+        "estimate_scope",
+        "volume_m3",
+        M.tco2e(F.col("volume_m3"), F.col("species_code")).alias("biomass_tco2"),
+    )
+
+
 def _standing_labels(basis: Column) -> Column:
     """Aggregate: the labels present, in order. Flags per label keep the aggregation hash-based,
     which a collected set would not."""
@@ -326,19 +363,20 @@ def notice_measures(overlaps: Overlaps, stand_facts: DataFrame) -> DataFrame:
 
 
 def notice_results(
-    notices: DataFrame, measures: DataFrame, largest: DataFrame, as_of: Column
+    notices: DataFrame, measures: DataFrame, largest: DataFrame | None, as_of: Column
 ) -> DataFrame:
-    """NOTICE_RESULT: all notices; one without overlap has coverage 0 and nothing known."""
+    """NOTICE_RESULT: all notices; one without overlap has coverage 0 and nothing known.
+
+    Without `largest` there is no dominant species.
+    """
     area = (
         F.col("area_ha")
         if "area_ha" in notices.columns
         else (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")) / 10000
     )
-    joined = (
-        notices.withColumn("area_ha", area)
-        .join(measures, "notice_id", "left")
-        .join(largest, "notice_id", "left")
-    )
+    joined = notices.withColumn("area_ha", area).join(measures, "notice_id", "left")
+    if largest is not None:
+        joined = joined.join(largest, "notice_id", "left")
     covered = F.col("covered_by_inventory_ha")
     volume = usable_volume(F.col("planned_volume_m3"))
     planned_known = covered.isNotNull() & volume.isNotNull()
@@ -347,9 +385,11 @@ def notice_results(
     standing_complete = F.coalesce("standing_biomass_is_complete", F.lit(False))
     coverage = F.coalesce(F.lit(100.0) * covered, F.lit(0.0)) / F.nullif("area_ha", F.lit(0.0))
     coverage = F.when(covered.isNull(), F.lit(0.0)).otherwise(coverage)
+    if largest is not None:
+        label = F.when(covered.isNotNull(), dominant_label(volume))
+        joined = joined.withColumn("dominant_species", label)
     results = joined.withColumns(
         {
-            "dominant_species": F.when(covered.isNotNull(), dominant_label(volume)),
             "standing_live_biomass_tco2": F.when(standing_complete, F.col("_standing")),
             "planned_harvest_biomass_tco2": F.when(
                 planned_complete,
@@ -388,8 +428,24 @@ def notice_results(
     )
 
 
+_GIVEN, _NUMBERED = "=", "#"
+
+
+def with_row_key(notices: DataFrame) -> DataFrame:
+    """Notices under a key that is never NULL, staged so that it stays the same.
+
+    A notice without id is a notice still: it gets a number of its own.
+    """
+    given = F.concat(F.lit(_GIVEN), F.col("notice_id").cast("string"))
+    number = F.concat(F.lit(_NUMBERED), F.monotonically_increasing_id().cast("string"))
+    return staged(notices.withColumn("notice_id", F.coalesce(given, number)))
+
+
 class Analysis:
-    """The tables of one run. Overlaps and rates are computed once and shared by all of them."""
+    """The tables of one run. Notices, overlaps and allocation are computed once and shared.
+
+    Inside, `notice_id` is a row key; `given` turns it back into the id of the notice.
+    """
 
     def __init__(
         self,
@@ -398,24 +454,34 @@ class Analysis:
         elements: DataFrame,
         as_of: Column | None = None,
     ):
-        self.notices, self.stands, self.elements = notices, stands, elements
+        self.raw_notices, self.raw_stands, self.elements = notices, stands, elements
         self.as_of = F.current_date() if as_of is None else as_of
 
     @cached_property
-    def overlaps(self) -> Overlaps:
-        return Overlaps(cut_lineage(overlay(self.notices, self.stands)))
+    def notices(self) -> DataFrame:
+        return with_row_key(self.raw_notices)
 
     @cached_property
-    def hot_elements(self) -> DataFrame | None:
-        return hot_keys(self.elements, ["stand_id"])
+    def stands(self) -> DataFrame:
+        return staged(self.raw_stands)
+
+    def given(self, df: DataFrame) -> DataFrame:
+        """`df` with the ids the notices came with."""
+        key, kind = F.col("notice_id"), self.raw_notices.schema["notice_id"].dataType
+        known = F.when(key.startswith(_GIVEN), F.substr(key, F.lit(2))).cast(kind)
+        return df.withColumn("notice_id", known)
+
+    @cached_property
+    def overlaps(self) -> Overlaps:
+        return Overlaps(staged(overlay(self.notices, self.stands)))
 
     @cached_property
     def allocation(self) -> DataFrame:
-        return A.stand_allocation(self.stands, A.group_elements(self.elements))
+        return staged(A.stand_allocation(self.stands, A.group_elements(self.elements)))
 
     @cached_property
     def species_rates(self) -> DataFrame:
-        return cut_lineage(A.species_rates(self.allocation))
+        return A.species_rates(self.allocation)
 
     def stand_facts(self) -> DataFrame:
         """Rates and inventory attributes, one row per stand."""
@@ -428,24 +494,32 @@ class Analysis:
     def dominant_species(self) -> DataFrame:
         return dominant_species(self.overlaps, self.notices, A.stand_species(self.species_rates))
 
-    def results(self) -> DataFrame:
+    def keyed_results(self, dominant: bool = True) -> DataFrame:
         measures = notice_measures(self.overlaps, self.stand_facts())
-        largest = largest_species(self.overlaps, A.stand_species(self.species_rates))
+        species = A.stand_species(self.species_rates)
+        largest = largest_species(self.overlaps, species) if dominant else None
         return notice_results(self.notices, measures, largest, self.as_of)
 
+    def results(self, dominant: bool = True) -> DataFrame:
+        """NOTICE_RESULT; without `dominant` the species, which few reports need, is left out."""
+        return self.given(self.keyed_results(dominant))
+
     @cached_property
     def stored_results(self) -> DataFrame:
         """Results computed once, for reports that read them several times."""
-        return cut_lineage(self.results())
+        return staged(self.results(dominant=False))
 
     def records(self) -> DataFrame:
-        return A.stand_records(self.elements, self.allocation, self.hot_elements)
+        return A.stand_records(self.elements, self.allocation)
 
     def species_breakdown(self) -> DataFrame:
-        return species_breakdown(
-            self.overlaps, self.notices, self.records(), self.stands, self.hot_elements
+        return self.given(
+            species_breakdown(self.overlaps, self.notices, self.records(), self.stands)
         )
 
+    def species_totals(self) -> DataFrame:
+        return species_totals(self.overlaps, self.notices, self.species_rates)
+
 
 def analyze(
     notices: DataFrame, stands: DataFrame, elements: DataFrame, as_of: Column | None = None

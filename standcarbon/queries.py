@@ -15,7 +15,6 @@ from standcarbon.operators import allocate as A
 from standcarbon.operators import elements as E
 from standcarbon.operators import lookup as J
 from standcarbon.operators.overlay import overlay, prepare_geometry
-from standcarbon.operators.skew import hot_keys
 from standcarbon.oracles import (
     RESULT_LABELS,
     RESULT_NUMBERS,
@@ -40,7 +39,10 @@ def tidy(df: DataFrame) -> DataFrame:
     """Doubles to four digits, where sums in another order agree; see `steady_rounding`."""
 
     def steady(name: str) -> Column:
-        return (F.floor(F.col(name) * 10000 + 0.4998765432) / 10000).alias(name)
+        value = F.col(name)
+        rounded_ = F.floor(value * 10000 + 0.4998765432) / 10000
+        # floor() counts in whole numbers; NaN, infinities and numbers with no digits to drop stay.
+        return F.when(F.abs(value) < 1e11, rounded_).otherwise(value).alias(name)
 
     kinds = dict(df.dtypes)
     return df.select(*[steady(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
@@ -280,7 +282,7 @@ def unmatched_notice_anti(spark, folder):
 def bbox_fallback(spark, folder):
     notices, stands = X.notices(spark, folder), X.stands(spark, folder)
     unmatched = J.unmatched_notices(notices, J.exact_stands(stands, notices))
-    return J.bbox_stands(unmatched, stands, X.BBOX_PAD)
+    return J.bbox_stands(unmatched, stands, X.BBOX_PAD, geographic=False)
 
 
 @query(
@@ -292,7 +294,8 @@ from matched_stands union all select stand_id, 1 from near) group by stand_id"""
     )
 )
 def stands_for_notices(spark, folder):
-    needed = J.stands_for_notices(X.notices(spark, folder), X.stands(spark, folder), X.BBOX_PAD)
+    notices, stands = X.notices(spark, folder), X.stands(spark, folder)
+    needed = J.stands_for_notices(notices, stands, X.BBOX_PAD, geographic=False)
     return needed.select("stand_id", "frame_rank")
 
 
@@ -385,7 +388,7 @@ where exists (select 1 from overlap_rows o where o.stand_id = e.stand_id)""",
 )
 def detail_pruning(spark, folder):
     a = run(spark, folder)
-    pruned = E.prune_details(a.elements, a.overlaps.rows, a.hot_elements, ("record_id",))
+    pruned = E.prune_details(a.elements, a.overlaps.rows)
     return pruned.select("stand_id", "record_id")
 
 
@@ -529,7 +532,7 @@ def detail_complete(spark, folder):
 )
 def inventory_allocation(spark, folder):
     a = run(spark, folder)
-    return A.inventory_records(a.elements, a.allocation, a.hot_elements)
+    return A.inventory_records(a.elements, a.allocation)
 
 
 @query(
@@ -542,7 +545,7 @@ def inventory_allocation(spark, folder):
 def detail_strata_allocation(spark, folder):
     """1000 m3 over the records of every complete detail."""
     a = run(spark, folder)
-    rows = A.detail_records(a.elements, a.allocation, a.hot_elements)
+    rows = A.detail_records(a.elements, a.allocation)
     return rows.withColumn("volume_m3", F.col("weight") * 1000).drop("weight")
 
 
@@ -559,7 +562,7 @@ group by stand_id) s on s.stand_id = p.stand_id""",
 def standing_volume(spark, folder):
     a = run(spark, folder)
     rates = A.stand_rates(a.species_rates)
-    return a.overlaps.with_stands(rates).select(
+    return a.given(a.overlaps.with_stands(rates)).select(
         "notice_id",
         "stand_id",
         "standing_basis",
@@ -585,7 +588,7 @@ def planned_harvest_volume(spark, folder):
         F.sum("harvest_weight").alias("_weight")
     )
     part = F.col("planned_part_m3")
-    rows = a.overlaps.with_stands(weights, a.overlaps.with_planned_part(a.notices))
+    rows = a.given(a.overlaps.with_stands(weights, a.overlaps.with_planned_part(a.notices)))
     complete = part.isNotNull() & ((part == 0) | (F.col("harvest_rule") != "none"))
     return rows.select(
         "notice_id",
@@ -632,7 +635,7 @@ union all select stand_id, null, null, null, null, null, 0 from {_PART_VOLUMES}
 def planned_from_species(spark, folder):
     elements = X.elements(spark, folder)
     volumes = _part_volumes(spark, folder, "volume_m3")
-    return A.planned_records(elements, volumes, hot_keys(elements, ["stand_id"]))
+    return A.planned_records(elements, volumes)
 
 
 @query(
@@ -648,39 +651,26 @@ where e.share_pct > 0)""",
 def allocate_by_share(spark, folder):
     elements = X.elements(spark, folder)
     volumes = _part_volumes(spark, folder, "total_volume_m3")
-    rows = A.allocate_by_share(elements, volumes, hot_keys(elements, ["stand_id"]))
+    rows = A.allocate_by_share(elements, volumes)
     return rows.select("stand_id", "record_id", "species_code", "volume_m3", "carbon_co2e_t")
 
 
 @query(
     sql(
-        f"""select notice_id, stand_id, species_code, round(sum(volume), 4) as volume_m3,
-round(sum({tco2e_sql("volume")}), 4) as carbon_co2e_t
-from (select p.notice_id, e.stand_id, e.species_code, p.planned_part * e.share_pct
+        f"""select notice_id, stand_id, record_id, species_code, round(volume, 4) as volume_m3,
+round({tco2e_sql("volume")}, 4) as carbon_co2e_t
+from (select p.notice_id, e.stand_id, e.record_id, e.species_code, p.planned_part * e.share_pct
     / sum(e.share_pct) over (partition by p.notice_id, e.stand_id) as volume
   from parts p join elements e on e.stand_id = p.stand_id
-  where p.planned_part > 0 and e.share_pct > 0)
-group by notice_id, stand_id, species_code""",
+  where p.planned_part > 0 and e.share_pct > 0)""",
         "parts",
         "elements",
     )
 )
 def prorate_notice_volume(spark, folder):
-    """Planned volume by overlap and share, per species."""
+    """Planned volume by overlap and share, per species record."""
     a = run(spark, folder)
-    shares = a.elements.filter("share_pct > 0").groupBy("stand_id", "species_code").agg(
-        F.sum("share_pct").alias("_share")
-    )
-    totals = shares.groupBy("stand_id").agg(F.sum("_share").alias("_total"))
-    parts = a.overlaps.with_planned_part(a.notices).filter("planned_part_m3 > 0")
-    volume = F.col("planned_part_m3") * F.col("_share") / F.col("_total")
-    return a.overlaps.with_stands(shares.join(totals, "stand_id"), parts).select(
-        "notice_id",
-        "stand_id",
-        "species_code",
-        volume.alias("volume_m3"),
-        M.tco2e(volume, F.col("species_code")).alias("carbon_co2e_t"),
-    )
+    return a.given(A.prorate_by_share(a.elements, a.overlaps.with_planned_part(a.notices)))
 
 
 @query(
@@ -726,7 +716,8 @@ round(current_den, 4) as weighted_current_age_den from crossings""",
     )
 )
 def intersections(spark, folder):
-    return run(spark, folder).intersections()
+    a = run(spark, folder)
+    return a.given(a.intersections())
 
 
 @query(
@@ -740,7 +731,8 @@ planned_harvest_biomass_is_complete from combined""",
     )
 )
 def aggregate_intersections(spark, folder):
-    return N.aggregate_intersections(run(spark, folder).intersections())
+    a = run(spark, folder)
+    return a.given(N.aggregate_intersections(a.intersections()))
 
 
 @query(
@@ -750,7 +742,8 @@ def aggregate_intersections(spark, folder):
     )
 )
 def weighted_ages(spark, folder):
-    return N.weighted_ages(run(spark, folder).intersections())
+    a = run(spark, folder)
+    return a.given(N.weighted_ages(a.intersections()))
 
 
 @query(
@@ -761,7 +754,8 @@ def weighted_ages(spark, folder):
     )
 )
 def overlap_totals(spark, folder):
-    return run(spark, folder).overlaps.totals()
+    a = run(spark, folder)
+    return a.given(a.overlaps.totals())
 
 
 @query(
@@ -776,7 +770,7 @@ as inventory_recency from inventory""",
 def oldest_inventory(spark, folder):
     a = run(spark, folder)
     rows = a.overlaps.with_stands(a.stands.select("stand_id", "inventory_date"))
-    return N.oldest_inventory(rows, a.as_of)
+    return a.given(N.oldest_inventory(rows, a.as_of))
 
 
 _INCREMENT = (
@@ -797,7 +791,7 @@ from increment""",
 def increment_aggregate(spark, folder):
     a = run(spark, folder)
     rates = a.stands.select("stand_id", "current_increment_m3_ha_y")
-    return N.aggregate_increment(a.overlaps.with_stands(rates))
+    return a.given(N.aggregate_increment(a.overlaps.with_stands(rates)))
 
 
 @query(
@@ -809,7 +803,8 @@ left join dominant d on d.notice_id = o.notice_id""",
     )
 )
 def dominant_species(spark, folder):
-    return run(spark, folder).dominant_species()
+    a = run(spark, folder)
+    return a.given(a.dominant_species())
 
 
 _RESULT_LIST = ", ".join(RESULT_LABELS) + ", " + rounded(*RESULT_NUMBERS)
@@ -831,7 +826,7 @@ from results where standing_live_biomass_tco2 is not null""",
     )
 )
 def known_estimates(spark, folder):
-    known = R.known_estimates(run(spark, folder).results(), "standing_live_biomass_tco2")
+    known = R.known_estimates(run(spark, folder).results(dominant=False), "standing_live_biomass_tco2")
     return known.select("notice_id", "standing_live_biomass_tco2")
 
 
@@ -847,7 +842,7 @@ from results""",
     )
 )
 def kpi_rollup(spark, folder):
-    return R.kpi_rollup(run(spark, folder).results())
+    return R.kpi_rollup(run(spark, folder).results(dominant=False))
 
 
 @query(
@@ -862,7 +857,7 @@ from results""",
     )
 )
 def label_sets(spark, folder):
-    return R.label_sets(run(spark, folder).results())
+    return R.label_sets(run(spark, folder).results(dominant=False))
 
 
 @query(
@@ -875,7 +870,7 @@ as increment_m3_ha_y from results where current_increment_is_complete""",
     )
 )
 def increment_rollup(spark, folder):
-    return R.increment_rollup(run(spark, folder).results())
+    return R.increment_rollup(run(spark, folder).results(dominant=False))
 
 
 @query(
@@ -886,7 +881,7 @@ def increment_rollup(spark, folder):
     )
 )
 def coverage_counts(spark, folder):
-    return R.value_counts(run(spark, folder).results(), "spatial_coverage_quality")
+    return R.value_counts(run(spark, folder).results(dominant=False), "spatial_coverage_quality")
 
 
 @query(
@@ -896,7 +891,7 @@ def coverage_counts(spark, folder):
     )
 )
 def recency_counts(spark, folder):
-    return R.value_counts(run(spark, folder).results(), "inventory_recency")
+    return R.value_counts(run(spark, folder).results(dominant=False), "inventory_recency")
 
 
 @query(
@@ -918,7 +913,7 @@ round(sum(biomass_tco2), 4) as biomass_tco2 from breakdown group by species, est
     )
 )
 def species_rollup(spark, folder):
-    return R.species_rollup(run(spark, folder).species_breakdown())
+    return R.species_rollup(run(spark, folder).species_totals())
 
 
 @query(
@@ -930,7 +925,7 @@ as planned_harvest from breakdown group by species""",
     )
 )
 def species_pivot(spark, folder):
-    return R.species_pivot(run(spark, folder).species_breakdown())
+    return R.species_pivot(run(spark, folder).species_totals())
 
 
 @query(

@@ -23,7 +23,7 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.codegen.hugeMethodLimit": "8000",
         # A batch that goes to Python ends at either bound, so long rows cannot pile up.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
-        "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     }.items():
         spark.conf.set(key, value)
     _ship(spark)

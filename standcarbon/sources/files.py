@@ -10,6 +10,8 @@ from standcarbon.functions import parsing as P
 from standcarbon.operators.elements import latest_details
 
 _NUMBERS = "array<double>"
+# Collections inside collections; the format advises against any.
+COLLECTION_DEPTH = 6
 
 
 def parse_geometry(geometry: Column) -> Column:
@@ -35,10 +37,25 @@ def parse_geometry(geometry: Column) -> Column:
             kind == "Polygon", F.array(rings(f"array<array<{_NUMBERS}>>", json))
         ).when(kind == "MultiPolygon", rings(f"array<array<array<{_NUMBERS}>>>", json))
 
-    members = F.from_json(geometry, "geometries array<string>")["geometries"]
-    collected = F.flatten(F.filter(F.transform(members, simple), lambda part: part.isNotNull()))
-    is_collection = F.get_json_object(geometry, "$.type") == "GeometryCollection"
-    return typed(F.when(is_collection, collected).otherwise(simple(geometry)))
+    def opened(members: Column) -> Column:
+        """Collections among the members replaced by what they hold."""
+
+        def held(json: Column) -> Column:
+            inner = F.from_json(json, "geometries array<string>")["geometries"]
+            is_collection = F.get_json_object(json, "$.type") == "GeometryCollection"
+            return F.when(is_collection, F.coalesce(inner, F.array().cast("array<string>"))).otherwise(
+                F.array(json)
+            )
+
+        return F.flatten(F.transform(members, held))
+
+    members = F.array(geometry)
+    for _ in range(COLLECTION_DEPTH):
+        members = opened(members)
+    parts = F.filter(F.transform(members, simple), lambda part: part.isNotNull())
+    # Most features are no collections and are parsed once.
+    nested = geometry.contains("GeometryCollection")
+    return typed(F.when(nested, F.flatten(parts)).otherwise(simple(geometry)))
 
 
 def read_features(
@@ -60,6 +77,28 @@ def read_features(
     )
 
 
+def snapshot_features(snapshots: DataFrame, properties: Sequence[str]) -> DataFrame:
+    """Features of the pages kept as snapshots: (namespace, key) and as from `read_features`."""
+    page = F.from_json("payload", S.FEATURE_PAGE)
+    features = snapshots.select(
+        "namespace", "key", F.explode(page["features"]).alias("feature")
+    ).select("namespace", "key", "feature.*")
+    return features.select(
+        "namespace",
+        "key",
+        *[F.col("properties")[name].alias(name) for name in properties],
+        parse_geometry(F.col("geometry")).alias("geometry"),
+    )
+
+
+def snapshot_details(snapshots: DataFrame) -> DataFrame:
+    """Details of the documents kept as snapshots, as from `read_details`; a broken one gives none."""
+    parsed = snapshots.select("cached_at", F.from_json("payload", S.DETAIL_DOCUMENT).alias("d"))
+    stored = F.col("cached_at").cast("string").alias("cached_at")
+    fields = [f"d.{name}" for name in S.DETAIL_DOCUMENT.names if name != "cached_at"]
+    return _details(parsed.select(*fields, stored))
+
+
 def read_details(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(stand_id, elements, …) per stand; broken documents give no row, the latest one counts."""
     documents = (
@@ -68,6 +107,10 @@ def read_details(spark: SparkSession, path: str, lines: bool = False) -> DataFra
         .option("mode", "DROPMALFORMED")
         .json(path)
     )
+    return _details(documents)
+
+
+def _details(documents: DataFrame) -> DataFrame:
     known = documents.select(
         P.stand_join_id(F.col("_stand_id")).alias("stand_id"),
         F.coalesce("elemendid", F.array().cast("array<string>")).alias("elements"),

@@ -49,29 +49,23 @@ def filter_period(df: DataFrame, start: date, end: date, column: str = "submitte
 def profile_dates(
     df: DataFrame, order: str, sample: int = 20, skip: Sequence[str] = ("geometry",)
 ) -> DataFrame:
-    """Share of parseable dates among the first `sample` known values of every column."""
-    names = [name for name in df.columns if name not in skip]
-    values = F.array(
-        *[
-            F.struct(
-                F.lit(place).alias("position"),
-                F.lit(name).alias("column_name"),
-                F.col(name).cast("string").alias("value"),
-            )
-            for place, name in enumerate(names)
-        ]
-    )
-    # The rank filter is pushed before the shuffle: each task sends `sample` rows per column.
-    first = Window.partitionBy("column_name").orderBy("_order", "value")
-    cells = df.select(F.col(order).alias("_order"), F.explode(values).alias("_cell")).select(
-        "_order", "_cell.*"
-    )
-    return (
-        cells.filter("value is not null")
-        .withColumn("_rank", F.row_number().over(first))
-        .filter(F.col("_rank") <= sample)
-        .groupBy("position", "column_name")
-        .agg(F.avg(P.iso_date(F.col("value")).isNotNull().cast("double")).alias("parse_rate"))
+    """Share of parseable dates among the first `sample` known values of every column.
+
+    A bounded top-n per column: tasks send `sample` values each, and a scan reads the column and
+    the order only.
+    """
+    columns = []
+    for place, name in enumerate(n for n in df.columns if n not in skip):
+        known = df.select(F.col(order).alias("o"), F.col(name).cast("string").alias("v"))
+        top = known.filter("v is not null").orderBy("o", "v").limit(sample)
+        columns.append(
+            top.select(F.lit(place).alias("position"), F.lit(name).alias("column_name"), "v")
+        )
+    cells = columns[0]
+    for column in columns[1:]:
+        cells = cells.unionByName(column)
+    return cells.groupBy("position", "column_name").agg(
+        F.avg(P.iso_date(F.col("v")).isNotNull().cast("double")).alias("parse_rate")
     )
 
 
@@ -180,18 +174,51 @@ def dedupe_first(df: DataFrame, key: Sequence[str] | None, order: Sequence[str])
 def limit_per_layer(
     df: DataFrame, layers: Sequence[str], rows: int | None, order: Sequence[str]
 ) -> DataFrame:
-    """At most `rows` rows of each layer, first by `order`; None keeps all.
+    """At most `rows` rows of each of these layers, first by `order`; None keeps all.
 
-    A top-n per layer merges short sorted lists; a rank over a layer would sort it in one task.
+    Rows of other layers, or of none, are not limited. A top-n per layer merges short sorted
+    lists; a rank over a layer would sort it in one task.
     """
     if rows is None:
-        return df.filter(F.col("source_layer").isin(*layers))
-    parts = [df.filter(F.col("source_layer") == name).orderBy(*order).limit(rows) for name in layers]
-    united = parts[0]
-    for part in parts[1:]:
-        united = united.unionByName(part)
+        return df
+    listed = F.coalesce(F.col("source_layer").isin(*layers), F.lit(False))
+    united = df.filter(~listed)
+    for name in layers:
+        top = df.filter(F.col("source_layer") == name).orderBy(*order).limit(rows)
+        united = united.unionByName(top)
     return united
 
 
+def load_notices(
+    layers: dict[str, DataFrame | Exception],
+    start: date,
+    end: date,
+    rows: int | None = None,
+    order: str | None = None,
+) -> DataFrame:
+    """NOTICE from raw layers: per layer its date column is found, the period filtered and the
+    rows limited; then layers are united, and of several rows with one id the last layer's and
+    latest stays. Without an id column the first row of each geometry stays.
+    """
+    prepared: dict[str, DataFrame | Exception] = {}
+    for name, layer in layers.items():
+        if isinstance(layer, Exception):
+            prepared[name] = layer
+            continue
+        place = order or layer.columns[0]
+        dated = detect_date_column(layer, place)
+        inside = filter_period(layer, start, end, dated)
+        prepared[name] = inside if rows is None else inside.orderBy(place).limit(rows)
+    united = union_layers(prepared)
+    canonical = canonical_notices(united, order)
+    if resolve_column(united.columns, S.NOTICE_ID_NAMES):
+        return dedupe_latest(canonical, ["notice_id"], ["source_rank", "submitted_date", *_TIES])
+    return dedupe_first(canonical, None, ["source_rank", "submitted_date"])
+
+
+# What decides between rows of one id, layer and day, so that a retried task decides alike.
+_TIES = ("planned_volume_m3", "harvest_type")
+
+
 def sample_layer(df: DataFrame, rows: int = 5) -> DataFrame:
     return df.limit(rows)

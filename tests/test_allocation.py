@@ -4,7 +4,6 @@ import pytest
 
 from standcarbon import schemas as S
 from standcarbon.operators import allocate as A
-from standcarbon.operators.skew import hot_keys
 
 STAND = (
     "stand_id string, stock_layer_1 double, stock_layer_2 double, stock_young double, "
@@ -49,26 +48,26 @@ def allocate(spark, components, records, stock="sum"):
 
 
 NONE = (None, None, None)
-SHARES = [(None, "KS", 80, None), (None, "KU", 10, None), (None, "HB", 5, None),
+SHARES = [(None, "KS", 70, None), (None, "KU", 15, None), (None, "HB", 10, None),
           (None, "LM", 5, None)]
 
 
 def test_detail_stock_comes_first(spark):
-    basis, standing, _ = allocate(spark, NONE, [(None, "KS", 100, 100)], stock=109.0)
-    assert (basis, standing) == (S.DETAIL_STOCK, {"0": 100.0})
+    basis, standing, _ = allocate(spark, NONE, [(None, "KS", 100, 64)], stock=71.0)
+    assert (basis, standing) == (S.DETAIL_STOCK, {"0": 64.0})
 
 
 def test_stand_stock_is_spread_by_shares(spark):
-    basis, standing, weights = allocate(spark, NONE, SHARES, stock=109.0)
+    basis, standing, weights = allocate(spark, NONE, SHARES, stock=120.0)
     assert basis == S.ALLOCATED_STOCK
-    assert list(standing.values()) == pytest.approx([87.2, 10.9, 5.45, 5.45])
-    assert list(weights.values()) == pytest.approx([0.8, 0.1, 0.05, 0.05])
+    assert list(standing.values()) == pytest.approx([84.0, 18.0, 12.0, 6.0])
+    assert list(weights.values()) == pytest.approx([0.7, 0.15, 0.1, 0.05])
 
 
 def test_no_stock_is_unknown_but_single_stratum_shares_carry_a_harvest(spark):
     basis, standing, weights = allocate(spark, NONE, SHARES)
     assert (basis, standing) == (S.UNKNOWN, {})
-    assert list(weights.values()) == pytest.approx([0.8, 0.1, 0.05, 0.05])
+    assert list(weights.values()) == pytest.approx([0.7, 0.15, 0.1, 0.05])
 
 
 def test_two_strata_without_stock_carry_nothing(spark):
@@ -77,25 +76,20 @@ def test_two_strata_without_stock_carry_nothing(spark):
 
 
 def test_harvest_uses_shares_within_each_stratum(spark):
-    records = [("1", "KU", 54, 123), ("1", "MA", 31, 71), ("1", "KS", 11, 25), ("1", "HB", 4, 9),
-               ("2", "KU", 100, 16)]
-    basis, standing, weights = allocate(spark, (228, 16, 0), records)
+    records = [("1", "LM", 60, 90), ("1", "SA", 25, 38), ("2", "MA", 100, 50), ("1", "TA", 15, 22)]
+    basis, standing, weights = allocate(spark, (150, 50, 0), records)
     assert basis == S.DETAIL_STOCK
-    assert standing == {"0": 123.0, "1": 71.0, "2": 25.0, "3": 9.0, "4": 16.0}
-    assert [weights[str(i)] for i in range(5)] == pytest.approx(
-        [228 / 244 * s for s in (0.54, 0.31, 0.11, 0.04)] + [16 / 244]
-    )
+    assert standing == {"0": 90.0, "1": 38.0, "2": 50.0, "3": 22.0}
+    assert [weights[str(i)] for i in range(4)] == pytest.approx([0.45, 0.1875, 0.25, 0.1125])
 
 
 def test_rounded_zero_stock_keeps_its_share_and_shrubs_get_nothing(spark):
-    records = [("1", "KS", 95, 2), ("1", "HB", 5, 0), ("Y", "MA", 75, 4), ("Y", "KS", 25, 1),
-               ("A", "PK", None, None), ("A", "PA", 100, 9)]
-    basis, standing, weights = allocate(spark, (2, None, 5), records)
+    records = [("A", "SP", 40, 3), ("Y", "LV", 100, 9), ("1", "LM", 92, 6), ("1", "TA", 8, 0),
+               ("A", "TO", None, None)]
+    basis, standing, weights = allocate(spark, (6, None, 9), records)
     assert basis == S.DETAIL_STOCK
-    assert standing == {"0": 2.0, "1": 0.0, "2": 4.0, "3": 1.0}
-    assert [weights[str(i)] for i in range(4)] == pytest.approx(
-        [2 / 7 * 0.95, 2 / 7 * 0.05, 5 / 7 * 0.75, 5 / 7 * 0.25]
-    )
+    assert standing == {"1": 9.0, "2": 6.0, "3": 0.0}
+    assert [weights[str(i)] for i in (1, 2, 3)] == pytest.approx([0.6, 0.4 * 0.92, 0.4 * 0.08])
 
 
 def test_share_gap_falls_back_to_stocks_of_that_stratum(spark):
@@ -161,7 +155,7 @@ def test_bare_species_list(spark):
     volumes = spark.createDataFrame([("1", 18.0)], "stand_id string, volume_m3 double")
     _, elements = frames(spark, NONE, SHARES)
     got = A.planned_records(elements, volumes).orderBy("record_id").collect()
-    assert [r["volume_m3"] for r in got] == pytest.approx([14.4, 1.8, 0.9, 0.9])
+    assert [r["volume_m3"] for r in got] == pytest.approx([12.6, 2.7, 1.8, 0.9])
     _, elements = frames(spark, NONE, [("1", "MA", 10, 30), ("2", "KS", 10, 60)])
     got = A.planned_records(elements, volumes).orderBy("record_id").collect()
     assert [r["volume_m3"] for r in got] == pytest.approx([6.0, 12.0])
@@ -186,13 +180,11 @@ def test_one_unusable_volume_makes_the_total_unknown(spark):
     assert (got["b"], got["c"]) == (None, None)
 
 
-def test_hot_stand_is_split_without_change(spark):
-    stands, elements = frames(
-        spark, NONE, [(None, "MA", 1 + i % 7, None) for i in range(500)], stock=50.0
+def test_proration_lists_every_record(spark):
+    _, elements = frames(spark, NONE, [(None, "MA", 30, 1), (None, "MA", 10, 1), (None, "KU", None, 1)])
+    parts = spark.createDataFrame(
+        [("n", "1", 8.0), ("m", "1", 0.0), ("o", "1", None), ("p", "2", 5.0)],
+        "notice_id string, stand_id string, planned_part_m3 double",
     )
-    allocation = A.stand_allocation(stands, A.group_elements(elements))
-    hot = hot_keys(elements, ["stand_id"], rows_per_task=50)
-    assert [tuple(r) for r in hot.collect()] == [("1", 10)]
-    whole = A.stand_records(elements, allocation).orderBy("record_id").collect()
-    assert A.stand_records(elements, allocation, hot).orderBy("record_id").collect() == whole
-    assert len(whole) == 500
+    got = A.prorate_by_share(elements, parts).orderBy("record_id").collect()
+    assert [(r["notice_id"], r["record_id"], r["volume_m3"]) for r in got] == [("n", "0", 6.0), ("n", "1", 2.0)]

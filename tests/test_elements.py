@@ -41,13 +41,13 @@ def test_elements_are_typed_and_negative_stock_dropped(spark):
 
 
 def test_raw_element_is_kept(spark):
-    raw = {"id": 1, "tagavara": 16, "enamus": False, "mahtTm": 19.2}
+    raw = {"id": 9, "tagavara": 41, "enamus": True, "mahtTm": 7.5}
     row = E.normalize_elements(details(spark, raw)).first()
     assert json.loads(row["raw_json"]) == raw
 
 
 def stand(spark, **fields):
-    row = {"id": "12148722", "katastri_nr": "50404:002:0131", "eraldise_nr": "2"} | fields
+    row = {"id": "40817", "katastri_nr": "12345:001:0042", "eraldise_nr": "9"} | fields
     return E.build_stands(
         spark.createDataFrame([row], ", ".join(f"{name} string" for name in row)),
         F.lit(date(2026, 8, 9)),
@@ -56,21 +56,21 @@ def stand(spark, **fields):
 
 def test_stand_fields(spark):
     row = stand(
-        spark, invent_kp="2021-07-29Z", tagavara_1_ha="228", tagavara_2_ha="14", tagavara_y_ha="7",
-        juurdekasv="3.8", kuivendatud="true", boniteedi_kood=" ", pindala="1.45",
+        spark, invent_kp="2019-05-14Z", tagavara_1_ha="180", tagavara_2_ha="25", tagavara_y_ha="5",
+        juurdekasv="2.6", kuivendatud="true", boniteedi_kood=" ", pindala="3.15",
     )
-    assert (row["stand_id"], row["stand_number"], row["stock_m3_ha"]) == ("12148722", 2, 249.0)
-    assert row["inventory_date"] == date(2021, 7, 29)
-    assert row["inventory_age_years"] == pytest.approx(5 + 11 / 365)
-    assert (row["drained"], row["site_class"], row["area_ha"]) == (True, None, 1.45)
+    assert (row["stand_id"], row["stand_number"], row["stock_m3_ha"]) == ("40817", 9, 210.0)
+    assert row["inventory_date"] == date(2019, 5, 14)
+    assert row["inventory_age_years"] == pytest.approx(7 + 87 / 365)
+    assert (row["drained"], row["site_class"], row["area_ha"]) == (True, None, 3.15)
 
 
 def test_unusable_components_stay_out_but_auditable(spark):
-    row = stand(spark, tagavara_1_ha="nan", tagavara_2_ha="-2", tagavara_y_ha="7")
-    assert (row["stock_layer_1"], row["stock_layer_2"], row["stock_young"]) == (None, None, 7.0)
-    assert row["stock_m3_ha"] == 7.0
+    row = stand(spark, tagavara_1_ha="nan", tagavara_2_ha="-3", tagavara_y_ha="4")
+    assert (row["stock_layer_1"], row["stock_layer_2"], row["stock_young"]) == (None, None, 4.0)
+    assert row["stock_m3_ha"] == 4.0
     assert row["raw_stock_inputs"] == {
-        "tagavara_1_ha": "nan", "tagavara_2_ha": "-2", "tagavara_y_ha": "7",
+        "tagavara_1_ha": "nan", "tagavara_2_ha": "-3", "tagavara_y_ha": "4",
     }
 
 
@@ -111,3 +111,16 @@ def test_later_document_wins(spark):
     )
     kept = {r["stand_id"]: r["elements"] for r in E.latest_details(docs, "at").collect()}
     assert kept == {"1": ["b"], "2": ["c"]}
+
+
+def test_summary_rows_and_site(spark):
+    schema = "stand_id string, pos long, species_code string, stock_m3_ha double, share_pct double"
+    rows = [("7", 0, "KS", 3.0, None), ("7", 1, "MA", -1.0, 9.0), ("7", 2, "KU", None, 5.0), ("7", 3, "HB", None, 0.0)]
+    got = E.usable_species(spark.createDataFrame(rows, schema)).orderBy("pos").collect()
+    assert [(r["species_code"], r["wood_density"]) for r in got] == [("KS", 0.51), ("KU", 0.40)]
+
+
+def test_a_feed_may_carry_names_that_are_produced(spark):
+    raw = spark.createDataFrame([("8.0", "8", "x", 1.0)], "id string, stand_id string, site_type string, minx double")
+    row = E.build_stands(raw, F.lit(date(2026, 8, 9))).first()
+    assert (row["stand_id"], row["site_type"], row["minx"]) == ("8", None, 1.0)

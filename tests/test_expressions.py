@@ -51,13 +51,13 @@ def test_booleans(spark):
 @pytest.mark.parametrize(
     ("since", "as_of", "years"),
     [
-        (date(2020, 8, 9), date(2023, 8, 9), 3.0),
-        (date(2020, 2, 29), date(2023, 2, 28), 3.0),
-        (date(2020, 2, 29), date(2029, 2, 28), 9.0),
-        (date(2021, 2, 28), date(2024, 2, 29), 3 + 1 / 366),
-        (date(2021, 7, 29), date(2026, 8, 9), 5 + 11 / 365),
-        (date(2024, 1, 31), date(2023, 12, 31), -31 / 366),
-        (date(2024, 5, 1), date(2024, 5, 1), 0.0),
+        (date(2017, 4, 3), date(2021, 4, 3), 4.0),
+        (date(2016, 2, 29), date(2018, 2, 28), 2.0),
+        (date(2012, 2, 29), date(2019, 2, 28), 7.0),
+        (date(2017, 2, 28), date(2020, 2, 29), 3 + 1 / 366),
+        (date(2019, 5, 14), date(2026, 8, 9), 7 + 87 / 365),
+        (date(2020, 1, 31), date(2019, 12, 31), -31 / 366),
+        (date(2022, 6, 7), date(2022, 6, 7), 0.0),
     ],
 )
 def test_age_counts_anniversaries(spark, since, as_of, years):

@@ -14,7 +14,7 @@ from standcarbon.operators.grid import box_join
 from standcarbon.operators.lookup import bbox_stands, stands_for_notices
 from standcarbon.operators.overlay import overlay, prepare_geometry
 from standcarbon.operators import skew
-from standcarbon.operators.skew import hot_keys, split_join
+from standcarbon.operators.skew import crowded_keys, many_to_many
 
 ORIGIN = 6_500_000.0
 
@@ -60,7 +60,7 @@ def test_boxes_of_all_sizes_meet_once(spark, cell):
 
 
 def test_one_huge_box_over_many_small_ones_splits_its_cell(spark, monkeypatch):
-    monkeypatch.setattr(skew, "ROWS_PER_TASK", 20)
+    monkeypatch.setattr(skew, "PAIRS_PER_TASK", 20)
     a = [(x * 10, 0, x * 10 + 5, 5) for x in range(300)]
     b = [(-1e6, -1e6, 1e6, 1e6), (0, 0, 20, 20)]
     left, right = boxes(spark, a, "notice_id"), boxes(spark, b, "stand_id")
@@ -68,7 +68,7 @@ def test_one_huge_box_over_many_small_ones_splits_its_cell(spark, monkeypatch):
         keys = ("stand_id", "notice_id") if flip else ("notice_id", "stand_id")
         got = box_join(first, second, *keys)
         plan = got._jdf.queryExecution().optimizedPlan().toString()
-        assert ("_right_part" if flip else "_part") in plan
+        assert "_left_part" in plan and "_right_part" in plan
         ends = ("r_notice_id", "l_stand_id") if flip else ("l_notice_id", "r_stand_id")
         found = {tuple(r[end] for end in ends) for r in got.collect()}
         assert got.count() == len(found) and found == set(brute(a, b))
@@ -102,7 +102,7 @@ def test_referenced_stands_first_then_neighbours_of_unmatched(spark):
         ),
         "stand_id",
     )
-    got = stands_for_notices(notices, stands, pad=1.0).orderBy("stand_id").collect()
+    got = stands_for_notices(notices, stands, pad=1.0, geographic=False).orderBy("stand_id").collect()
     assert [(r["stand_id"], r["frame_rank"]) for r in got] == [("0", 0), ("2", 1)]
 
 
@@ -200,14 +200,45 @@ def test_area_and_projection(spark):
     assert np.hypot(q[1]["x"] - q[0]["x"], q[1]["y"] - q[0]["y"]) == pytest.approx(width, rel=1e-7)
 
 
-def test_split_join_keeps_every_row(spark):
-    left = spark.range(1000).selectExpr("case when id < 700 then 1 else id end as k", "id as row")
-    right = spark.createDataFrame([(1, "a"), (1, "b"), (800, "c")], "k long, v string")
-    hot = hot_keys(left, ["k"], rows_per_task=100)
-    assert [tuple(r) for r in hot.collect()] == [(1, 7)]
-    split = split_join(left, right, ["k"], hot, ["row"]).select("k", "row", "v")
-    plain = left.join(right, "k").select("k", "row", "v")
-    assert sorted(split.collect()) == sorted(plain.collect())
-    outer = split_join(left, right, ["k"], hot, ["row"], how="left")
-    assert outer.count() == 1400 + 300
-    assert hot_keys(left, ["k"], rows_per_task=1000) is None
+def test_boxes_larger_than_any_fixed_level(spark):
+    """A corner that is finite but absurd is one cell on a coarse level, not billions."""
+    left = boxes(spark, [(-1e17, -1e17, 1e17, 1e17), (0, 0, 1, 1)], "notice_id")
+    right = boxes(spark, [(0, 0, 10, 10), (-1e30, 0, 1e30, 5)], "stand_id")
+    got = {(r["l_notice_id"], r["r_stand_id"]) for r in box_join(left, right, "notice_id", "stand_id").collect()}
+    assert got == {("0", "0"), ("0", "1"), ("1", "0"), ("1", "1")}
+
+
+def test_crowded_keys_on_both_sides(spark, monkeypatch):
+    left = spark.range(300).selectExpr("case when id < 200 then 1 else id end as k", "id as a")
+    right = spark.range(500).selectExpr("case when id < 150 then 1 when id < 200 then null else id end as k", "id as b")
+    crowded = crowded_keys(left, right, ["k"], 100)
+    assert [tuple(r) for r in crowded.collect()] == [(1, 20, 15)]
+    plain = sorted(left.join(right, "k").select("k", "a", "b").collect())
+    monkeypatch.setattr(skew, "PAIRS_PER_TASK", 100)
+    dealt = many_to_many(left, right, ["k"], ["a"], ["b"])
+    assert sorted(dealt.select("k", "a", "b").collect()) == plain and len(plain) == 200 * 150 + 100
+    assert crowded_keys(left, right, ["k"], 10**6).isEmpty()
+
+
+def test_adaptive_execution_splits_a_heavy_key(spark):
+    """Joins with one row per key on one side rely on this."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        many = spark.range(0, 60_000, 1, 6).selectExpr("if(id % 3 > 0, 1, id) as k", "id as a")
+        one = spark.range(60_000).selectExpr("id as k", "id * 2 as b")
+        joined = many.join(one, "k")
+        assert len(joined.collect()) == 60_000
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -29,7 +29,7 @@ def sql():
 
 def plain(value):
     if isinstance(value, float) and math.isnan(value):
-        return None
+        return "NaN"
     if isinstance(value, datetime):
         return value.isoformat()
     if isinstance(value, date):

@@ -38,7 +38,7 @@ def skewed(tmp_path_factory):
 @pytest.mark.parametrize("name", HEAVY)
 def test_hot_keys_change_nothing(spark, skewed, monkeypatch, name):
     folder, connection = skewed
-    monkeypatch.setattr(skew, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(skew, "PAIRS_PER_TASK", 50)
     ours = entry.queries()[name](spark, folder)
     theirs = connection.sql(entry.oracle_sql()[name])
     columns = sorted(ours.columns)

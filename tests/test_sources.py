@@ -73,6 +73,9 @@ def test_cap_per_layer(spark):
         return [(r["source_layer"], r["id"]) for r in capped.orderBy("source_layer", "id").collect()]
     assert count(2) == [("a", 0), ("a", 1), ("b", 7), ("b", 8)]
     assert len(count(None)) == 10
+    other = df.selectExpr("id", "nullif(if(id < 2, 'a', if(id < 5, 'c', 'd')), 'd') as source_layer")
+    kept = layers.limit_per_layer(other, ["a"], 1, ["id"]).collect()
+    assert sorted(r["id"] for r in kept) == [0, 2, 3, 4, 5, 6, 7, 8, 9]
 
 
 def test_date_column_by_name_else_by_content(spark):
@@ -88,12 +91,12 @@ def test_date_column_by_name_else_by_content(spark):
 def test_canonical_tables(spark):
     notices = spark.sql(
         "select '7' as id, '2026-03-01Z' as registreeritud, '12.5' as raie_maht, 'LR' as raieliik, "
-        "'50404:002:0131' as katastri_nr, '2.0' as eraldise_nr"
+        "'12345:001:0042' as katastri_nr, '2.0' as eraldise_nr"
     )
     row = layers.canonical_notices(notices).first().asDict()
     assert row == {
         "notice_id": "7", "submitted_date": date(2026, 3, 1), "harvest_type": "LR",
-        "cadastral_ref": "50404:002:0131", "stand_number": 2, "planned_volume_m3": 12.5,
+        "cadastral_ref": "12345:001:0042", "stand_number": 2, "planned_volume_m3": 12.5,
     }
     stands = layers.canonical_stands(spark.sql("select '12.0' as eraldis_id")).first()
     assert (stands["id"], stands["stand_id"]) == ("12.0", "12")
