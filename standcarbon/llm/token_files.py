@@ -8,9 +8,11 @@ commits the files, on whatever store the path is.
 
 import hashlib
 import json
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from uuid import uuid4
 
 import numpy as np
@@ -20,17 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from standcarbon.llm.texts import offsets, per_text
+from standcarbon.llm.texts import offsets, per_text, scattered
 from standcarbon.session import shared_folder, staged
 
 # The dictionary is fitted on about this many documents; all are compressed with it.
 SAMPLE_DOCS = 1_000
 SAMPLE_BYTES = 32 << 10  # of each one's ids
 DICTIONARY_BYTES = 64 << 10
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 256 << 10
 LEVEL = 1
 # Words whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 LONGEST_REMEMBERED = 100
 # White space other than single blanks and line ends between words: such texts go to the library
 # as they are.
@@ -40,6 +42,23 @@ OTHER_SPACE = [
 ]
 
 
+class Known(dict):
+    """Ids of units. A unit that is not known gets an empty place and is noted as wanted."""
+
+    def __init__(self, older: dict | None = None):
+        super().__init__()
+        self.older = dict(older or ())
+        self.wanted: list[bytes] = []
+
+    def __missing__(self, unit: bytes):
+        place = self.older.get(unit)
+        if place is None:
+            place = bytearray()
+            self.wanted.append(unit)
+        self[unit] = place
+        return place
+
+
 class ByteEncoder:
     """Ids of texts by the tokenizers library, as little-endian arrays of `width` bytes an id.
 
@@ -52,6 +71,8 @@ class ByteEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # A task has one core; the library would start a thread for each core of the machine.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -65,7 +86,7 @@ class ByteEncoder:
             self.marks = [t["content"].encode() for t in json.load(file)["added_tokens"]]
         line_end = self.library.encode("\n", add_special_tokens=False).ids
         self.line_end = len(np.array(line_end, self.kind).tobytes())
-        self.known: dict[bytes, bytes] = {}
+        self.known = Known()
 
     def directly(self, text: bytes) -> bytes:
         ids = self.library.encode(text.decode(), add_special_tokens=False).ids
@@ -90,26 +111,40 @@ class ByteEncoder:
             raw = ids.astype(self.kind).tobytes()
             cuts = ((at + 1) * self.kind.itemsize).tolist()
             for unit, start, end in zip(run, [0, *cuts], cuts, strict=False):
-                self.known[unit] = raw[start:end]
+                self.known[unit].extend(raw[start:end])
+                if len(unit) <= LONGEST_REMEMBERED:
+                    self.known[unit] = raw[start:end]
+                else:
+                    del self.known[unit]
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        units = [
-            (b"\n" + t).replace(b"\n", b" \n").split(b" ")[1:] if self.plain(t) else None
+        if len(self.known) > REMEMBERED:
+            # What is not used again before the next time is forgotten.
+            self.known = Known(self.known)
+        find = self.known.__getitem__
+        found = [
+            list(map(find, (b"\n" + t).replace(b"\n", b" \n").split(b" ")[1:]))
+            if self.plain(t)
+            else None
             for t in texts
         ]
-        wanted = set().union(*[u for u in units if u]) - self.known.keys()
-        if len(self.known) + len(wanted) > REMEMBERED:
-            self.known = {}
-            wanted = set().union(*[u for u in units if u])
-        self.learn(list(wanted))
-        ids = self.known.__getitem__
-        made = [
-            self.directly(t) if u is None else b"".join(map(ids, u))[self.line_end :]
-            for t, u in zip(texts, units, strict=True)
+        # Places that are still empty are in the lists already; learning fills them.
+        self.learn(self.known.wanted)
+        self.known.wanted = []
+        return [
+            self.directly(t) if ids is None else b"".join(ids)[self.line_end :]
+            for t, ids in zip(texts, found, strict=True)
         ]
-        for unit in [u for u in wanted if len(u) > LONGEST_REMEMBERED]:
-            del self.known[unit]
-        return made
+
+    def documents(self, texts: list[bytes], end_id: int) -> list[bytes]:
+        end = np.array([end_id], dtype=self.kind).tobytes()
+        return [t + end for t in self.texts(texts)]
+
+
+@cache
+def byte_encoder(path: str) -> ByteEncoder:
+    """One for each worker process, kept from task to task."""
+    return ByteEncoder(path)
 
 
 @dataclass(frozen=True)
@@ -129,23 +164,16 @@ class Dictionary:
         return zstandard.ZstdDecompressor(**given)
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, keys: list[str], text: str) -> DataFrame:
-    """`keys` and `ids`, the serialized array with the end id."""
+def train_dictionary(docs: DataFrame, path: str, end_id: int, text: str) -> Dictionary:
+    """From a scattered sample of rows. Empty where there is too little to learn from."""
 
     def kernel(texts: list[bytes], encoder: ByteEncoder) -> dict:
-        end = np.array([end_id], dtype=encoder.kind).tobytes()
-        return {"ids": pa.array([t + end for t in encoder.texts(texts)], pa.binary())}
-
-    return per_text(docs, keys, text, "ids binary", kernel, lambda: ByteEncoder(path))
+        arrays = encoder.documents(texts, end_id)
+        return {"ids": pa.array([a[:SAMPLE_BYTES] for a in arrays], pa.binary())}
 
-
-def train_dictionary(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str) -> Dictionary:
-    """From a sample chosen by a hash of the id. Empty where there is too little to learn from."""
-    every = max(1, docs.count() // SAMPLE_DOCS)
-    sample = docs.filter(F.pmod(F.xxhash64(doc_id), F.lit(every)) == 0)
-    sample = sample.select(F.col(text).alias("_text"), F.lit(0).alias("_id"))
-    arrays = encoded(sample, path, end_id, ["_id"], "_text")
-    rows = arrays.select(F.substring("ids", 1, SAMPLE_BYTES).alias("ids")).limit(2 * SAMPLE_DOCS)
+    texts = docs.select(F.col(text).alias("_text"), F.lit(0).alias("_id"))
+    sample = scattered(texts, SAMPLE_DOCS)
+    rows = per_text(sample, ["_id"], "_text", "ids binary", kernel, lambda: byte_encoder(path))
     samples = sorted(bytes(r["ids"]) for r in rows.collect())
     try:
         return Dictionary(zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes())
@@ -153,6 +181,23 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, doc_id: str, text:
         return Dictionary(b"")
 
 
+def encoded_frames(
+    docs: DataFrame, path: str, end_id: int, dictionary: Dictionary, keys: list[str], text: str
+) -> DataFrame:
+    """`keys`, `n` ids with the end id, and the compressed `frame` of each row."""
+
+    def kernel(texts: list[bytes], encoder: ByteEncoder) -> dict:
+        arrays = encoder.documents(texts, end_id)
+        compress, width = dictionary.compressor().compress, encoder.kind.itemsize
+        return {
+            "n": pa.array([len(a) // width for a in arrays], pa.int64()),
+            "frame": pa.array([compress(a) for a in arrays], pa.binary()),
+        }
+
+    schema = "n long, frame binary"
+    return per_text(docs, keys, text, schema, kernel, lambda: byte_encoder(path))
+
+
 def _blocks(path: str, kind: int, dictionary: Dictionary, id_type: pa.DataType):
     """Kernel: sorted (id, ids length, frame) rows to rows of blocks."""
 
@@ -209,23 +254,13 @@ def write_token_files(
     Null texts count as empty: the end id alone. Rows without id come first; rows with the same
     id follow each other in order of a hash of their ids. An empty table writes no block.
     """
-    dictionary = train_dictionary(docs, tokenizer, end_id, doc_id, text)
-    width = ByteEncoder(tokenizer).kind.itemsize
+    dictionary = train_dictionary(docs, tokenizer, end_id, text)
+    width = byte_encoder(tokenizer).kind.itemsize
     plain = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     given = plain.schema["_id"].dataType.simpleString()
 
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frame = dictionary.compressor().compress
-        for batch in batches:
-            raw = [bytes(x) for x in batch.column(1).to_pylist()]
-            lengths = pa.array([len(x) // width for x in raw], pa.int64())
-            frames = pa.array([frame(x) for x in raw], pa.binary())
-            names = ["_id", "n", "frame"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lengths, frames], names)
-
-    ids = encoded(plain, tokenizer, end_id, ["_id"], "_text")
     # Staged: the range bounds are sampled from it, and encoding must not run twice.
-    frames = staged(ids.mapInArrow(compress, f"_id {given}, n long, frame binary"))
+    frames = staged(encoded_frames(plain, tokenizer, end_id, dictionary, ["_id"], "_text"))
     order = [F.col("_id").asc_nulls_first(), F.xxhash64("frame"), F.col("n")]
     sorted_ = frames.repartitionByRange(*order).sortWithinPartitions(*order)
     from pyspark.sql.pandas.types import to_arrow_type
