@@ -70,7 +70,7 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """The same rows, written once as Parquet to the shared folder and read back from there.
 
     Cuts the lineage, survives the loss of executors, and later readers scan only the columns
@@ -78,7 +78,7 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/standcarbon-{uuid4()}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(context.hadoopConfiguration()).deleteOnExit(target)
