@@ -143,7 +143,7 @@ class Classes:
 
     def texts(self, texts: list[bytes]) -> list[np.ndarray]:
         words = [t.split() for t in texts]
-        wanted = set().union(*words) - self.known.keys()
+        wanted = set().union(*words).difference(self.known)
         if len(self.known) + len(wanted) > REMEMBERED:
             self.known, wanted = {}, set().union(*words)
         for word in wanted:
@@ -182,7 +182,7 @@ def _labels(spans: list[tuple[int, int]], base: list[tuple[str, int, int, int]])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kernel: training windows of the texts, around pattern spans and at two fixed places."""
+    """Kernel: training windows of the texts, around pattern spans and in the middle."""
     classes = known_classes()
     for batch in (x for whole in batches for x in pieces(whole, 0)):
         texts = batch.column(0).to_pylist()
@@ -194,7 +194,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if base:
                 labels = _labels(token_spans(text), base)
             at = np.flatnonzero(labels == crf.BEGIN)[:WINDOWS_PER_DOC].tolist()
-            for i, middle in enumerate([*at, len(array) // 3, 2 * len(array) // 3]):
+            for i, middle in enumerate([*at, len(array) // 2]):
                 start = max(0, middle - WINDOW // 2)
                 piece = array[start : start + WINDOW].astype(np.int64)
                 marks = labels[start : start + WINDOW]
@@ -203,14 +203,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rank = int.from_bytes(hashlib.blake2b(raw, digest_size=6).digest()) * 8 + i
                 rows["order"].append(rank if marks.any() else rank + (1 << 52))
                 rows["file"].append(file_class(raw))
-                rows["classes"].append(np.pad(piece, (0, gap)))
-                rows["labels"].append(np.pad(marks, (0, gap)))
+                rows["classes"].append(np.pad(piece, (0, gap)).astype("<u2").tobytes())
+                rows["labels"].append(np.pad(marks, (0, gap)).astype("u1").tobytes())
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(rows["order"], pa.int64()),
                 pa.array(rows["file"], pa.int32()),
-                pa.array(rows["classes"], pa.list_(pa.int64())),
-                pa.array(rows["labels"], pa.list_(pa.int64())),
+                pa.array(rows["classes"], pa.binary()),
+                pa.array(rows["labels"], pa.binary()),
             ],
             names=[*rows],
         )
@@ -219,20 +219,18 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, text: str) -> crf.Model:
     """The field for this corpus. Without any pattern span in the sample it tags nothing."""
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = "order long, file int, classes array<long>, labels array<long>"
-    found = scattered(texts, SAMPLE_DOCS).mapInArrow(_windows, schema)
-    # Half of the bound is kept for windows without a secret.
+    # Bounded by the sample: at most WINDOWS_PER_DOC + 1 windows of 3 x WINDOW bytes a document.
+    schema = "order long, file int, classes binary, labels binary"
+    found = scattered(texts, SAMPLE_DOCS).mapInArrow(_windows, schema).collect()
     cut = 1 << 52
-    halves = [
-        found.filter(F.col("order") < cut).orderBy("order").limit(WINDOWS // 2),
-        found.filter(F.col("order") >= cut).orderBy("order").limit(WINDOWS // 2),
-    ]
-    rows = sorted(r for half in halves for r in half.collect())
-    if not any(r["order"] < cut for r in rows):
-        rows = []
+    # Half of the bound is kept for windows without a secret.
+    with_, without = ([r for r in found if (r["order"] < cut) == x] for x in (True, False))
+    halves = (sorted(h)[: WINDOWS // 2] for h in (with_, without if with_ else []))
+    rows = [r for half in halves for r in half]
+    read = lambda name, kind: np.frombuffer(b"".join(bytes(r[name]) for r in rows), kind)
     return crf.train(
-        np.array([r["classes"] for r in rows], dtype=np.int64).reshape(len(rows), WINDOW),
-        np.array([r["labels"] for r in rows], dtype=np.int64).reshape(len(rows), WINDOW),
+        read("classes", "<u2").astype(np.int64).reshape(-1, WINDOW),
+        read("labels", "u1").astype(np.int64).reshape(-1, WINDOW),
         np.array([r["file"] for r in rows], dtype=np.int64),
         class_features(),
         FILE_CLASSES,
