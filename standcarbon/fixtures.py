@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standcarbon.functions.geometry import rectangle
+from standcarbon.schemas import WOOD_DENSITY
 
 AS_OF = "2026-08-09"
 BBOX_PAD = 20.0
@@ -95,14 +96,15 @@ def elements(spark: SparkSession, folder: str) -> DataFrame:
             p % 4 == 2, F.when(o % 7 == 0, "A").when(o % 3 == 0, "Y").otherwise("1")
         )
     )
-    codes = F.array(*[F.lit(c) for c in ("MA", "KU", "KS", "HB", "LM", "LV", "SA", "TA", "XX")])
+    listed = (*WOOD_DENSITY, "XX")
+    codes = F.array(*[F.lit(c) for c in listed])
     record = o * 10 + n
     return table(spark, folder, "lineitem").select(
         p.cast("string").alias("stand_id"),
         record.alias("pos"),
         record.cast("string").alias("record_id"),
         stratum.alias("stratum_code"),
-        codes[((o + n) % 9).cast("int")].alias("species_code"),
+        codes[((o + n) % len(listed)).cast("int")].alias("species_code"),
         F.when((p % 17 == 0) & (n == 1), None).otherwise(quantity).alias("share_pct"),
         F.when((p % 5 == 0) & (n % 2 == 0), None)
         .when(o % 31 == 0, 0.0)

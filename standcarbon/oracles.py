@@ -85,16 +85,14 @@ select cast(p as varchar) as stand_id, o * 10 + n as pos, cast(o * 10 + n as var
   case when p % 4 = 0 then case when o % 3 = 0 then '2' else '1' end when p % 4 = 1 then '1'
     when p % 4 = 2 then case when o % 7 = 0 then 'A' when o % 3 = 0 then 'Y' else '1' end
     end as stratum_code,
-  case (o + n) % 9 when 0 then 'MA' when 1 then 'KU' when 2 then 'KS' when 3 then 'HB'
-    when 4 then 'LM' when 5 then 'LV' when 6 then 'SA' when 7 then 'TA' else 'XX' end
-    as species_code,
+  [{codes}, 'XX'][1 + (o + n) % {n_codes}] as species_code,
   case when p % 17 = 0 and n = 1 then null else l_quantity end as share_pct,
   case when p % 5 = 0 and n % 2 = 0 then null when o % 31 = 0 then 0e0
     else l_quantity * 2 end as stock_m3_ha,
   case when o % 13 <> 0 then 10e0 + o % 120 end as inventory_age,
   case when o % 13 <> 0 then 15e0 + o % 120 end as current_age
 from (select *, l_partkey as p, l_orderkey as o, l_linenumber as n from lineitem)
-""",
+""".format(codes=", ".join(f"'{c}'" for c in S.WOOD_DENSITY), n_codes=len(S.WOOD_DENSITY) + 1),
     ),
     "stands": (
         ("elements",),
@@ -409,12 +407,16 @@ select n.notice_id, s.stand_id from unmatched n join stands s
 }
 
 
-def sql(main: str, *tables: str) -> str:
-    """`main` with the tables it needs, directly or indirectly, as common table expressions."""
+def sql(main: str, *tables: str, changed: dict[str, tuple[tuple[str, ...], str]] | None = None) -> str:
+    """`main` with the tables it needs, directly or indirectly, as common table expressions.
+
+    `changed` replaces or adds tables for this query.
+    """
+    known = _TABLES | (changed or {})
     needed: dict[str, None] = {}
 
     def add(name: str) -> None:
-        for parent in _TABLES[name][0]:
+        for parent in known[name][0]:
             add(parent)
         needed.setdefault(name)
 
@@ -422,7 +424,7 @@ def sql(main: str, *tables: str) -> str:
         add(name)
     if not needed:
         return main
-    parts = ",\n".join(f"{name} as materialized ({_TABLES[name][1]})" for name in needed)
+    parts = ",\n".join(f"{name} as materialized ({known[name][1]})" for name in needed)
     return f"with {parts}\n{main}"
 
 
@@ -451,6 +453,35 @@ def steady_rounding(text: str) -> str:
     return text[:start] + f"(floor(({value}) * 10000 + 0.4998765432) / 10000)" + rest
 
 
+# Signed rectangles: a notice is its shell minus its hole, a stand three disjoint rectangles.
+_POLYGON_ROWS = """
+select notice_id, stand_id, area / 10000 as overlap_ha from (
+select a.notice_id, b.stand_id, sum(a.sign
+  * greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0))
+  * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))) as area
+from rectangle_rows o join (
+  select notice_id, 1 as sign, minx as x0, miny as y0, maxx as x1, maxy as y1 from notices
+  union all select notice_id, -1, minx + (maxx - minx) / 4, miny + (maxy - miny) / 4,
+    maxx - (maxx - minx) / 4, maxy - (maxy - miny) / 4 from notices) a
+  on a.notice_id = o.notice_id
+join (
+  select stand_id, minx as x0, miny as y0, maxx as x1, (miny + maxy) / 2 as y1 from stands
+  union all select stand_id, minx, (miny + maxy) / 2, (minx + maxx) / 2, maxy from stands
+  union all select stand_id, ((minx + maxx) / 2 + maxx) / 2, ((miny + maxy) / 2 + maxy) / 2,
+    maxx, maxy from stands) b on b.stand_id = o.stand_id
+group by a.notice_id, b.stand_id) where area > 1e-6
+"""
+_BOX_AREA = "(n.maxx - n.minx) * (n.maxy - n.miny) / 10000"
+# Overlaps by shape, and the area of a notice without its hole.
+POLYGONS = {
+    "rectangle_rows": _TABLES["overlap_rows"],
+    "overlap_rows": (("rectangle_rows",), _POLYGON_ROWS),
+    "results": (
+        _TABLES["results"][0],
+        _TABLES["results"][1].replace(_BOX_AREA, f"{_BOX_AREA} * 0.75"),
+    ),
+}
+
 RESULT_NUMBERS = (
     "planned_volume_m3",
     "area_ha",

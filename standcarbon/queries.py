@@ -16,6 +16,7 @@ from standcarbon.operators import elements as E
 from standcarbon.operators import lookup as J
 from standcarbon.operators.overlay import overlay, prepare_geometry
 from standcarbon.oracles import (
+    POLYGONS,
     RESULT_LABELS,
     RESULT_NUMBERS,
     age_sql,
@@ -111,9 +112,8 @@ def snapshot_freshness(spark, folder):
     return snapshots.fresh_snapshots(stored, as_of, timedelta(days=10))
 
 
-def _registry_notices(spark, folder) -> DataFrame:
+def _registry_notices(raw: DataFrame) -> DataFrame:
     """The raw layer under registry names, everything as text."""
-    raw = X.notices_raw(spark, folder)
     return raw.select(
         F.col("notice_id").alias("teatise_id"),
         F.concat(F.col("submitted_date").cast("string"), F.lit("T23:30:00+03:00")).alias(
@@ -137,7 +137,7 @@ def _registry_notices(spark, folder) -> DataFrame:
     )
 )
 def canonical_notices(spark, folder):
-    canonical = layers.canonical_notices(_registry_notices(spark, folder))
+    canonical = layers.canonical_notices(_registry_notices(X.notices_raw(spark, folder)))
     return canonical.drop("source_rank", *G.BOUNDS)
 
 
@@ -179,6 +179,32 @@ def union_layers_latest(spark, folder):
     return latest.select("notice_id", "source_layer", "harvest_type", "planned_volume_m3")
 
 
+@query(
+    sql(
+        f"""select notice_id, source_layer, submitted_date, {rounded("planned_volume_m3")} from (
+select *, row_number() over (partition by notice_id order by source_rank desc, submitted_date desc) as rn
+from (select *, row_number() over (partition by source_layer order by notice_id) as place
+  from (select * replace (case when source_layer = 'current' and cast(notice_id as bigint) % 5 = 0
+      then submitted_date + 400 else submitted_date end as submitted_date) from notices_raw)
+  where submitted_date >= date '1995-01-01' and submitted_date < date '1998-01-01')
+where place <= 5000) where rn = 1""",
+        "notices_raw",
+    )
+)
+def load_notices(spark, folder):
+    """Period and limit per layer come before the newer copy of a notice wins."""
+    raw = X.notices_raw(spark, folder)
+    moved = (F.col("source_layer") == "current") & (F.col("notice_id").cast("bigint") % 5 == 0)
+    day = F.when(moved, F.date_add("submitted_date", 400)).otherwise(F.col("submitted_date"))
+    registry = _registry_notices(raw.withColumn("submitted_date", day))
+    parts = {
+        name: registry.filter(F.col("source_layer") == name).drop("source_layer", "source_rank")
+        for name in ("archive", "current")
+    }
+    loaded = layers.load_notices(parts, date(1995, 1, 1), date(1997, 12, 31), 5000, "teatise_id")
+    return loaded.select("notice_id", "source_layer", "submitted_date", "planned_volume_m3")
+
+
 @query(
     sql(
         f"""select notice_id, submitted_date, {rounded("planned_volume_m3", "minx", "miny", "maxx",
@@ -304,31 +330,41 @@ def overlay_overlap(spark, folder):
     return overlay(X.notices(spark, folder), X.stands(spark, folder))
 
 
-# Signed rectangles: a notice is its shell minus its hole, a stand three disjoint rectangles.
-_POLYGONS = """select notice_id, stand_id, round(area / 10000, 4) as overlap_ha from (
-select a.notice_id, b.stand_id, sum(a.sign
-  * greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0))
-  * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))) as area
-from overlap_rows o join (
-  select notice_id, 1 as sign, minx as x0, miny as y0, maxx as x1, maxy as y1 from notices
-  union all select notice_id, -1, minx + (maxx - minx) / 4, miny + (maxy - miny) / 4,
-    maxx - (maxx - minx) / 4, maxy - (maxy - miny) / 4 from notices) a
-  on a.notice_id = o.notice_id
-join (
-  select stand_id, minx as x0, miny as y0, maxx as x1, (miny + maxy) / 2 as y1 from stands
-  union all select stand_id, minx, (miny + maxy) / 2, (minx + maxx) / 2, maxy from stands
-  union all select stand_id, ((minx + maxx) / 2 + maxx) / 2, ((miny + maxy) / 2 + maxy) / 2,
-    maxx, maxy from stands) b on b.stand_id = o.stand_id
-group by a.notice_id, b.stand_id) where area > 1e-6"""
-
-
-@query(sql(_POLYGONS, "overlap_rows"))
+@query(
+    sql(
+        f"select notice_id, stand_id, {rounded('overlap_ha')} from overlap_rows",
+        "overlap_rows",
+        changed=POLYGONS,
+    )
+)
 def overlay_polygons(spark, folder):
     notices = X.notice_polygons(X.notices(spark, folder).select("notice_id", *G.BOUNDS))
     stands = X.stand_polygons(X.stands(spark, folder).select("stand_id", *G.BOUNDS))
     return overlay(prepare_geometry(notices, False), prepare_geometry(stands, False))
 
 
+@query(
+    sql(
+        """select 'notice' as kind, notice_id as id, round((maxx - minx) * (maxy - miny) * 0.75 / 10000, 4)
+as area_ha from notices union all select 'stand', stand_id,
+round((maxx - minx) * (maxy - miny) * 0.8125 / 10000, 4) from stands""",
+        "notices",
+        "stands",
+    )
+)
+def polygon_area(spark, folder):
+    """Area of shapes with a hole and of shapes of two parts."""
+    notices = X.notice_polygons(X.notices(spark, folder).select("notice_id", *G.BOUNDS))
+    stands = X.stand_polygons(X.stands(spark, folder).select("stand_id", *G.BOUNDS))
+    sides = [
+        prepare_geometry(df, False).select(
+            F.lit(kind).alias("kind"), F.col(f"{kind}_id").alias("id"), "area_ha"
+        )
+        for kind, df in (("notice", notices), ("stand", stands))
+    ]
+    return sides[0].unionByName(sides[1])
+
+
 @query(
     sql(
         """select notice_id, round(500000 + rho * sin(theta), 2) as east,
@@ -815,6 +851,18 @@ def notice_results(spark, folder):
     return run(spark, folder).results().select(*RESULT_LABELS, *RESULT_NUMBERS)
 
 
+@query(sql(f"select {_RESULT_LIST} from results", "results", changed=POLYGONS))
+def notice_results_polygons(spark, folder):
+    """End to end on shapes: notices with a hole, stands of two parts."""
+    job = N.Analysis(
+        prepare_geometry(X.notice_polygons(X.notices(spark, folder)), False),
+        prepare_geometry(X.stand_polygons(X.stands(spark, folder)), False),
+        X.elements(spark, folder),
+        X.as_of(),
+    )
+    return job.results().select(*RESULT_LABELS, *RESULT_NUMBERS)
+
+
 # --- reports ---
 
 
