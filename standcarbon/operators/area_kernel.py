@@ -71,6 +71,9 @@ def overlap_areas(left: pa.Array, right: pa.Array, window: np.ndarray) -> np.nda
     """Area per row; `left` and `right` are edge lists, `window` is (n, 4) minx miny maxx maxy."""
     edges_a, first_a, count_a = _inside(*_edges(left), window)
     edges_b, first_b, count_b = _inside(*_edges(right), window)
+    (low_a, high_a), (low_b, high_b) = (
+        (np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2])) for e in (edges_a, edges_b)
+    )
     pairs = count_a * count_b
     ends = np.cumsum(pairs)
     total = np.zeros(len(window))
@@ -78,10 +81,13 @@ def overlap_areas(left: pa.Array, right: pa.Array, window: np.ndarray) -> np.nda
         index = np.arange(start, min(start + CHUNK, int(ends[-1])))
         row = np.searchsorted(ends, index, side="right")
         within = index - (ends[row] - pairs[row])
-        a = edges_a[first_a[row] + within // count_b[row]]
-        b = edges_b[first_b[row] + within % count_b[row]]
-        terms = _terms(a, b, window[row])
-        total[row[0] : row[-1] + 1] += np.bincount(row - row[0], weights=terms)
+        at_a, at_b = first_a[row] + within // count_b[row], first_b[row] + within % count_b[row]
+        # Edges that share no x have nothing below both.
+        meet = (low_a[at_a] < high_b[at_b]) & (low_b[at_b] < high_a[at_a])
+        row, at_a, at_b = row[meet], at_a[meet], at_b[meet]
+        if len(row):
+            terms = _terms(edges_a[at_a], edges_b[at_b], window[row])
+            total[row[0] : row[-1] + 1] += np.bincount(row - row[0], weights=terms)
     return np.maximum(total, 0.0)
 
 
