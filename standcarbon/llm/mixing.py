@@ -106,13 +106,12 @@ def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
     sums = dealt.groupBy("source", "run").agg(F.sum("bytes").alias("sum"))
     # One row per source and run.
     before = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("sum").over(before), F.lit(0))
-    starts = sums.select(F.col("source").alias("_source"), F.col("run").alias("_run"), start.alias("start"))
+    starts = sums.select("source", "run", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("source", "run").orderBy("order", "id", "row")
     inside = inside.rowsBetween(Window.unboundedPreceding, -1)
     within = dealt.withColumn("within", F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
-    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("run") == F.col("_run"))
-    joined = within.join(starts, same).drop("_source", "_run", "run", "order")
+    # The same keys as the window's: the rows, with their texts, are not shuffled again.
+    joined = within.join(starts, ["source", "run"]).drop("run", "order")
     at = F.col("start") + F.col("within")
     placed = {
         "block": F.floor(at / block_bytes).cast("long"),
@@ -121,16 +120,24 @@ def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
     return joined.withColumns(placed).drop("start", "within")
 
 
+_NAMED, _UNNAMED = "=", "#"
+
+
+def _key(source: Column) -> Column:
+    """A key that is never NULL, in the order of the names, NULL first."""
+    return F.coalesce(F.concat(F.lit(_NAMED), source.cast("string")), F.lit(_UNNAMED))
+
+
 def _weights(sizes: DataFrame, weights: DataFrame | None) -> DataFrame:
     """A positive weight for every source of `sizes`."""
     if weights is None:
         return target_weights(sizes)
     given = weights.select(
-        F.col("source").cast("string").alias("_s"), F.col("weight").cast("double").alias("w")
+        _key(F.col("source")).alias("source"), F.col("weight").cast("double").alias("w")
     )
     usable = ~F.isnan("w") & (F.col("w") > 0) & (F.col("w") < float("inf"))
-    given = given.filter(usable).groupBy("_s").agg(F.sum("w").alias("w"))
-    found = sizes.join(given, F.col("source").eqNullSafe(F.col("_s")), "left")
+    given = given.filter(usable).groupBy("source").agg(F.sum("w").alias("w"))
+    found = sizes.join(given, "source", "left")
     return found.select("source", F.coalesce("w", F.lit(1e-12)).alias("weight"))
 
 
@@ -144,7 +151,7 @@ def mixture(
     """rows(row, id, source, bytes, ...), once for each time they are shown, with `epoch`, `block`,
     `offset` and `slot`. Reading order is (slot, offset).
 
-    `rows` must be staged: it is read several times. The mixture ends when every source has been
+    `rows` must be staged, as it is read several times, and `source` a key. The mixture ends when every source has been
     shown whole; a source that runs out before is shown again, `max_epochs` times at most. Until a
     source is through with its epochs, each has its share of any run of slots up to less than
     one block.
@@ -153,18 +160,17 @@ def mixture(
     shares = staged(whole_shares(_weights(sizes, weights), period))
     plan = staged(schedule(shares))
     every = Window.partitionBy()  # one row per source
-    named = shares.withColumnRenamed("source", "_s")
     blocks = F.floor((F.col("bytes") - 1) / block_bytes) + 1
-    about = sizes.join(named, F.col("source").eqNullSafe(F.col("_s"))).withColumns(
+    about = sizes.join(shares, "source").withColumns(
         {"blocks": blocks, "m": F.sum("share").over(every)}
     )
     # The slot before which the last source has had its last block.
     end = F.max(F.ceil(F.col("blocks") * F.col("m") / F.col("share"))).over(every)
     due = F.floor(end * F.col("share") / F.col("m"))
     given = F.least(due, F.lit(max_epochs) * F.col("blocks")).alias("given")
-    about = about.select("_s", "blocks", "share", "m", given)
+    about = about.select("source", "blocks", "share", "m", given)
     placed = _blocks(rows, block_bytes)
-    known = placed.join(F.broadcast(staged(about)), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    known = placed.join(F.broadcast(staged(about)), "source")
     last = F.floor((F.col("given") - 1 - F.col("block")) / F.col("blocks")).cast("int")
     shown = known.withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
     number = F.col("block") + F.col("epoch") * F.col("blocks")
@@ -172,11 +178,10 @@ def mixture(
         {"_k": F.pmod(number, "share").cast("int"), "_turn": F.floor(number / F.col("share"))}
     )
     # The plan has at most `period` rows, or one per source if there are more sources.
-    plan = plan.select(F.col("source").alias("_s"), "k", F.col("slot").alias("_slot"))
-    meets = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("k"))
+    plan = plan.select("source", F.col("k").alias("_k"), F.col("slot").alias("_slot"))
     slot = (F.col("_turn") * F.col("m") + F.col("_slot")).cast("long")
-    timed = shown.join(F.broadcast(plan), meets).withColumn("slot", slot)
-    return timed.drop("_s", "k", "_k", "_turn", "_slot", "blocks", "share", "m", "given")
+    timed = shown.join(F.broadcast(plan), ["source", "_k"]).withColumn("slot", slot)
+    return timed.drop("_k", "_turn", "_slot", "blocks", "share", "m", "given")
 
 
 def _measured(docs: DataFrame, doc_id: str, source: str, text: str) -> dict[str, Column]:
@@ -184,7 +189,7 @@ def _measured(docs: DataFrame, doc_id: str, source: str, text: str) -> dict[str,
     return {
         "row": F.monotonically_increasing_id(),
         "id": F.col(doc_id),
-        "source": F.col(source).cast("string"),
+        "source": _key(F.col(source)),
         "bytes": F.octet_length(whole).cast("long") + 1,
     }
 
@@ -206,8 +211,9 @@ def mix_plan(
     measured = _measured(docs, doc_id, source, text)
     rows = staged(docs.select(*[c.alias(n) for n, c in measured.items()]))
     mixed = mixture(rows, weights, **options)
+    name = F.when(F.col("source").startswith(_NAMED), F.substr("source", F.lit(2)))
     return mixed.select(
-        F.col("id").alias(doc_id), F.col("source").alias(source),
+        F.col("id").alias(doc_id), name.alias(source),
         "bytes", "epoch", "block", "offset", "slot",
     )
 
@@ -225,7 +231,8 @@ def mix_documents(
     inner = [f"_c{i}" for i in range(len(docs.columns))]
     kept = [F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, inner, strict=True)]
     measured = _measured(docs, doc_id, source, text)
-    rows = staged(docs.select(*kept, *[c.alias(n) for n, c in measured.items()]))
+    # Whole texts: worth a better codec, as they are shuffled twice besides.
+    rows = staged(docs.select(*kept, *[c.alias(n) for n, c in measured.items()]), "zstd")
     mixed = mixture(rows, weights, **options)
     ordered = mixed.repartitionByRange("slot", "offset", "row").sortWithinPartitions("slot", "offset", "row")
     return ordered.select(*inner).toDF(*docs.columns)
