@@ -195,7 +195,8 @@ def largest_species(overlaps: Overlaps, species: DataFrame) -> DataFrame:
     named = species.withColumn("species", M.species_name(F.col("species_code")))
     area = F.col("overlap_ha")
     by_species = (
-        overlaps.with_records(named, ["species_code"])
+        # A stand has no more species than the code list: adaptive execution splits heavy stands.
+        overlaps.rows.join(named, "stand_id")
         .groupBy("notice_id", "species")
         .agg(
             F.sum(F.col("standing_m3_per_ha") * area).alias("standing"),
