@@ -18,6 +18,8 @@ _NAME = (
     + " else concat('Muu (', {c}, ')') end"
 )
 
+DENSITY = _DENSITY.format(c="species_code")
+
 
 def tco2e_sql(volume: str, code: str = "species_code") -> str:
     return f"({volume}) * ({_DENSITY.format(c=code)}) * 1.3 * 0.5 * 44.0 / 12.0"

@@ -16,6 +16,7 @@ from standcarbon.operators import elements as E
 from standcarbon.operators import lookup as J
 from standcarbon.operators.overlay import overlay, prepare_geometry
 from standcarbon.oracles import (
+    DENSITY,
     POLYGONS,
     RESULT_LABELS,
     RESULT_NUMBERS,
@@ -205,16 +206,8 @@ def load_notices(spark, folder):
     return loaded.select("notice_id", "source_layer", "submitted_date", "planned_volume_m3")
 
 
-@query(
-    sql(
-        f"""select notice_id, submitted_date, {rounded("planned_volume_m3", "minx", "miny", "maxx",
-"maxy")} from notices_raw""",
-        "notices_raw",
-    )
-)
-def read_features(spark, folder):
-    """Written as GeoJSON pages, one feature each, and read back."""
-    raw = X.notices_raw(spark, folder)
+def _feature_page() -> Column:
+    """A notice as a GeoJSON page of one feature."""
     ring = F.array(
         F.array("minx", "miny"), F.array("maxx", "miny"), F.array("maxx", "maxy"),
         F.array("minx", "maxy"), F.array("minx", "miny"),
@@ -235,15 +228,27 @@ def read_features(spark, folder):
             F.col("planned_volume_m3").alias("raiutav_maht"),
         )
     )
-    page = F.concat(
+    return F.concat(
         F.lit('{"type":"FeatureCollection","features":[{"type":"Feature","properties":'),
         properties,
         F.lit(',"geometry":'),
         shape,
         F.lit("}]}"),
     )
+
+
+@query(
+    sql(
+        f"""select notice_id, submitted_date, {rounded("planned_volume_m3", "minx", "miny", "maxx",
+"maxy")} from notices_raw""",
+        "notices_raw",
+    )
+)
+def read_features(spark, folder):
+    """Written as GeoJSON pages, one feature each, and read back."""
+    raw = X.notices_raw(spark, folder)
     path = f"{shared_folder(spark)}/features-{uuid4()}"
-    raw.select(page.alias("value")).write.mode("overwrite").text(path)
+    raw.select(_feature_page().alias("value")).write.mode("overwrite").text(path)
     features = files.read_features(
         spark, path, ["teatis_id", "kuupaev", "raiutav_maht"], lines=True
     )
@@ -252,6 +257,30 @@ def read_features(spark, folder):
     )
 
 
+@query(
+    sql(
+        f"""select notice_id, {rounded("planned_volume_m3", "minx", "miny", "maxx", "maxy")} from (
+select *, row_number() over (partition by notice_id order by source_rank desc) as rn from notices_raw)
+where rn = 1""",
+        "notices_raw",
+    )
+)
+def snapshot_notices(spark, folder):
+    """Pages kept as snapshots, two of some notices: the fresh and latest one is parsed."""
+    kept_at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("source_rank") * 3600)
+    stored = X.notices_raw(spark, folder).select(
+        F.lit("wfs").alias("namespace"),
+        F.col("notice_id").alias("key"),
+        kept_at.alias("cached_at"),
+        _feature_page().alias("payload"),
+    )
+    as_of = F.timestamp_seconds(F.lit(1_700_000_000 + 86_400))
+    fresh = snapshots.fresh_snapshots(stored, as_of, snapshots.LAYER_MAX_AGE)
+    features = files.snapshot_features(fresh, ["teatis_id", "kuupaev", "raiutav_maht"])
+    canonical = layers.canonical_notices(features.drop("namespace", "key"))
+    return canonical.select("notice_id", "planned_volume_m3", *G.BOUNDS)
+
+
 @query(
     """select cast(p_partkey as varchar) as stand_id, 2 as n_elements,
 concat('{"puuliigiKood":"KS","tagavara":', p_size, '}') as first_element from part"""
@@ -538,6 +567,19 @@ def stand_detail_summary(spark, folder):
     return E.stand_detail_summary(X.elements(spark, folder))
 
 
+@query(
+    sql(
+        f"""select stand_id, record_id, species_code, round({DENSITY}, 4) as wood_density
+from elements where stock_m3_ha >= 0 or (stock_m3_ha is null and share_pct > 0)""",
+        "elements",
+    )
+)
+def detail_species_rows(spark, folder):
+    """The rows a detail summary rests on."""
+    rows = E.usable_species(X.elements(spark, folder))
+    return rows.select("stand_id", "record_id", "species_code", "wood_density")
+
+
 # --- allocation ---
 
 
