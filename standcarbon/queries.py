@@ -2,7 +2,6 @@
 
 from collections.abc import Callable
 from datetime import date, timedelta
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ from standcarbon.oracles import (
 )
 from standcarbon.plans import analysis as N
 from standcarbon.plans import reports as R
-from standcarbon.session import shared_folder
+from standcarbon.session import scratch_path
 from standcarbon.sources import files, layers, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,7 +246,7 @@ def _feature_page() -> Column:
 def read_features(spark, folder):
     """Written as GeoJSON pages, one feature each, and read back."""
     raw = X.notices_raw(spark, folder)
-    path = f"{shared_folder(spark)}/features-{uuid4()}"
+    path = scratch_path(spark, "features")
     raw.select(_feature_page().alias("value")).write.mode("overwrite").text(path)
     features = files.read_features(
         spark, path, ["teatis_id", "kuupaev", "raiutav_maht"], lines=True
@@ -308,7 +307,7 @@ def read_details(spark, folder):
     lines = parts.select("*", versions.alias("version")).select(
         F.explode(F.array_compact(F.array(document, broken))).alias("value")
     )
-    path = f"{shared_folder(spark)}/details-{uuid4()}"
+    path = scratch_path(spark, "details")
     lines.write.mode("overwrite").text(path)
     read = files.read_details(spark, path, lines=True)
     return read.select(

@@ -70,21 +70,36 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is there goes when the application ends."""
+    path = f"{shared_folder(spark)}/standcarbon-{label}-{uuid4()}"
+    target, store = _hadoop_path(spark, path)
+    store.deleteOnExit(target)
+    return path
+
+
 def staged(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """The same rows, written once as Parquet to the shared folder and read back from there.
 
     Cuts the lineage, survives the loss of executors, and later readers scan only the columns
-    they use. The files go when the application ends.
+    they use. The files go when the application ends, or with `discard`.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/standcarbon-{uuid4()}"
+    path = scratch_path(spark, "staged")
     df.write.option("compression", codec).parquet(path)
-    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(context.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._staged = path
+    return read
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Computed once for all that read it."""
-    return staged(df)
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a staged table that nothing reads any more."""
+    path = getattr(df, "_staged", None)
+    if path:
+        target, store = _hadoop_path(df.sparkSession, path)
+        store.delete(target, True)
