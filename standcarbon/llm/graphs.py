@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from standcarbon.session import staged
+from standcarbon.session import discard, staged
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -43,4 +43,6 @@ def stars(links: DataFrame) -> DataFrame:
         if now == before or now[0] == 0:
             return links
         before = now
-        links = staged(_small_star(_large_star(links)))
+        newer = staged(_small_star(_large_star(links)))
+        discard(links)
+        links = newer

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from standcarbon.llm.graphs import stars
-from standcarbon.session import staged
+from standcarbon.session import discard, staged
 
 # Shorter lines (in characters, without blanks at both ends) always stay.
 MIN_CHARS = 20
@@ -155,6 +155,7 @@ def links(distinct: DataFrame, lines: DataFrame, pairwise: int = PAIRWISE) -> Da
     )
     crowd = crowd.filter("n > 1 and n_own > 0").select("key", "n")
     crowded = staged(posted.join(crowd, "key"))
+    discard(posted)
     pairs = staged(_candidates(crowded.filter(F.col("n") <= pairwise)))
     hot = crowded.filter(F.col("n") > pairwise).select("h", "role", "segment")
     wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h")))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from standcarbon.llm.graphs import stars
 from standcarbon.llm.texts import per_text, shingle_blocks, unused
-from standcarbon.session import staged
+from standcarbon.session import discard, staged
 
 RADIUS = 2
 BLOCKS, BLOCK_BITS = 4, 16
@@ -156,6 +156,7 @@ def links(nodes: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     posted = staged(posted.select("print", "screen", "p.pair", "p.key"))
     crowd = posted.groupBy("pair", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     crowded = staged(posted.join(crowd, ["pair", "key"]))
+    discard(posted)
     found = _pairs(crowded.filter(F.col("n") <= pairwise))
     return found.unionByName(_balls(crowded.filter(F.col("n") > pairwise)))
 

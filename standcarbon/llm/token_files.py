@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from standcarbon.llm.texts import offsets, per_text, scattered
-from standcarbon.session import shared_folder, staged
+from standcarbon.session import discard, scratch_path, staged
 
 # The dictionary is fitted on about this many documents; all are compressed with it.
 SAMPLE_DOCS = 1_000
@@ -271,6 +270,7 @@ def write_token_files(
         f"doc_ids array<{given}>, starts array<long>, payload binary"
     )
     sorted_.mapInArrow(kernel, schema).write.parquet(f"{path}/blocks")
+    discard(frames)
     spark = docs.sparkSession
     row = [(dictionary.hash, bytearray(dictionary.data))]
     spark.createDataFrame(row, "hash string, data binary").write.parquet(f"{path}/dictionary")
@@ -345,6 +345,6 @@ def token_file_digest(
 ) -> DataFrame:
     """Writes the files to the shared folder and reports what is read back from them."""
     spark = docs.sparkSession
-    path = f"{shared_folder(spark)}/standcarbon-tokens-{uuid4()}"
+    path = scratch_path(spark, "tokens")
     write_token_files(docs, path, tokenizer, end_id, doc_id, text)
     return read_token_files(spark, path, doc_id)
