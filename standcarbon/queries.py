@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from standcarbon import fixtures as X
 from standcarbon import schemas as S
 from standcarbon.functions import geometry as G
-from standcarbon.functions import measures as M
 from standcarbon.operators import allocate as A
 from standcarbon.operators import elements as E
 from standcarbon.operators import lookup as J
