@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from standcarbon.session import staged
 
-# A group over 1 / 8 of a shard's bytes is placed by itself, in pieces of that size.
+# A group over 1 / 8 of a shard's bytes, tokens or rows is placed by itself, in pieces of that size.
 LARGE_PART = 8
+WORD = r"[^\x20\x09-\x0D]+"
 # Bundles of small groups per shard.
 BUNDLES_PER_SHARD = 256
 ROWS_PER_RUN = 20_000
@@ -27,8 +28,7 @@ def text_facts(text: Column) -> dict[str, Column]:
         "size": F.octet_length(whole).cast("long") + 1,
         "text_crc32": F.crc32(whole),
         "group": F.xxhash64(whole),
-        # A run of spaces counts as several words; the packing needs no more than that.
-        "tokens": (F.length(whole) - F.length(F.replace(whole, F.lit(" "))) + 1).cast("long"),
+        "tokens": F.regexp_count(whole, F.lit(WORD)).cast("long"),
     }
 
 
@@ -81,7 +81,8 @@ def place(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str =
     """One row per row of `docs`: id, size, text_crc32, group, shard and slot.
 
     Sizes of shards are near equal in bytes; tokens and rows are balanced as far as that allows.
-    Equal texts share a shard unless they hold more than 1 / 8 of one, then pieces of them do.
+    Equal texts share a shard unless they hold more than 1 / 8 of one in bytes, tokens or rows,
+    then pieces of them do.
     Null and empty texts have size 1; repeated rows each get a slot; an empty table gives an empty
     result; other columns are not looked at.
     """
@@ -91,13 +92,15 @@ def place(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str =
         F.monotonically_increasing_id().alias("row"),
     )
     facts = staged(facts)  # fixes `row`
-    total = facts.agg(F.sum("size")).first()[0] or 0
-    limit = max(1, total // (shards * LARGE_PART))
-    # At most shards x LARGE_PART groups can be larger than the limit.
-    large = (
-        facts.groupBy("group").agg(F.sum("size").alias("sum")).filter(F.col("sum") > limit)
-    ).select("group", F.ceil(F.col("sum") / limit).cast("long").alias("parts"))
-    large = staged(large)
+    sums = {"bytes": F.sum("size"), "tokens": F.sum("tokens"), "rows": F.count(F.lit(1))}
+    sums = [c.alias(n) for n, c in sums.items()]
+    totals = facts.agg(*sums).first()
+    # At most three times shards x LARGE_PART groups can be larger than a limit.
+    parts = F.greatest(
+        *[F.ceil(F.col(n) / max(1, (totals[n] or 0) // (shards * LARGE_PART))) for n in totals.asDict()]
+    )
+    large = facts.groupBy("group").agg(*sums).select("group", parts.cast("long").alias("parts"))
+    large = staged(large.filter("parts > 1"))
     split = facts.join(F.broadcast(large), "group", "left")
     own = F.col("parts").isNotNull()
     bundle = F.pmod("group", F.lit(shards * BUNDLES_PER_SHARD))
@@ -110,7 +113,7 @@ def place(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str =
     sums = keyed.groupBy("key", "part").agg(
         F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")
     )
-    # Bounded: bundles, and pieces of the large groups, at most twice LARGE_PART a shard.
+    # Bounded: bundles, and pieces of the large groups, at most six times LARGE_PART a shard.
     pieces = [Piece(r["key"], r["part"], (r["bytes"], r["tokens"], r["n"])) for r in sums.collect()]
     pieces.sort(key=lambda p: (p.key, p.part))
     where = list(zip(pieces, pack(pieces, shards), strict=True))

@@ -51,3 +51,22 @@ def test_awkward_tables(spark):
     assert {r.text_crc32 for r in got if r.doc_id in (0, 1)} == {0}
     assert len({(r.shard, r.slot) for r in got}) == len(rows)
     assert S.shard_documents(table(spark, [])).count() == 0
+
+
+def test_short_copies_do_not_crowd_a_shard(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randint(100, 300)), "en", "s", 1) for i in range(1600)]
+    rows += [(i, rng.choice([None, ""]), "en", "s", 1) for i in range(1600, 2400)]
+    got = S.shard_documents(table(spark, rows)).collect()
+    n, sizes = Counter(r.shard for r in got), Counter()
+    for r in got:
+        sizes[r.shard] += r["size"]
+    assert max(n.values()) / min(n.values()) < 1.3
+    assert max(sizes.values()) / min(sizes.values()) < 1.02
+
+
+def test_tokens_are_words(spark):
+    texts = ["a b", "a\nb\tc", "  a   b ", "", None, "日本語 x"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r.tokens for r in df.select(S.text_facts(df.text)["tokens"].alias("tokens")).collect()]
+    assert got == [2, 3, 2, 0, 0, 2]
