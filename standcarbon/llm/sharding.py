@@ -61,35 +61,61 @@ def pack(pieces: list[Piece], shards: int) -> list[int]:
 
 
 def _numbered(facts: DataFrame) -> DataFrame:
-    """`slot`: gapless from 0 within each shard, in runs small enough for one task each."""
-    rows = facts.count()
-    runs = max(16, -(-rows // ROWS_PER_RUN))
-    run = F.pmod(F.xxhash64("row", "group"), F.lit(runs)).cast("int")
-    dealt = facts.withColumn("run", run)
-    counts = dealt.groupBy("shard", "run").agg(F.count(F.lit(1)).alias("n"))
+    """`slot`: gapless from 0 within each shard, in the order of (file, name, at), in runs of
+    consecutive rows small enough for one task each."""
+    dealt = facts.withColumn("run", F.floor(F.col("at") / ROWS_PER_RUN))
+    run = ["file", "name", "run"]
+    counts = dealt.groupBy("shard", *run).agg(F.count(F.lit(1)).alias("n"))
     # One row per shard and run.
-    earlier = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("shard").orderBy(*run).rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n").over(earlier), F.lit(0))
-    starts = counts.select("shard", "run", start.alias("start"))
-    inside = Window.partitionBy("shard", "run").orderBy("row")
+    starts = counts.select("shard", *run, start.alias("start"))
+    inside = Window.partitionBy("shard", *run).orderBy("at")
     numbered = dealt.withColumn("_n", F.row_number().over(inside))
     slot = (F.col("start") + F.col("_n") - 1).cast("long")
-    return numbered.join(starts, ["shard", "run"]).withColumn("slot", slot)
+    return numbered.join(starts, ["shard", *run]).withColumn("slot", slot)
 
 
-def place(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text"):
+def _places(docs: DataFrame, ordered: bool) -> tuple[DataFrame, dict[str, Column]]:
+    """`docs` and where each row stands: number and name of its file, and its number there.
+
+    Files of an ordered table are read in the order of their part numbers, whatever splits Spark
+    makes of them; a table that is not just files is written first, as only files keep an order.
+    """
+    if not ordered:
+        row = F.monotonically_increasing_id()
+        index = row.bitwiseAND(F.lit((1 << 33) - 1))
+        return docs, {"file": F.shiftright(row, 33), "name": F.lit(""), "at": index}
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = staged(docs)
+    name = F.col("_metadata.file_name")
+    part = F.coalesce(F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), F.lit(-1))
+    return docs, {"file": part, "name": name, "at": F.col("_metadata.row_index")}
+
+
+def place(
+    docs: DataFrame,
+    shards: int = 16,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    ordered: bool = False,
+):
     """One row per row of `docs`: id, size, text_crc32, group, shard and slot.
 
+    With `ordered`, the slots of each shard follow the order of the rows in the files of `docs`.
+
     Sizes of shards are near equal in bytes; tokens and rows are balanced as far as that allows.
     Equal texts share a shard unless they hold more than 1 / 8 of one in bytes, tokens or rows,
     then pieces of them do.
     Null and empty texts have size 1; repeated rows each get a slot; an empty table gives an empty
     result; other columns are not looked at.
     """
+    docs, places = _places(docs, ordered)
     facts = docs.select(
         F.col(doc_id).alias("id"),
         *[c.alias(n) for n, c in text_facts(F.col(text)).items()],
         F.monotonically_increasing_id().alias("row"),
+        *[c.alias(n) for n, c in places.items()],
     )
     facts = staged(facts)  # fixes `row`
     sums = {"bytes": F.sum("size"), "tokens": F.sum("tokens"), "rows": F.count(F.lit(1))}
@@ -128,9 +154,15 @@ def place(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str =
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text"):
+def shard_documents(
+    docs: DataFrame,
+    shards: int = 16,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    ordered: bool = False,
+):
     """The contract's table: place() with its law."""
-    return place(docs, shards, doc_id, text).select(
+    return place(docs, shards, doc_id, text, ordered).select(
         doc_id,
         "size",
         "text_crc32",

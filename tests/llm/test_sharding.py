@@ -70,3 +70,40 @@ def test_tokens_are_words(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     got = [r.tokens for r in df.select(S.text_facts(df.text)["tokens"].alias("tokens")).collect()]
     assert got == [2, 3, 2, 0, 0, 2]
+
+
+def test_slots_keep_the_order_of_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "ROWS_PER_RUN", 7)
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.choice([5, 300])), "en", "s", 1) for i in range(600)]
+    # Files of very unequal sizes: Spark reads the large ones first.
+    docs = table(spark, rows).repartitionByRange(12, "doc_id").sortWithinPartitions("doc_id")
+    docs.write.parquet(f"{tmp_path}/docs")
+    for made in (docs, spark.read.parquet(f"{tmp_path}/docs")):
+        slots = defaultdict(list)
+        for r in S.shard_documents(made, 4, ordered=True).collect():
+            slots[r.shard].append((r.slot, r.doc_id))
+        for own in slots.values():
+            ids = [i for _, i in sorted(own)]
+            assert ids == sorted(ids) and [s for s, _ in sorted(own)] == list(range(len(own)))
+        assert sum(map(len, slots.values())) == 600
+
+
+def test_shards_follow_the_mixture(spark, tmp_path):
+    """The pipeline's last two stages: every shard has the target mix along its slots."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 150), "en", f"s{i * 2 // 2000}", 1) for i in range(2000)]
+    mixed = corpus_pipeline.mixing_to_weights(spark, table(spark, rows), "")
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    at = defaultdict(list)
+    for i, r in enumerate(mixed.coalesce(1).sortWithinPartitions("_metadata.file_name", "_metadata.row_index").collect()):
+        at[r.doc_id].append(i)
+    slots = defaultdict(list)
+    for r in corpus_pipeline.shards(spark, mixed, "").collect():
+        slots[r.shard].append((r.slot, r.doc_id))
+    for own in slots.values():
+        order = [at[i][0] for _, i in sorted(own) if len(at[i]) == 1]
+        assert order == sorted(order) and len(order) > 50
