@@ -2,18 +2,32 @@
 
 A source with weight w is due one block every 1 / w slots: its block k, from 0, is released at slot
 floor(k / w) and due before slot ceil((k + 1) / w). Each slot goes to the released block with the
-earliest deadline. With weights a / M that sum to one, the schedule keeps every source within one
-block of its share at every slot, and repeats after M slots, so it is computed once for M slots,
-in one row whose size does not depend on the data, and then used for all blocks by arithmetic.
+earliest deadline. With weights that sum to one, the schedule keeps every source within one block
+of its share at every slot.
+
+By default the windows are those of the target weights themselves, and the driver plays one entry
+for each block of the mixture (64 KB of text). With a `period`, weights are rounded to multiples
+a / M instead; the schedule then repeats after M slots, so it is computed once for M slots, in one
+row whose size does not depend on the data, and used for all blocks by arithmetic. Every source has
+one slot of a period at least, so the mixture then follows the rounded weights, not the targets.
 """
 
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from standcarbon.session import staged
 
-# Slots of one period; weights are multiples of 1 / PERIOD.
+# Slots of one period, where weights are rounded to multiples of 1 / PERIOD.
 PERIOD = 1000
+# Where targets are given, what each source without one gets of their sum.
+LEAST = 0.001
+# Exact weights are multiples of 1 / UNIT: over all blocks that is far from one block.
+UNIT = 1 << 60
+# Slots in one batch from the driver; a plan of more than BROADCAST_SLOTS is not broadcast.
+PLAN_BATCH, BROADCAST_SLOTS = 1 << 20, 1 << 20
 # Bytes of text in a block.
 BLOCK_BYTES = 64 << 10
 # Target weights without other instruction: bytes to this power.
@@ -128,8 +142,8 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit(_NAMED), source.cast("string")), F.lit(_UNNAMED))
 
 
-def _weights(sizes: DataFrame, weights: DataFrame | None) -> DataFrame:
-    """A positive weight for every source of `sizes`."""
+def _weights(sizes: DataFrame, weights: DataFrame | None, least: Column | None = None) -> DataFrame:
+    """A positive weight for every source of `sizes`; `least` for those without."""
     if weights is None:
         return target_weights(sizes)
     given = weights.select(
@@ -138,26 +152,125 @@ def _weights(sizes: DataFrame, weights: DataFrame | None) -> DataFrame:
     usable = ~F.isnan("w") & (F.col("w") > 0) & (F.col("w") < float("inf"))
     given = given.filter(usable).groupBy("source").agg(F.sum("w").alias("w"))
     found = sizes.join(given, "source", "left")
-    return found.select("source", F.coalesce("w", F.lit(1e-12)).alias("weight"))
+    if least is None:
+        least = F.sum("w").over(Window.partitionBy()) * LEAST  # one row per source
+    return found.select("source", F.coalesce("w", least, F.lit(1.0)).alias("weight"))
+
+
+def exact_shares(weights: list[float]) -> list[int]:
+    """Whole numbers in proportion to the weights that sum to UNIT. Every one is positive."""
+    top = max(weights, default=1.0)
+    parts = [max(1, int(w / top * UNIT)) for w in weights]
+    total = sum(parts)
+    shares = [max(1, p * UNIT // total) for p in parts]
+    if shares:
+        shares[parts.index(max(parts))] += UNIT - sum(shares)
+    return shares
+
+
+def exact_given(shares: list[int], blocks: list[int], max_epochs: int | None = None) -> list[int]:
+    """Blocks that each source shows until the last source has been shown whole."""
+    end = max((-(-b * UNIT // a) for a, b in zip(shares, blocks, strict=True)), default=0)
+    due = [end * a // UNIT for a in shares]
+    return due if max_epochs is None else [min(d, max_epochs * b) for d, b in zip(due, blocks, strict=True)]
+
+
+def exact_slots(shares: list[int], given: list[int]):
+    """(slot, source, k) of the first `given` blocks of each source, sources as numbers.
+
+    Ties between deadlines go to the lower number. Slots of sources that are through stay empty.
+    """
+    ready: list[tuple[int, int, int]] = []
+    waiting = [(0, i, 0) for i, n in enumerate(given) if n]
+    slot = 0
+    while ready or waiting:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, i, k = heappop(waiting)
+            heappush(ready, (-(-(k + 1) * UNIT // shares[i]), i, k))
+        _, i, k = heappop(ready)
+        yield slot, i, k
+        slot += 1
+        if k + 1 < given[i]:
+            heappush(waiting, ((k + 1) * UNIT // shares[i], i, k + 1))
+
+
+_NUMBER_BITS = 40
+
+
+def _exact_plan(spark, shares: list[int], given: list[int]) -> DataFrame:
+    """(_at, slot): `_at` is the number of the source and, below it, that of its block."""
+    parts, keys, slots = [], [], []
+
+    def close() -> None:
+        columns = {"_at": pa.array(keys, pa.int64()), "slot": pa.array(slots, pa.int64())}
+        parts.append(staged(spark.createDataFrame(pa.table(columns))))
+        keys.clear()
+        slots.clear()
+
+    for slot, i, k in exact_slots(shares, given):
+        keys.append((i << _NUMBER_BITS) + k)
+        slots.append(slot)
+        if len(keys) == PLAN_BATCH:
+            close()
+    if keys or not parts:
+        close()
+    plan = parts[0]
+    for part in parts[1:]:
+        plan = plan.unionByName(part)
+    return F.broadcast(plan) if sum(given) <= BROADCAST_SLOTS else plan
+
+
+def _targets(sizes: DataFrame, weights: DataFrame | None, block_bytes: int) -> list:
+    """(source, bytes, blocks, weight), one row per source in the order of the keys."""
+    blocks = (F.floor((F.col("bytes") - 1) / block_bytes) + 1).alias("blocks")
+    known = sizes.join(_weights(sizes, weights), "source")
+    return sorted(known.select("source", "bytes", blocks, "weight").collect())
+
+
+def _exact(
+    rows: DataFrame, weights: DataFrame | None, block_bytes: int, max_epochs: int | None
+) -> DataFrame:
+    spark = rows.sparkSession
+    sizes = staged(rows.groupBy("source").agg(F.sum("bytes").alias("bytes")))
+    about = _targets(sizes, weights, block_bytes)
+    shares = exact_shares([r.weight for r in about])
+    given = exact_given(shares, [r.blocks for r in about], max_epochs)
+    plan = _exact_plan(spark, shares, given)
+    known = spark.createDataFrame(
+        [(r.source, i, r.blocks, g) for i, (r, g) in enumerate(zip(about, given, strict=True))],
+        "source string, _i long, _blocks long, _given long",
+    )
+    shown = _blocks(rows, block_bytes).join(F.broadcast(known), "source")
+    last = F.floor((F.col("_given") - 1 - F.col("block")) / F.col("_blocks")).cast("int")
+    shown = shown.withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
+    number = F.col("block") + F.col("epoch") * F.col("_blocks")
+    at = F.shiftleft("_i", _NUMBER_BITS) + number
+    timed = shown.withColumn("_at", at).join(plan, "_at")
+    return timed.drop("_at", "_i", "_blocks", "_given")
 
 
 def mixture(
     rows: DataFrame,
     weights: DataFrame | None = None,
     block_bytes: int = BLOCK_BYTES,
-    max_epochs: int = MAX_EPOCHS,
-    period: int = PERIOD,
+    max_epochs: int | None = MAX_EPOCHS,
+    period: int | None = None,
 ) -> DataFrame:
     """rows(row, id, source, bytes, ...), once for each time they are shown, with `epoch`, `block`,
     `offset` and `slot`. Reading order is (slot, offset).
 
-    `rows` must be staged, as it is read several times, and `source` a key. The mixture ends when every source has been
-    shown whole; a source that runs out before is shown again, `max_epochs` times at most. Until a
-    source is through with its epochs, each has its share of any run of slots up to less than
-    one block.
+    `rows` must be staged, as it is read several times, and `source` a key. The mixture ends when
+    every source has been shown whole; a source that runs out before is shown again, as often as
+    its weight asks or `max_epochs` times at most. Until a source is through with its epochs, each
+    has its share of any run of slots up to less than one block: the share that its weight gives,
+    or, with a `period`, its weight rounded as in `whole_shares`.
     """
+    if period is None:
+        return _exact(rows, weights, block_bytes, max_epochs)
     sizes = rows.groupBy("source").agg(F.sum("bytes").alias("bytes"))
-    shares = staged(whole_shares(_weights(sizes, weights), period))
+    shares = staged(whole_shares(_weights(sizes, weights, F.lit(1e-12)), period))
     plan = staged(schedule(shares))
     every = Window.partitionBy()  # one row per source
     blocks = F.floor((F.col("bytes") - 1) / block_bytes) + 1
@@ -167,7 +280,8 @@ def mixture(
     # The slot before which the last source has had its last block.
     end = F.max(F.ceil(F.col("blocks") * F.col("m") / F.col("share"))).over(every)
     due = F.floor(end * F.col("share") / F.col("m"))
-    given = F.least(due, F.lit(max_epochs) * F.col("blocks")).alias("given")
+    given = due if max_epochs is None else F.least(due, F.lit(max_epochs) * F.col("blocks"))
+    given = given.alias("given")
     about = about.select("source", "blocks", "share", "m", given)
     placed = _blocks(rows, block_bytes)
     known = placed.join(F.broadcast(staged(about)), "source")
@@ -204,8 +318,8 @@ def mix_plan(
 ) -> DataFrame:
     """doc_id, source, bytes, epoch, block, offset, slot of the mixture of all rows of `docs`.
 
-    `weights` (source, weight) gives targets; sources without a positive one get the least. Rows
-    without source are a source; null texts have size one; repeated rows each have a place; an
+    `weights` (source, weight) gives targets; sources without a positive one get a
+    thousandth of their sum. Rows without source are a source; null texts have size one; repeated rows each have a place; an
     empty table gives an empty mixture; other columns are not looked at.
     """
     measured = _measured(docs, doc_id, source, text)

@@ -85,3 +85,42 @@ def test_awkward_tables(spark):
     assert len(M.mix_plan(table(spark, rows), odd, max_epochs=1).collect()) == len(rows)
     assert M.mix_plan(table(spark, [])).count() == 0
     assert M.mix_documents(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(
+    "weights",
+    [
+        [0.0301] + [1.0] * 499,
+        [0.203] + [0.797 / 19] * 19,
+        [float(i + 1) for i in range(1500)],
+        [0.7, 0.2999, 1e-6, 0.0001],
+    ],
+)
+def test_exact_slots_stay_within_one_block_of_the_targets(weights):
+    total, n = sum(map(Fraction, weights)), 6000
+    target = [Fraction(w) / total for w in weights]
+    shares = M.exact_shares(weights)
+    given: Counter = Counter()
+    for slot, (at, i, k) in enumerate(M.exact_slots(shares, [n] * len(weights))):
+        assert at == slot and k == given[i]
+        # Only the block that is given, and those that are due, can be further off than before.
+        given[i] += 1
+        assert abs(given[i] - target[i] * (slot + 1)) < 1
+        if slot % 97 == 0:
+            assert all(abs(given[j] - w * (slot + 1)) < 1 for j, w in enumerate(target))
+        if slot == n - 1:
+            break
+    assert slot == n - 1
+
+
+def test_mixture_follows_targets(spark):
+    """Unequal given weights, more sources than a period has slots."""
+    n = 1200
+    rows = [(i, "x" * 99, "en", f"s{i % n:04}", 1) for i in range(2 * n)]
+    weights = spark.createDataFrame(
+        [(f"s{i:04}", 3.0 if i % 2 else 1.0) for i in range(n)], "source string, weight double"
+    )
+    got = M.mix_plan(table(spark, rows), weights, block_bytes=100, max_epochs=3).collect()
+    blocks = Counter(r.source for r in got)
+    assert {blocks[f"s{i:04}"] for i in range(n)} == {2, 6}
+    assert sorted(r.slot for r in got) == list(range(4 * n))
