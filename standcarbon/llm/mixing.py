@@ -32,8 +32,6 @@ PLAN_BATCH, BROADCAST_SLOTS = 1 << 20, 1 << 20
 BLOCK_BYTES = 64 << 10
 # Target weights without other instruction: bytes to this power.
 TEMPERATURE = 0.7
-# How often a source that is short of its share is shown.
-MAX_EPOCHS = 2
 ROWS_PER_RUN = 4_000
 
 
@@ -255,7 +253,7 @@ def mixture(
     rows: DataFrame,
     weights: DataFrame | None = None,
     block_bytes: int = BLOCK_BYTES,
-    max_epochs: int | None = MAX_EPOCHS,
+    max_epochs: int | None = None,
     period: int | None = None,
 ) -> DataFrame:
     """rows(row, id, source, bytes, ...), once for each time they are shown, with `epoch`, `block`,
@@ -298,6 +296,31 @@ def mixture(
     return timed.drop("_k", "_turn", "_slot", "blocks", "share", "m", "given")
 
 
+def mix_report(
+    docs: DataFrame,
+    weights: DataFrame | None = None,
+    doc_id: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+    max_epochs: int | None = None,
+) -> DataFrame:
+    """source, bytes, target, achieved, epochs: target weight and share of the mixture's blocks of
+    each source, and how often it is shown, of the mixture without `period`."""
+    measured = _measured(docs, doc_id, source, text)
+    rows = docs.select(*[measured[n].alias(n) for n in ("source", "bytes")])
+    sizes = staged(rows.groupBy("source").agg(F.sum("bytes").alias("bytes")))
+    about = _targets(sizes, weights, block_bytes)
+    shares = exact_shares([r.weight for r in about])
+    given = exact_given(shares, [r.blocks for r in about], max_epochs)
+    made = [
+        (r.source[1:] if r.source.startswith(_NAMED) else None, r.bytes, a / UNIT, g / sum(given), g / r.blocks)
+        for r, a, g in zip(about, shares, given, strict=True)
+    ]
+    schema = f"`{source}` string, bytes long, target double, achieved double, epochs double"
+    return docs.sparkSession.createDataFrame(made, schema)
+
+
 def _measured(docs: DataFrame, doc_id: str, source: str, text: str) -> dict[str, Column]:
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return {

@@ -124,3 +124,16 @@ def test_mixture_follows_targets(spark):
     blocks = Counter(r.source for r in got)
     assert {blocks[f"s{i:04}"] for i in range(n)} == {2, 6}
     assert sorted(r.slot for r in got) == list(range(4 * n))
+
+
+def test_short_sources_repeat_as_often_as_targets_ask(spark):
+    rows = [(i, "x" * 99, "en", "big" if i else "small", 1) for i in range(1001)]
+    docs = table(spark, rows)
+    got = Counter(r.source for r in M.mix_plan(docs, block_bytes=100).collect())
+    assert got["big"] == 1000 and got["small"] == 7  # 1000 ** 0.3 = 7.9: its blocks until the end
+    report = {r.source: r for r in M.mix_report(docs, block_bytes=100).collect()}
+    assert report["small"].epochs == 7 and report["big"].epochs == 1
+    for r in report.values():
+        assert abs(r.achieved - r.target) * sum(got.values()) < 1
+    capped = M.mix_report(docs, block_bytes=100, max_epochs=2).collect()
+    assert {r.source: r.epochs for r in capped} == {"big": 1, "small": 2}
