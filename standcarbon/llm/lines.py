@@ -1,4 +1,5 @@
-"""Line dedup: lines within one edit of an earlier line go. DataFrame functions only.
+"""Line dedup: lines within one edit of an earlier line go, and short lines that are equal to an
+earlier one. DataFrame functions only.
 
 Segment-partition edit join. With a threshold of one edit a line has two segments, its halves. Two
 lines within one edit agree in one of them: the first half at the start of both, or the second
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from standcarbon.llm.graphs import stars
 from standcarbon.session import discard, staged
 
-# Shorter lines (in characters, without blanks at both ends) always stay.
+# Shorter lines (in characters, without blanks at both ends) are compared exactly.
 MIN_CHARS = 20
 # Lines under one posting that are compared pair by pair.
 PAIRWISE = 64
@@ -27,11 +28,11 @@ _FIRST, _SECOND = 1, 2
 _OWN, _LONGER = 0, 1
 
 
-def split_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def split_lines(docs: DataFrame, doc_id: str, text: str, row: Column | None = None) -> DataFrame:
     """(row, doc_id, pos, line, chars); `row` numbers the rows of `docs` and needs fixing."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     numbered = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
         F.col(doc_id).alias("doc_id"),
         F.split(whole, "\n").alias("lines"),
     )
@@ -55,11 +56,12 @@ def _segments(line: Column, chars: Column, of: Column) -> tuple[Column, Column]:
     return F.xxhash64(first), F.xxhash64(F.substr(line, chars - size + 1, size))
 
 
-def facts(lines: DataFrame) -> DataFrame:
-    """Long lines as numbers: where they are, their hash, length and segment hashes."""
+def facts(lines: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """Lines of `least` characters as numbers: where they are, their hash, length and segment
+    hashes."""
     line, chars = F.col("line"), F.col("chars")
     own, longer = _segments(line, chars, chars), _segments(line, chars, chars - 1)
-    return lines.filter(chars >= MIN_CHARS).select(
+    return lines.filter(chars >= least).select(
         "row", "doc_id", "pos", "chars", line_hash(line, chars).alias("h"),
         own[0].alias("own1"), own[1].alias("own2"),
         longer[0].alias("longer1"), longer[1].alias("longer2"),
@@ -170,12 +172,21 @@ def links(distinct: DataFrame, lines: DataFrame, pairwise: int = PAIRWISE) -> Da
 
 
 def repeated_lines(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pairwise: int = PAIRWISE
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    pairwise: int = PAIRWISE,
+    short: bool = False,
+    row: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, repeated): rows(row, doc_id, n_lines) of `docs`; repeated(row, pos) of the lines
-    to drop, that is all of a group of linked lines but the first by id, row and position."""
-    lines = split_lines(docs, doc_id, text)
-    known = staged(facts(lines))
+    to drop, that is all of a group of linked lines but the first by id, row and position.
+
+    With `short`, equal lines under MIN_CHARS are a group too; blank lines never are. `row` is a
+    number of each row, where `docs` has one.
+    """
+    lines = split_lines(docs, doc_id, text, row)
+    known = staged(facts(lines, 1 if short else MIN_CHARS))
     at = F.struct("doc_id", "row", "pos")
     numbers = ["chars", "own1", "own2", "longer1", "longer2"]
     distinct = known.groupBy("h").agg(
@@ -184,7 +195,7 @@ def repeated_lines(
         F.count(F.lit(1)).alias("n"),
     )
     distinct = staged(distinct)
-    star = stars(links(distinct, lines, pairwise))
+    star = stars(links(distinct.filter(F.col("chars") >= MIN_CHARS), lines, pairwise))
     star = star.select(F.col("a").alias("h"), F.col("b").alias("root"))
     roots = star.unionByName(star.select(F.col("root").alias("h"), "root")).distinct()
     grouped = distinct.select("h", "first", "n").join(roots, "h", "left")
@@ -196,7 +207,7 @@ def repeated_lines(
         (F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos"))
     )
     counted = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
         F.col(doc_id).alias("doc_id"),
         F.size(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")).alias("n_lines"),
     )
@@ -206,11 +217,11 @@ def repeated_lines(
 def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed and the numbers of removed lines, from 0, for every row.
 
-    A null text counts as empty: one empty line, which stays, as every short line does. Repeated
+    A null text counts as empty: one empty line, which stays, as every blank line does. Repeated
     rows: the lines of all but the first go; an empty table gives an empty result; other columns
     are not looked at.
     """
-    rows, repeated = repeated_lines(docs, doc_id, text)
+    rows, repeated = repeated_lines(docs, doc_id, text, short=True)
     removed = repeated.groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
     joined = rows.join(removed, "row", "left")
     none = F.array().cast("array<int>")
@@ -220,3 +231,23 @@ def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"),
         F.coalesce("removed", none).alias("removed"),
     )
+
+
+def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, with the lines of `line_report` taken out of the text.
+
+    A text without such lines is unchanged; a text of nothing else becomes empty.
+    """
+    inner = [f"_c{i}" for i in range(len(docs.columns))]
+    kept = [F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, inner, strict=True)]
+    rows = staged(docs.select(*kept, F.monotonically_increasing_id().alias("_row")), "zstd")
+    id_, whole = (inner[docs.columns.index(c)] for c in (doc_id, text))
+    _, repeated = repeated_lines(rows, id_, whole, short=True, row=F.col("_row"))
+    removed = repeated.groupBy(F.col("row").alias("_row")).agg(F.collect_list("pos").alias("_removed"))
+    stays = F.filter(
+        F.split(F.col(whole).cast("string"), "\n"),
+        lambda _, i: ~F.array_contains(F.col("_removed"), i),
+    )
+    cut = F.when(F.col("_removed").isNull(), F.col(whole)).otherwise(F.array_join(stays, "\n"))
+    joined = rows.join(removed, "_row", "left").withColumn(whole, cut)
+    return joined.select(*inner).toDF(*docs.columns)

@@ -5,7 +5,7 @@ import pytest
 
 from standcarbon.llm import lines as L
 
-from .corpus import awkward_rows, brute_components, table
+from .corpus import CLASHING, PLAIN, awkward_rows, brute_components, table
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -75,3 +75,21 @@ def test_awkward_tables(spark):
     assert copies[1] >= 2  # repeated rows: the line stays in one place only
     assert by_id[16].n_lines == 2 and by_id[16].n_removed == 2
     assert L.line_report(table(spark, [])).count() == 0
+
+
+def test_short_lines_are_compared_exactly(spark):
+    rows = [(1, "yes\n\nno\n yes", "en", "s", 1), (2, "\nno\t\nYes\nyes!", "en", "s", 1), (3, "no", "en", "s", 1)]
+    got = {r.doc_id: r.removed for r in L.line_report(table(spark, rows)).collect()}
+    assert got == {1: [3], 2: [1], 3: [0]}
+
+
+def test_lines_are_taken_out(spark):
+    long = "a line of more than twenty characters"
+    texts = [f"yes\n{long}\n\n yes", f"{long}!\n\t new \n\nno", None, "yes", "\n\n", "né 日本\nno"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    got = L.without_repeated_lines(table(spark, rows, clashing=True))
+    assert got.columns == [*PLAIN, *CLASHING]
+    assert {r.doc_id: r.text for r in got.collect()} == {
+        0: f"yes\n{long}\n", 1: "\t new \n\nno", 2: None, 3: "", 4: "\n\n", 5: "né 日本",
+    }
+    assert L.without_repeated_lines(table(spark, [])).count() == 0
