@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from standcarbon.llm import (
+    alignment,
     decontam,
     lines,
     mixing,
@@ -135,3 +136,11 @@ def op2_mixing(spark, folder):
 @query()
 def op3_quality_classifier(spark, folder):
     return weak_labels.classify(table(spark, folder, "documents"))
+
+
+@query()
+def op13_token_alignment(spark, folder):
+    documents = table(spark, folder, "documents")
+    return alignment.token_alignment(
+        documents, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+    )
