@@ -9,6 +9,7 @@ from standcarbon.llm import (
     decontam,
     lines,
     mixing,
+    prefix_trie,
     rules,
     secrets,
     sharding,
@@ -144,3 +145,8 @@ def op13_token_alignment(spark, folder):
     return alignment.token_alignment(
         documents, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
     )
+
+
+@query()
+def op11_conversation_trie(spark, folder):
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
