@@ -9,6 +9,7 @@ from standcarbon.llm import (
     decontam,
     lines,
     mixing,
+    personal,
     prefix_trie,
     rules,
     secrets,
@@ -150,3 +151,8 @@ def op13_token_alignment(spark, folder):
 @query()
 def op11_conversation_trie(spark, folder):
     return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+@query()
+def op12_personal_data(spark, folder):
+    return personal.find_personal_data(table(spark, folder, "documents"))

@@ -1,0 +1,174 @@
+"""Base spans and bootstrapping against plain Python."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from standcarbon.llm import personal
+
+from .corpus import awkward_rows, table
+
+# The contract's patterns as they are given.
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+KINDS = list(BASE)
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, d in enumerate(map(int, reversed(digits))):
+        total += d if i % 2 == 0 else (d * 2 if d < 5 else d * 2 - 9)
+    return total % 10 == 0
+
+
+def valid(kind: str, found: str) -> bool:
+    digits = re.sub("[^0-9]", "", found)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in found.split("."))
+    if kind == "card":
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    return kind != "phone" or 10 <= len(digits) <= 15
+
+
+def base_spans(text: str) -> list[tuple]:
+    return sorted(
+        (m.start(), k, m.end())
+        for k, (kind, p) in enumerate(BASE.items())
+        for m in re.finditer(p, text)
+        if valid(kind, m[0])
+    )
+
+
+def occurrences(text: str) -> list[tuple]:
+    """(start, end, instance, kind, patterns), words compared within CONTEXT_CHARS."""
+    found = []
+    at = 0
+    space = "[ \t\n\x0b\x0c\r]"
+    p = (
+        rf"(?<![^ \t\n\x0b\x0c\r])(?:\+[0-9]{{1,3}} )?(?=[^ \t\n\x0b\x0c\r@]*@|(?:[^ \t\n\x0b\x0c\r0-9]*[0-9]){{3}})"
+        r"[^ \t\n\x0b\x0c\r]+(?: [0-9().\-]+(?![^ \t\n\x0b\x0c\r]))*"
+    )
+    matches = list(re.finditer(p, text))
+    for i, m in enumerate(matches):
+        value = re.sub("^[^A-Za-z0-9+(]+", "", m[0])
+        start = m.end() - len(value)
+        value = re.sub("[^A-Za-z0-9)]+$", "", value)
+        before = text[at : m.start()][-personal.CONTEXT_CHARS :]
+        nxt = matches[i + 1].start() if i + 1 < len(matches) else len(text)
+        after = text[m.end() : nxt][: personal.CONTEXT_CHARS]
+        at = m.end()
+        split = lambda t: [w for w in re.split(f"{space}+", t) if w]
+        word = lambda w: "".join(c for c in w if c.isalnum()).lower() or None
+        left, right = split(before), split(after)
+        last = word(left[-1]) if left else None
+        second = word(left[-2]) if len(left) > 1 else None
+        following = word(right[0]) if right else None
+        form = "@" if "@" in value else "m" if re.search("[A-Za-z]", value) else "d"
+        forms = [("l", form, last), ("ll", form, second, last), ("lr", form, last, following)]
+        kind = next(
+            (k for k, n in enumerate(KINDS) if re.fullmatch(BASE[n], value) and valid(n, value)), None
+        )
+        found.append((start, start + len(value), value.lower(), kind, [f for f in forms if None not in f]))
+    return found
+
+
+def plain(rows: list[tuple], min_seeds: int, confidence: float) -> Counter:
+    texts = [(r[0], r[1] or "") for r in rows]
+    seen = [occurrences(t) for _, t in texts]
+    members = defaultdict(dict)
+    for found in seen:
+        for _, _, value, kind, patterns in found:
+            for p in patterns:
+                members[p][value] = kind
+    known, good = {}, {}
+    for _ in range(personal.ROUNDS):
+        good = {}
+        for p, values in members.items():
+            seeds = Counter(k for k in values.values() if k is not None)
+            if None not in values.values() or max(seeds.values(), default=0) < min_seeds:
+                continue
+            for v, k in values.items():
+                if k is None and v in known:
+                    seeds[known[v]] += 1
+            sure, k = max((n / (len(values) + 1), -k) for k, n in seeds.items())
+            if sure >= confidence:
+                good[p] = (sure, k)
+        best = defaultdict(list)
+        for p, b in good.items():
+            for v, k in members[p].items():
+                if k is None:
+                    best[v].append(b)
+        now = {v: -max(bs)[1] for v, bs in best.items()}
+        if len(now) == len(known):
+            break
+        known = now
+    result = Counter()
+    for (number, text), found in zip(texts, seen, strict=True):
+        base = base_spans(text)
+        extra = []
+        for start, end, _, kind, patterns in found:
+            hits = [good[p] for p in patterns if p in good]
+            free = all(e <= start or s >= end for s, _, e in base)
+            if kind is None and hits and free and end > start:
+                extra.append((start, -max(hits)[1], end))
+        show = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        counts = [sum(k == i for _, k, _ in base) for i in range(4)]
+        digest = hashlib.sha256(show(base).encode()).hexdigest()
+        result[(number, *counts, digest, show(base + extra), len(extra))] += 1
+    return result
+
+
+def corpus() -> list[tuple]:
+    rng = random.Random(6)
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+    texts = [f"Some words. Phone: +1 ({d(3)}) 555-{d(4)} and more" for _ in range(24)]
+    texts += ["Some words. Phone: 555-0199, thanks", "call Phone: 020 7946 0958 today", "Fax: 555-0199 here"]
+    texts += [f"Fax: +1 ({d(3)}) 555-{d(4)} here" for _ in range(5)] + ["Fax: 555-7777 here"]
+    texts += [f"write to us: mail user{i}@mail{i}.example.com now" for i in range(12)]
+    texts += ["write to us: mail postmaster@localhost now", "the year 2024 and 300.1.2.3 or 10.0.0.256"]
+    texts += [f"order {d(6)} shipped" for _ in range(30)] + [f"order +1 (555) 555-{d(4)} x" for _ in range(8)]
+    texts += [
+        "a@b.co_x@d.example.org a@b..c x@y a.b@c.d.e,f@g.h", "1.2.3.4.5.6.7.8 001.02.3.4 1.2.3", "4111 1111-1111 1111",
+        "4111111111111111 12345678901234567890 4111  1111", "+1 2 +12345678901 +123456789012345678 (+49) 30 1234567",
+        "é🙂 x@y.z 🙂 1.2.3.4 +1 (555) 123-4567", "%%%123%%%a", "." * 3000 + "1" * 3000 + "@" + "-." * 500 + "a",
+        "9 " * 2000, "+1 (2" * 300, "+" + "1(" * 2000, "192.168.0.1x192.168.0.2", "0000000192.168.0.1",
+    ]
+    return awkward_rows(2000) + [(1000 + i, t, None, None, None) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("min_seeds", "confidence"), [(5, 0.8), (3, 0.5)])
+def test_equals_plain_version(spark, min_seeds, confidence):
+    rows = corpus()
+    found = personal.find_personal_data(
+        table(spark, rows, clashing=True), min_seeds=min_seeds, confidence=confidence
+    )
+    assert Counter(tuple(r) for r in found.collect()) == plain(rows, min_seeds, confidence)
+
+
+def test_unseen_identifiers_are_found(spark):
+    found = {r.doc_id: r for r in personal.find_personal_data(table(spark, corpus())).collect()}
+    by_text = {t: found[i] for i, t, *_ in corpus() if i is not None and i >= 1000}
+    assert by_text["Some words. Phone: 555-0199, thanks"].spans == "phone:19:27"
+    assert by_text["call Phone: 020 7946 0958 today"].spans == "phone:12:25"
+    assert by_text["write to us: mail postmaster@localhost now"].n_extra == 1
+    # Known from its other context, which lifts this pattern over the threshold.
+    assert by_text["Fax: 555-7777 here"].n_extra == 0 or by_text["Fax: 555-0199 here"].n_extra == 1
+    assert all(r.n_extra == 0 for t, r in by_text.items() if t.startswith(("order", "the year")))
+
+
+@pytest.mark.parametrize("text", ["1" * 300_000, "a." * 150_000, "1 " * 150_000, "a@b.c " * 40_000, "x%" * 100_000 + "123"])
+def test_long_texts(spark, text):
+    rows = [(1, text, None, None, None)]
+    found = personal.find_personal_data(table(spark, rows)).collect()
+    assert found[0].n_email == text.count("@")
+
+
+def test_empty_table(spark):
+    assert personal.find_personal_data(table(spark, [])).count() == 0
