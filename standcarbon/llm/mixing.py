@@ -14,11 +14,10 @@ one slot of a period at least, so the mixture then follows the rounded weights,
 
 from heapq import heappop, heappush
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from standcarbon.session import staged
+from standcarbon.session import scratch_path, staged
 
 # Slots of one period, where weights are rounded to multiples of 1 / PERIOD.
 PERIOD = 1000
@@ -27,7 +26,9 @@ LEAST = 0.001
 # Exact weights are multiples of 1 / UNIT: over all blocks that is far from one block.
 UNIT = 1 << 60
 # Slots in one batch from the driver; a plan of more than BROADCAST_SLOTS is not broadcast.
-PLAN_BATCH, BROADCAST_SLOTS = 1 << 20, 1 << 20
+PLAN_BATCH, BROADCAST_SLOTS = 1 << 18, 1 << 20
+# A mixture of more blocks than so many times those of the input is refused.
+MOST_REPEATS = 200
 # Bytes of text in a block.
 BLOCK_BYTES = 64 << 10
 # Target weights without other instruction: bytes to this power.
@@ -195,28 +196,24 @@ def exact_slots(shares: list[int], given: list[int]):
 
 
 _NUMBER_BITS = 40
+_PLAN = "_at long, slot long"
 
 
 def _exact_plan(spark, shares: list[int], given: list[int]) -> DataFrame:
     """(_at, slot): `_at` is the number of the source and, below it, that of its block."""
-    parts, keys, slots = [], [], []
+    path = scratch_path(spark, "plan")
+    rows: list[tuple[int, int]] = []
 
-    def close() -> None:
-        columns = {"_at": pa.array(keys, pa.int64()), "slot": pa.array(slots, pa.int64())}
-        parts.append(staged(spark.createDataFrame(pa.table(columns))))
-        keys.clear()
-        slots.clear()
+    def append() -> None:
+        spark.createDataFrame(rows, _PLAN).write.mode("append").parquet(path)
+        rows.clear()
 
     for slot, i, k in exact_slots(shares, given):
-        keys.append((i << _NUMBER_BITS) + k)
-        slots.append(slot)
-        if len(keys) == PLAN_BATCH:
-            close()
-    if keys or not parts:
-        close()
-    plan = parts[0]
-    for part in parts[1:]:
-        plan = plan.unionByName(part)
+        rows.append(((i << _NUMBER_BITS) + k, slot))
+        if len(rows) == PLAN_BATCH:
+            append()
+    append()
+    plan = spark.read.schema(_PLAN).parquet(path)
     return F.broadcast(plan) if sum(given) <= BROADCAST_SLOTS else plan
 
 
@@ -235,6 +232,12 @@ def _exact(
     about = _targets(sizes, weights, block_bytes)
     shares = exact_shares([r.weight for r in about])
     given = exact_given(shares, [r.blocks for r in about], max_epochs)
+    there = sum(r.blocks for r in about)
+    if sum(given) > MOST_REPEATS * there:
+        raise ValueError(
+            f"these weights need {sum(given)} blocks to show {there} whole: raise the weight of the "
+            "largest source, drop a source, or set max_epochs"
+        )
     plan = _exact_plan(spark, shares, given)
     known = spark.createDataFrame(
         [(r.source, i, r.blocks, g) for i, (r, g) in enumerate(zip(about, given, strict=True))],

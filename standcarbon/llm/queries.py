@@ -92,47 +92,48 @@ def op10_line_dedup(spark, folder):
 
 
 # The schedule is played slot by slot; the state is the number of blocks given to each source.
+# Weights are whole multiples of 1 / U with U = 2 ** 60.
 _MIX = """
 with recursive sized as (
   select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as ord,
     strlen(coalesce(text, '')) + 1 as bytes from documents),
-sizes as (select source, sum(bytes) as bytes, pow(sum(bytes), 0.7) as w from sized group by source),
-quota as (select *, w / sum(w) over () * (greatest(count(*) over (), 1000) - count(*) over ()) as q,
-  greatest(count(*) over (), 1000) - count(*) over () as extra from sizes),
-shares as (select source, bytes, 1 + floor(q) + case when row_number() over
-  (order by q - floor(q) desc, source) <= extra - sum(floor(q)) over () then 1 else 0 end as share
-  from quota),
-facts as (select source, cast(share as bigint) as share,
-  (cast(bytes as bigint) - 1) // 65536 + 1 as blocks,
-  cast(sum(share) over () as bigint) as m, row_number() over (order by source) as i from shares),
-turns as (select *, max((blocks * m + share - 1) // share) over () as ends from facts),
-one as (select list(share order by i) as shares, max(m) as m from facts),
+sizes as (select source, cast(sum(bytes) as bigint) as bytes, pow(sum(bytes), 0.7) as w
+  from sized group by source),
+parts as (select source, (bytes - 1) // 65536 + 1 as blocks, 1152921504606846976::hugeint as u,
+  row_number() over (order by source nulls first) as i,
+  greatest(1, floor(w / max(w) over () * 1152921504606846976)::hugeint)::hugeint as part from sizes),
+cut as (select *, greatest(1, part * u // (sum(part) over ())::hugeint)::hugeint as low,
+  row_number() over (order by part desc, i) as place from parts),
+shares as (select source, blocks, i, u, low + case when place = 1
+  then u - (sum(low) over ())::hugeint else 0 end as share from cut),
+ended as (select *, max((blocks * u + share - 1) // share) over () as ends from shares),
+facts as (select *, ends * share // u as due from ended),
+one as (select list(share order by i) as shares, list(due order by i) as due, max(u) as u,
+  max(ends) as ends from facts),
 play(slot, given, pick) as (
-  select -1, list_transform(shares, lambda x: cast(0 as bigint)), cast(0 as bigint) from one
+  select 0::hugeint - 1, list_transform(shares, lambda x: 0::hugeint), 0::bigint from one
   union all
   select slot + 1, list_transform(given, lambda g, i: case when i = p then g + 1 else g end), p
   from (select play.slot, play.given, cast(list_min(list_transform(one.shares, lambda x, i:
-      case when play.given[i] < x and play.given[i] * one.m < (play.slot + 2) * x
-      then {'due': ((play.given[i] + 1) * one.m + x - 1) // x, 'i': i} end)).i as bigint) as p
-    from play, one where play.slot + 1 < one.m)),
+      case when play.given[i] < one.due[i] and play.given[i] * one.u // x <= play.slot + 1
+      then {'due': ((play.given[i] + 1) * one.u + x - 1) // x, 'i': i} end)).i as bigint) as p
+    from play, one where play.slot + 1 < one.ends)),
 plan as (select slot, pick as i, row_number() over (partition by pick order by slot) - 1 as k
-  from play where slot >= 0),
+  from play where slot >= 0 and pick is not null),
 placed as (select doc_id, source, bytes, cast(coalesce(sum(bytes) over (partition by source
   order by ord, doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as pos
   from sized),
-shown as (select p.doc_id, p.source, p.bytes, pos // 65536 as block, pos % 65536 as off, t.share,
-  t.blocks, t.m, t.i, unnest(range(0, 1 + (least(ends * share // m, 2 * blocks) - 1 - pos // 65536)
-  // blocks)) as epoch from placed p join turns t using (source))
+shown as (select p.doc_id, p.source, p.bytes, pos // 65536 as block, pos % 65536 as off, t.blocks,
+  t.i, unnest(range(0, cast(1 + (due - 1 - pos // 65536) // blocks as bigint))) as epoch
+  from placed p join facts t on p.source is not distinct from t.source)
 select doc_id, source, bytes, cast(epoch as int) as epoch, block, off as "offset",
-  (block + epoch * blocks) // share * m + slot as slot
-from shown join plan on plan.i = shown.i and plan.k = (block + epoch * blocks) % share"""
+  cast(slot as bigint) as slot
+from shown join plan on plan.i = shown.i and plan.k = block + epoch * blocks"""
 
 
 @query(_MIX)
 def op2_mixing(spark, folder):
-    # The SQL's period and epochs; without them mix_plan follows the targets exactly.
-    documents = table(spark, folder, "documents")
-    return mixing.mix_plan(documents, max_epochs=2, period=mixing.PERIOD)
+    return mixing.mix_plan(table(spark, folder, "documents"))
 
 
 @query()

@@ -17,11 +17,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from standcarbon.llm.graphs import stars
-from standcarbon.llm.texts import per_text, shingle_blocks, unused
+from standcarbon.llm.texts import per_text, shingle_blocks
 from standcarbon.session import discard, staged
 
 RADIUS = 2
@@ -191,18 +191,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = components(fingerprints(docs, 3, doc_id, text), doc_id)
     return found.select(doc_id, hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
 
-
-def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest id.
-
-    Rows without id stay if their group has no id at all. All columns are kept. Of several rows
-    with the same id the one with the smallest text stays.
-    """
-    ids = near_duplicates(docs, doc_id, text)
-    ids = ids.filter(F.col("component_id").eqNullSafe(F.col(doc_id)))
-    ids = ids.select(F.col(doc_id).alias("_kept")).distinct()
-    kept = docs.join(ids, docs[doc_id].eqNullSafe(ids["_kept"]), "left_semi")
-    rank = unused("_row", docs)
-    order = Window.partitionBy(doc_id).orderBy(text)
-    known = kept.withColumn(rank, F.row_number().over(order))
-    return known.filter((F.col(rank) == 1) | F.col(doc_id).isNull()).drop(rank)

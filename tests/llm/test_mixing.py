@@ -137,3 +137,31 @@ def test_short_sources_repeat_as_often_as_targets_ask(spark):
         assert abs(r.achieved - r.target) * sum(got.values()) < 1
     capped = M.mix_report(docs, block_bytes=100, max_epochs=2).collect()
     assert {r.source: r.epochs for r in capped} == {"big": 1, "small": 2}
+
+
+def test_many_unequal_sources_follow_their_targets(spark):
+    """The unrounded targets, played by fractions over 1,500 sources of very unequal size."""
+    sizes = {f"s{i:04}": 90 + 3 * i for i in range(1500)} | {"large": 400_000}
+    rows = [(n, "x" * (size - 1), "en", s, 1) for n, (s, size) in enumerate(sizes.items())]
+    got = M.mix_plan(table(spark, rows), block_bytes=100).select("source", "slot", "epoch", "block").collect()
+    shares = M.exact_shares([r.weight for r in sorted(M.target_weights(spark.createDataFrame([*sizes.items()], "source string, bytes long")).collect())])
+    names = sorted(sizes)
+    blocks = {s: -(-sizes[s] // 100) for s in names}
+    total = max(-(-blocks[s] * M.UNIT // a) for s, a in zip(names, shares, strict=True))
+    at = defaultdict(list)
+    for r in got:
+        at[r.source].append((r.slot, r.block + r.epoch * blocks[r.source]))
+    for s, a in zip(names, shares, strict=True):
+        share = Fraction(a, M.UNIT)
+        first = [slot for slot, k in sorted(at[s])]
+        if s != "large":  # one row: only its first block is a row's start
+            for k_slot, k in at[s]:
+                assert k // share <= k_slot < (k + 1) / share + 1
+        assert 0 <= min(first) and max(first) < total
+
+
+def test_weights_that_explode_the_mixture_are_refused(spark):
+    rows = [(i, "x" * 99, "en", "big" if i else "small", 1) for i in range(400)]
+    weights = spark.createDataFrame([("small", 0.9999), ("big", 0.0001)], "source string, weight double")
+    with pytest.raises(ValueError, match="blocks to show"):
+        M.mix_plan(table(spark, rows), weights, block_bytes=100)

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from standcarbon.llm import decontam, rules, simhash
+from standcarbon.llm import decontam, near_copies, rules
 
 from .corpus import PLAIN, awkward_rows, table
 
@@ -55,7 +55,7 @@ def test_pipeline_stages(spark):
     benchmark = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     expected = [
         lambda d: ids(rules.quality_verdicts(d, labels).filter("kept")),
-        lambda d: ids(simhash.near_duplicates(d).filter("doc_id = component_id")),
+        lambda d: ids(near_copies.keep_representatives(d)),
         lambda d: sorted(set(ids(d)) - set(ids(decontam.contaminated(d, benchmark)))),
     ]
     for (_, stage), want in zip(corpus_pipeline.STAGES[:3], expected, strict=True):
