@@ -172,6 +172,25 @@ def notice_polygons(df: DataFrame) -> DataFrame:
     return df.withColumn("geometry", F.array(F.array(shell, hole)))
 
 
+def _part(x0: float, y0: float, x1: float, y1: float):
+    """Corners of a rectangle given in shares of the bounds."""
+    w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
+    x, y = F.col("minx"), F.col("miny")
+    return rectangle(x + w * x0, y + h * y0, x + w * x1, y + h * y1)
+
+
+def notice_invalid_polygons(df: DataFrame) -> DataFrame:
+    """The rectangle with a hole that sticks out of it in the east."""
+    rings = F.array(_part(0, 0, 1, 1), _part(0.5, 0.25, 1.25, 0.75))
+    return df.withColumn("geometry", F.array(rings))
+
+
+def stand_invalid_polygons(df: DataFrame) -> DataFrame:
+    """Two parts that overlap in a quarter of the width."""
+    parts = F.array(F.array(_part(0, 0, 0.75, 1)), F.array(_part(0.5, 0, 1, 1)))
+    return df.withColumn("geometry", parts)
+
+
 def stand_polygons(df: DataFrame) -> DataFrame:
     """An L (north-east quarter missing) and a separate square in that quarter."""
     x0, y0, x1, y1 = (F.col(c) for c in ("minx", "miny", "maxx", "maxy"))

@@ -484,6 +484,32 @@ POLYGONS = {
     ),
 }
 
+
+
+def _shares(key: str, table: str, parts: list[tuple]) -> str:
+    """Rectangles in shares of the bounds, each with the number of times that it counts."""
+    return " union all ".join(
+        f"select {key}, {c} as c, minx + {x0} * (maxx - minx) as x0, miny + {y0} * (maxy - miny) as y0, "
+        f"minx + {x1} * (maxx - minx) as x1, miny + {y1} * (maxy - miny) as y1 from {table}"
+        for c, x0, y0, x1, y1 in parts
+    )
+
+
+# What two rings of a shape both cover is taken out of it: one ring, plus the other, less twice both.
+INVALID_POLYGONS = {
+    "overlap_rows": (
+        ("notices", "stands"),
+        f"""
+with a as ({_shares("notice_id", "notices", [(1, 0, 0, 1, 1), (1, 0.5, 0.25, 1.25, 0.75), (-2, 0.5, 0.25, 1, 0.75)])}),
+b as ({_shares("stand_id", "stands", [(1, 0, 0, 0.75, 1), (1, 0.5, 0, 1, 1), (-2, 0.5, 0, 0.75, 1)])}),
+met as (select notice_id, stand_id, a.c * b.c * (least(a.x1, b.x1) - greatest(a.x0, b.x0))
+    * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) as m2
+  from a join b on a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1)
+select notice_id, stand_id, sum(m2) / 10000 as overlap_ha from met group by all having sum(m2) > 1e-6
+""",
+    )
+}
+
 RESULT_NUMBERS = (
     "planned_volume_m3",
     "area_ha",

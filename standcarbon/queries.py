@@ -15,6 +15,7 @@ from standcarbon.operators import lookup as J
 from standcarbon.operators.overlay import overlay, prepare_geometry
 from standcarbon.oracles import (
     DENSITY,
+    INVALID_POLYGONS,
     POLYGONS,
     RESULT_LABELS,
     RESULT_NUMBERS,
@@ -370,6 +371,20 @@ def overlay_polygons(spark, folder):
     return overlay(prepare_geometry(notices, False), prepare_geometry(stands, False))
 
 
+@query(
+    sql(
+        f"select notice_id, stand_id, {rounded('overlap_ha')} from overlap_rows",
+        "overlap_rows",
+        changed=INVALID_POLYGONS,
+    )
+)
+def overlay_invalid_polygons(spark, folder):
+    """Shapes with a hole across the shell, and of parts that overlap."""
+    notices = X.notice_invalid_polygons(X.notices(spark, folder).select("notice_id", *G.BOUNDS))
+    stands = X.stand_invalid_polygons(X.stands(spark, folder).select("stand_id", *G.BOUNDS))
+    return overlay(prepare_geometry(notices, False), prepare_geometry(stands, False))
+
+
 @query(
     sql(
         """select 'notice' as kind, notice_id as id, round((maxx - minx) * (maxy - miny) * 0.75 / 10000, 4)

@@ -12,7 +12,8 @@ from standcarbon.functions import geometry as G
 from standcarbon.operators.area_kernel import overlap_areas
 from standcarbon.operators.grid import box_join
 from standcarbon.operators.lookup import bbox_stands, stands_for_notices
-from standcarbon.operators.overlay import overlay, prepare_geometry
+from standcarbon.operators import area_kernel
+from standcarbon.operators.overlay import _cut, overlay, overlay_polygons, prepare_geometry
 from standcarbon.operators import skew
 from standcarbon.operators.skew import crowded_keys, many_to_many
 
@@ -242,3 +243,39 @@ def test_adaptive_execution_splits_a_heavy_key(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def circle(n, x, y, radius):
+    angle = np.arange(n) * 2 * np.pi / n
+    return ring(*zip((x + np.cos(angle) * radius).tolist(), (y + np.sin(angle) * radius).tolist()))
+
+
+def test_a_large_pair_spreads_over_strips(spark):
+    """Same areas in strips, and only the strips that boxes share are measured."""
+    o = ORIGIN
+    left = [[[circle(400, o, o, 30_000.0)]], [[square(o - 100, o - 100, o + 5000, o + 100)]], [[square(o + 1e6, o, o + 1e6 + 1, o + 1)]]]
+    right = [[[circle(500, o + 20_000, o, 30_000.0)]], [[square(o, o, o + 300, o + 300)]]]
+    a, b = shapes(spark, left, "notice_id"), shapes(spark, right, "stand_id")
+    whole = pairs(overlay_polygons(a, b))
+    cut = overlay_polygons(a, b, strip_edges=50)
+    assert pairs(cut) == pytest.approx(whole, rel=1e-9) and len(whole) == 4
+    rows = _cut(a.select(F.col("notice_id").alias("key_notice"), "edges", (F.size("edges") > 200).alias("large")), "key_notice", "e")
+    strips = rows.groupBy("key_notice").agg(F.count("strip").alias("n"), F.max(F.size("e")).alias("most")).collect()
+    found = {r["key_notice"]: (r["n"], r["most"]) for r in strips}
+    assert found["0"][0] in (15, 16) and found["0"][1] < 4 * 400 / 3 and found["1"][0] == 0
+
+
+def test_crossing_edges_of_many_shapes():
+    rng = np.random.default_rng(9)
+    shapes_ = [star(rng, int(rng.integers(5, 40))) for _ in range(40)]
+    rows = [(a, b) for a in shapes_[:20] for b in shapes_[20:]]
+    window = np.array([[*np.maximum(a.min(axis=0), b.min(axis=0)), *np.minimum(a.max(axis=0), b.max(axis=0))] for a, b in rows])
+    left, right = (pa.array([edges(r[i]) for r in rows]) for i in (0, 1))
+    fast = overlap_areas(left, right, window)
+    before, area_kernel.ALIKE = area_kernel.ALIKE, 0
+    try:
+        assert overlap_areas(left, right, window) == pytest.approx(fast, abs=1e-9)
+    finally:
+        area_kernel.ALIKE = before
+    one = [overlap_areas(left[i : i + 1], right[i : i + 1], window[i : i + 1])[0] for i in range(0, 400, 37)]
+    assert fast[::37] == pytest.approx(one, abs=1e-9)
