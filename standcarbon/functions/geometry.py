@@ -122,6 +122,11 @@ def _closed(ring: Column) -> Column:
     ).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
 
 
+def closed(geometry: Column) -> Column:
+    """Every ring ends where it began; rings of fewer than three points are empty."""
+    return F.transform(geometry, lambda polygon: F.transform(polygon, _closed))
+
+
 def oriented(geometry: Column) -> Column:
     """Close every ring; shells run counter-clockwise, holes clockwise."""
 
@@ -139,8 +144,8 @@ def area_m2(oriented_geometry: Column) -> Column:
     return F.aggregate(ring_areas, F.lit(0.0), lambda total, area: total + area) / 2
 
 
-def edge_list(oriented_geometry: Column) -> Column:
-    """Flat [x1, y1, x2, y2, …] of all non-vertical directed edges, for the area kernel."""
+def edge_list(closed_geometry: Column) -> Column:
+    """Flat [x1, y1, x2, y2, …] of all non-vertical edges, for the area kernel."""
 
     def ring_edges(ring: Column) -> Column:
         count = F.greatest(F.size(ring) - 1, F.lit(0))
@@ -150,5 +155,5 @@ def edge_list(oriented_geometry: Column) -> Column:
             lambda p, q: F.array(p["x"], p["y"], q["x"], q["y"]),
         )
 
-    edges = F.flatten(F.transform(F.flatten(oriented_geometry), ring_edges))
+    edges = F.flatten(F.transform(F.flatten(closed_geometry), ring_edges))
     return F.flatten(F.filter(edges, lambda edge: edge[0] != edge[2]))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from standcarbon.functions.geometry import BOUNDS
 from standcarbon.operators.skew import many_to_many
-from standcarbon.session import staged
+from standcarbon.session import staged_together
 
 BASE_CELL = 512.0
 # The same for coordinates in degrees: about half a kilometre of latitude.
@@ -91,8 +91,7 @@ def box_join(
     With `touching` shared borders count too. The keys tell the rows of a side apart. Both sides are
     staged first, so give ids and bounds only and look other columns up afterwards.
     """
-    a = staged(_boxes(left, "l_", base_cell))
-    b = staged(_boxes(right, "r_", base_cell))
+    a, b = staged_together(_boxes(left, "l_", base_cell), _boxes(right, "r_", base_cell))
     left_levels, right_levels = _levels(a, b)
     a_cells = _post(a, "l_", _grids(F.col("l_level"), left_levels, right_levels, 0), base_cell)
     b_cells = _post(b, "r_", _grids(F.col("r_level"), right_levels, left_levels, 1), base_cell)

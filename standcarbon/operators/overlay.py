@@ -7,7 +7,7 @@ from standcarbon.functions import geometry as G
 from standcarbon.operators.area_kernel import overlap_batches
 from standcarbon.operators.grid import BASE_CELL, box_join
 from standcarbon.schemas import MIN_OVERLAP_M2
-from standcarbon.session import staged
+from standcarbon.session import staged_together
 
 
 def positive_overlap(pairs: DataFrame) -> DataFrame:
@@ -39,14 +39,14 @@ def overlay_boxes(
 
 
 def prepare_geometry(df: DataFrame, geographic: bool) -> DataFrame:
-    """Metric, oriented geometry with bounds, area and the edge list the kernel reads."""
+    """Bounds, area and the edge list the kernel reads, of the metric geometry."""
     metric = G.to_metric(F.col("geometry")) if geographic else F.col("geometry")
     # Bounds come from the plain rings, so a job that needs only them does not orient anything.
     bounded = G.with_bounds(df.withColumn("_metric", metric), "_metric")
     return (
-        bounded.withColumn("_metric", G.oriented(F.col("_metric")))
-        .withColumn("area_ha", G.area_m2(F.col("_metric")) / 10000)
-        .withColumn("edges", G.edge_list(F.col("_metric")))
+        bounded.withColumn("area_ha", G.area_m2(G.oriented(F.col("_metric"))) / 10000)
+        # The kernel counts edges by parity, whichever way they run.
+        .withColumn("edges", G.edge_list(G.closed(F.col("_metric"))))
         .drop("_metric")
     )
 
@@ -95,10 +95,8 @@ def overlay_polygons(
         for kind, df in (("notice", notices), ("stand", stands))
     ]
     # Read several times below; what is staged already is not written again.
-    sides = [
-        side if hasattr(df, "_staged") else staged(side)
-        for side, df in zip(sides, (notices, stands), strict=True)
-    ]
+    if not (hasattr(notices, "_staged") and hasattr(stands, "_staged")):
+        sides = staged_together(*sides)
     pairs = box_join(
         *[df.select(key, *G.BOUNDS, "large") for df, key in zip(sides, _KEYS, strict=True)],
         *_KEYS,
