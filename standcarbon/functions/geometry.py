@@ -60,6 +60,32 @@ def to_metric(geometry: Column) -> Column:
     )
 
 
+# Each round leaves less than a hundredth of the error of the latitude before it.
+_LATITUDE_ROUNDS = 7
+
+
+def _unproject_point(point: Column) -> Column:
+    east, south = point["x"] - _FALSE_EASTING, F.lit(_FALSE_NORTHING + _ORIGIN_RADIUS) - point["y"]
+    t = F.pow(F.sqrt(east * east + south * south) / _SCALE, F.lit(1 / _CONE))
+    longitude = F.atan2(east, south) / _CONE + _ORIGIN_LONGITUDE
+
+    def nearer(latitude: Column, _: Column) -> Column:
+        swing = F.sin(latitude) * _ECCENTRICITY
+        flat = F.pow((1 - swing) / (1 + swing), F.lit(_ECCENTRICITY / 2))
+        return F.lit(math.pi / 2) - F.atan(t * flat) * 2
+
+    rounds = F.sequence(F.lit(1), F.lit(_LATITUDE_ROUNDS))
+    latitude = F.aggregate(rounds, F.lit(math.pi / 2) - F.atan(t) * 2, nearer)
+    return F.struct(F.degrees(longitude).alias("x"), F.degrees(latitude).alias("y"))
+
+
+def to_geographic(geometry: Column) -> Column:
+    """Metres in the national grid to longitude/latitude; the inverse of `to_metric`."""
+    return F.transform(
+        geometry, lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, _unproject_point))
+    )
+
+
 def points(geometry: Column) -> Column:
     return F.flatten(F.flatten(geometry))
 

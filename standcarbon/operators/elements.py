@@ -147,8 +147,10 @@ def stand_detail_summary(elements: DataFrame) -> DataFrame:
 
 
 def latest_details(documents: DataFrame, order: str) -> DataFrame:
-    """Later document of the same stand wins."""
-    latest = Window.partitionBy("stand_id").orderBy(F.desc(order))
+    """Later document of the same stand wins; of equally late ones the greatest by content, so that
+    a retried task decides alike."""
+    content = sorted(set(documents.columns) - {"stand_id", order})
+    latest = Window.partitionBy("stand_id").orderBy(F.desc(order), *map(F.desc, content))
     return (
         documents.withColumn("_rank", F.row_number().over(latest))
         .filter("_rank = 1")

@@ -442,6 +442,25 @@ def project_points(spark, folder):
     )
 
 
+@query(
+    sql(
+        """select notice_id, round(22 + (o % 6000) / 1000, 6) as lon, round(57.5 + (o % 2000) / 1000, 6) as lat
+from (select notice_id, cast(notice_id as bigint) as o from notices)""",
+        "notices",
+    )
+)
+def unproject_points(spark, folder):
+    """There and back: the grid's points as longitude and latitude again."""
+    o = F.col("notice_id").cast("bigint")
+    corner = F.struct(
+        (F.lit(22.0) + o % 6000 / 1000).alias("x"), (F.lit(57.5) + o % 2000 / 1000).alias("y")
+    )
+    metric = G.to_metric(F.array(F.array(F.array(corner))))
+    back = G.to_geographic(F.col("metric"))[0][0][0]
+    points = X.notices(spark, folder).select("notice_id", metric.alias("metric"))
+    return points.select("notice_id", F.round(back["x"], 6).alias("lon"), F.round(back["y"], 6).alias("lat"))
+
+
 @query(
     sql(
         "select min(minx) as minx, min(miny) as miny, max(maxx) as maxx, max(maxy) as maxy "

@@ -10,12 +10,15 @@ from standcarbon.functions import parsing as P
 from standcarbon.operators.elements import latest_details
 
 _NUMBERS = "array<double>"
-# Collections inside collections; the format advises against any.
+# Collections inside collections; the format advises against any. Deeper ones are an error.
 COLLECTION_DEPTH = 6
 
 
 def parse_geometry(geometry: Column) -> Column:
-    """GeoJSON polygon, multipolygon or collection of them; other shapes have no area."""
+    """GeoJSON polygon, multipolygon or collection of them; other shapes have no area.
+
+    A collection nested deeper than COLLECTION_DEPTH fails the job, as its area would be unknown.
+    """
 
     def rings(depth: str, json: Column, field: str = "coordinates") -> Column:
         return F.from_json(json, f"{field} {depth}")[field]
@@ -52,6 +55,9 @@ def parse_geometry(geometry: Column) -> Column:
     members = F.array(geometry)
     for _ in range(COLLECTION_DEPTH):
         members = opened(members)
+    deeper = F.exists(members, lambda json: F.get_json_object(json, "$.type") == "GeometryCollection")
+    message = F.lit(f"geometry collections nested more than {COLLECTION_DEPTH} deep")
+    members = F.when(F.coalesce(deeper, F.lit(False)), F.raise_error(message).cast("array<string>")).otherwise(members)
     parts = F.filter(F.transform(members, simple), lambda part: part.isNotNull())
     # Most features are no collections and are parsed once.
     nested = geometry.contains("GeometryCollection")

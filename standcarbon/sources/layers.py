@@ -51,19 +51,18 @@ def profile_dates(
 ) -> DataFrame:
     """Share of parseable dates among the first `sample` known values of every column.
 
-    A bounded top-n per column: tasks send `sample` values each, and a scan reads the column and
-    the order only.
+    One scan: rows become cells, and the rank limit is applied in every task before the shuffle,
+    so a task sends `sample` cells of each column at most.
     """
-    columns = []
-    for place, name in enumerate(n for n in df.columns if n not in skip):
-        known = df.select(F.col(order).alias("o"), F.col(name).cast("string").alias("v"))
-        top = known.filter("v is not null").orderBy("o", "v").limit(sample)
-        columns.append(
-            top.select(F.lit(place).alias("position"), F.lit(name).alias("column_name"), "v")
-        )
-    cells = columns[0]
-    for column in columns[1:]:
-        cells = cells.unionByName(column)
+    names = [n for n in df.columns if n not in skip]
+    cell = [
+        F.struct(F.lit(place).alias("position"), F.lit(name).alias("column_name"), F.col(f"`{name}`").cast("string").alias("v"))
+        for place, name in enumerate(names)
+    ]
+    cells = df.select(F.col(order).alias("o"), F.explode(F.array(*cell)).alias("c")).select("o", "c.*")
+    first = Window.partitionBy("position").orderBy("o", "v")
+    ranked = cells.filter("v is not null").withColumn("_rank", F.row_number().over(first))
+    cells = ranked.filter(F.col("_rank") <= sample)
     return cells.groupBy("position", "column_name").agg(
         F.avg(P.iso_date(F.col("v")).isNotNull().cast("double")).alias("parse_rate")
     )
@@ -213,7 +212,7 @@ def load_notices(
     canonical = canonical_notices(united, order)
     if resolve_column(united.columns, S.NOTICE_ID_NAMES):
         return dedupe_latest(canonical, ["notice_id"], ["source_rank", "submitted_date", *_TIES])
-    return dedupe_first(canonical, None, ["source_rank", "submitted_date"])
+    return dedupe_first(canonical, None, ["source_rank", "submitted_date", *_TIES])
 
 
 # What decides between rows of one id, layer and day, so that a retried task decides alike.

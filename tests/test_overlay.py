@@ -279,3 +279,11 @@ def test_crossing_edges_of_many_shapes():
         area_kernel.ALIKE = before
     one = [overlap_areas(left[i : i + 1], right[i : i + 1], window[i : i + 1])[0] for i in range(0, 400, 37)]
     assert fast[::37] == pytest.approx(one, abs=1e-9)
+
+
+def test_projection_there_and_back(spark):
+    corner = [[ring((21.5, 57.4), (24.0, 58.5), (28.3, 59.9), (24.0, 57.5175539305))]]
+    geo = spark.createDataFrame([(corner,)], "geometry array<array<array<struct<x:double,y:double>>>>")
+    back = geo.select(G.to_geographic(G.to_metric(F.col("geometry"))).alias("g")).first()["g"][0][0]
+    for got, want in zip(back, corner[0][0], strict=True):
+        assert abs(got["x"] - want["x"]) < 1e-9 and abs(got["y"] - want["y"]) < 1e-9

@@ -167,3 +167,39 @@ def test_csv_has_a_header(spark, tmp_path):
     files.write_csv(spark.sql("select 1 as a, 'õ' as b").coalesce(1), str(tmp_path / "out"))
     [part] = (tmp_path / "out").glob("*.csv")
     assert part.read_text(encoding="utf-8").splitlines() == ["a,b", "1,õ"]
+
+
+def test_collections_nested_too_deep_fail_loudly(spark):
+    from standcarbon.sources import files
+
+    polygon = '{"type": "Polygon", "coordinates": [[[0,0],[1,0],[1,1],[0,0]]]}'
+
+    def nested(depth: int) -> str:
+        return polygon if not depth else f'{{"type": "GeometryCollection", "geometries": [{nested(depth - 1)}]}}'
+
+    parse = lambda d: spark.createDataFrame([(nested(d),)], "g string").select(files.parse_geometry(F.col("g")).alias("p")).first()["p"]
+    assert len(parse(files.COLLECTION_DEPTH)) == 1
+    with pytest.raises(Exception, match="nested more than"):
+        parse(files.COLLECTION_DEPTH + 1)
+
+
+def test_profile_reads_its_input_once(spark):
+    from standcarbon.sources import layers
+
+    df = spark.createDataFrame([(i, f"2024-01-{i % 28 + 1:02}", "x", None if i < 5 else "2024-02-01") for i in range(100)], "id int, a string, b string, `c d` string")
+    profile = layers.profile_dates(df, "id")
+    rates = {r.column_name: r.parse_rate for r in profile.collect()}
+    assert rates["a"] == 1.0 and rates["b"] == 0.0 and rates["c d"] == 1.0
+    plan = profile._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert final.count("ExistingRDD") == 1 and "WindowGroupLimit" in final
+
+
+def test_equally_late_documents_are_chosen_by_content(spark):
+    from standcarbon.operators.elements import latest_details
+
+    rows = [("1", ["a"], "x", 5), ("1", ["b"], "w", 5), ("1", ["z"], "w", 4), ("2", ["a"], None, 1)]
+    schema = "stand_id string, elements array<string>, site_class string, at int"
+    for order in (rows, rows[::-1]):
+        kept = latest_details(spark.createDataFrame(order, schema), "at").collect()
+        assert {(r.stand_id, r.elements[0]) for r in kept} == {("1", "b"), ("2", "a")}
