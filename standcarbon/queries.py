@@ -112,6 +112,27 @@ def snapshot_freshness(spark, folder):
     return snapshots.fresh_snapshots(stored, as_of, timedelta(days=10))
 
 
+@query(
+    """select namespace, key, cached_at, payload from (select event_type as namespace,
+cast(user_id as varchar) as key, ts as cached_at, props as payload, row_number() over
+(partition by event_type, user_id order by ts desc, props desc) as rn from events) where rn = 1"""
+)
+def snapshot_store(spark, folder):
+    """A store after a write that is cleared and two that stay."""
+    entries = X.table(spark, folder, "events").select(
+        F.col("event_type").alias("namespace"),
+        F.col("user_id").cast("string").alias("key"),
+        F.col("ts").alias("cached_at"),
+        F.col("props").alias("payload"),
+    )
+    path, even = scratch_path(spark, "store"), F.crc32(F.col("payload").cast("binary")) % 2 == 0
+    snapshots.replace_snapshots(entries.withColumn("payload", F.lit("gone")), path, 8)
+    snapshots.clear_store(spark, path, entries.schema)
+    for part in (even, ~even):
+        snapshots.replace_snapshots(entries.filter(F.coalesce(part, F.lit(True))), path, 8)
+    return snapshots.read_store(spark, path, entries.schema)
+
+
 def _registry_notices(raw: DataFrame) -> DataFrame:
     """The raw layer under registry names, everything as text."""
     return raw.select(

@@ -76,6 +76,11 @@ def _hadoop_path(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target, store = _hadoop_path(spark, path)
+    return store.exists(target)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; what is there goes when the application ends."""
     path = f"{shared_folder(spark)}/standcarbon-{label}-{uuid4()}"

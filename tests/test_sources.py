@@ -203,3 +203,36 @@ def test_equally_late_documents_are_chosen_by_content(spark):
     for order in (rows, rows[::-1]):
         kept = latest_details(spark.createDataFrame(order, schema), "at").collect()
         assert {(r.stand_id, r.elements[0]) for r in kept} == {("1", "b"), ("2", "a")}
+
+
+def test_store_replaces(spark, tmp_path):
+    path, at = f"file://{tmp_path}/store", datetime(2024, 1, 1)
+    schema = "namespace string, key string, cached_at timestamp, payload string"
+
+    def put(rows):
+        snapshots.replace_snapshots(spark.createDataFrame(rows, schema), path, 4)
+
+    def stored():
+        kind = spark.createDataFrame([], schema).schema
+        return sorted((r.namespace, r.key, r.payload) for r in snapshots.read_store(spark, path, kind).collect())
+
+    def files():
+        return {f: f.stat().st_mtime_ns for f in (tmp_path / "store").rglob("*.parquet")}
+
+    put([("a", str(i), at, "first") for i in range(40)] + [("b", "x", at, "b"), ("12", "y", at, "c")])
+    assert len(files()) <= 3 * 4
+    for day in range(1, 4):
+        before = files()
+        put([("a", "7", at + timedelta(days=day), f"day {day}"), ("a", "8", at - timedelta(days=1), "too old")])
+        assert len(files()) <= 3 * 4 and len(before.items() & files().items()) >= len(before) - 2
+    found = {(n, k): p for n, k, p in stored()}
+    assert len(found) == len(stored()) == 42
+    assert found["a", "7"] == "day 3" and found["a", "8"] == "first" and found["12", "y"] == "c"
+    broken = spark.createDataFrame([("a", "7", at + timedelta(days=9), "x")], schema)
+    with pytest.raises(Exception, match="broken"):
+        snapshots.replace_snapshots(broken.withColumn("payload", F.raise_error(F.lit("broken")).cast("string")), path, 4)
+    assert {(n, k): p for n, k, p in stored()} == found
+    snapshots.clear_store(spark, path, broken.schema)
+    assert stored() == []
+    put([("a", "1", at, "again")])
+    assert stored() == [("a", "1", "again")]
