@@ -191,6 +191,15 @@ def stand_invalid_polygons(df: DataFrame) -> DataFrame:
     return df.withColumn("geometry", parts)
 
 
+def stand_corner_polygons(df: DataFrame) -> DataFrame:
+    """A thin L along the south and the west of the bounds."""
+    x0, y0, x1, y1 = (F.col(c) for c in ("minx", "miny", "maxx", "maxy"))
+    xa, ya = x0 + (x1 - x0) * 0.05, y0 + (y1 - y0) * 0.05
+    corners = ((x0, y0), (x1, y0), (x1, ya), (xa, ya), (xa, y1), (x0, y1))
+    shape = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners])
+    return df.withColumn("geometry", F.array(F.array(shape)))
+
+
 def stand_polygons(df: DataFrame) -> DataFrame:
     """An L (north-east quarter missing) and a separate square in that quarter."""
     x0, y0, x1, y1 = (F.col(c) for c in ("minx", "miny", "maxx", "maxy"))

@@ -170,6 +170,41 @@ def area_m2(oriented_geometry: Column) -> Column:
     return F.aggregate(ring_areas, F.lit(0.0), lambda total, area: total + area) / 2
 
 
+def _ring_edges(ring: Column, made) -> Column:
+    count = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.zip_with(F.slice(ring, F.lit(1), count), F.slice(ring, F.lit(2), count), made)
+
+
+def meets_box(geometry: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """Whether a shape and a box have a place in common, borders included.
+
+    They have if an edge, cut at the sides of the box, leaves a rest, or if the box lies inside:
+    then an odd number of edges is east of its corner.
+    """
+
+    def cut(p: Column, q: Column, axis: str, low: Column, high: Column) -> tuple[Column, Column, Column]:
+        way = F.nullif(q[axis] - p[axis], F.lit(0.0))
+        one, two = (low - p[axis]) / way, (high - p[axis]) / way
+        # Edges along the other axis lie between the sides or are outside.
+        return F.least(one, two), F.greatest(one, two), way.isNotNull() | p[axis].between(low, high)
+
+    def touches(p: Column, q: Column) -> Column:
+        x, y = cut(p, q, "x", minx, maxx), cut(p, q, "y", miny, maxy)
+        enters, leaves = F.greatest(F.lit(0.0), x[0], y[0]), F.least(F.lit(1.0), x[1], y[1])
+        return x[2] & y[2] & (enters <= leaves)
+
+    def east(p: Column, q: Column) -> Column:
+        at = p["x"] + (q["x"] - p["x"]) * (miny - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0))
+        crosses = ((p["y"] > miny) != (q["y"] > miny)) & (minx < at)
+        return F.coalesce(crosses, F.lit(False)).cast("int")
+
+    rings = F.flatten(closed(geometry))
+    met = F.exists(F.flatten(F.transform(rings, lambda ring: _ring_edges(ring, touches))), lambda x: x)
+    crossed = F.flatten(F.transform(rings, lambda ring: _ring_edges(ring, east)))
+    inside = F.aggregate(crossed, F.lit(0), lambda total, one: total + one) % 2 == 1
+    return F.coalesce(met, F.lit(False)) | F.coalesce(inside, F.lit(False))
+
+
 def edge_list(closed_geometry: Column) -> Column:
     """Flat [x1, y1, x2, y2, …] of all non-vertical edges, for the area kernel."""
 

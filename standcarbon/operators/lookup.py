@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from standcarbon.functions.geometry import BOUNDS, pad_bounds
+from standcarbon.functions.geometry import BOUNDS, meets_box, pad_bounds
 from standcarbon.operators.grid import BASE_CELL, DEGREE_CELL, box_join
 from standcarbon.schemas import BBOX_PAD_DEGREES
 from standcarbon.session import staged
@@ -44,7 +44,9 @@ def bbox_stands(
     base_cell: float | None = None,
     geographic: bool = True,
 ) -> DataFrame:
-    """(notice_id, stand_id) where the stand's box meets the notice's padded box.
+    """(notice_id, stand_id) where the stand meets the notice's padded box: its shape, where
+    `stands` has a geometry in the units of the bounds, else its own box. Prepared geometry has
+    metric bounds beside the original shape, so there the boxes decide.
 
     `geographic` says that bounds are degrees; it decides the pad and the cells together.
     """
@@ -57,9 +59,13 @@ def bbox_stands(
         base_cell,
         touching=True,
     )
-    return pairs.select(
-        F.col("l_notice_id").alias("notice_id"), F.col("r_stand_id").alias("stand_id")
-    )
+    met = [F.col("l_notice_id").alias("notice_id"), F.col("r_stand_id").alias("stand_id")]
+    if "geometry" not in stands.columns or "edges" in stands.columns:
+        return pairs.select(*met)
+    # Shapes are looked up for pairs whose boxes meet.
+    shapes = stands.select(F.col("stand_id").alias("r_stand_id"), "geometry")
+    shown = pairs.join(shapes, "r_stand_id")
+    return shown.filter(meets_box(F.col("geometry"), *[F.col(f"l_{b}") for b in BOUNDS])).select(*met)
 
 
 def stands_for_notices(

@@ -495,6 +495,18 @@ def _shares(key: str, table: str, parts: list[tuple]) -> str:
     )
 
 
+# The stand is a thin L: two rectangles in shares of its bounds.
+L_SHAPES = {
+    "near": (
+        ("unmatched", "stands"),
+        f"""
+with part as ({_shares("stand_id", "stands", [(1, 0, 0, 1, 0.05), (1, 0, 0, 0.05, 1)])})
+select distinct n.notice_id, s.stand_id from unmatched n join part s
+  on n.minx - 20 <= s.x1 and s.x0 <= n.maxx + 20 and n.miny - 20 <= s.y1 and s.y0 <= n.maxy + 20
+""",
+    )
+}
+
 # What two rings of a shape both cover is taken out of it: one ring, plus the other, less twice both.
 INVALID_POLYGONS = {
     "overlap_rows": (

@@ -16,6 +16,7 @@ from standcarbon.operators.overlay import overlay, prepare_geometry
 from standcarbon.oracles import (
     DENSITY,
     INVALID_POLYGONS,
+    L_SHAPES,
     POLYGONS,
     RESULT_LABELS,
     RESULT_NUMBERS,
@@ -360,6 +361,15 @@ def bbox_fallback(spark, folder):
     return J.bbox_stands(unmatched, stands, X.BBOX_PAD, geographic=False)
 
 
+@query(sql("select notice_id, stand_id from near", "near", changed=L_SHAPES))
+def bbox_fallback_shapes(spark, folder):
+    """Stands of which only the box, but not the shape, meets the notice's are left out."""
+    notices, stands = X.notices(spark, folder), X.stands(spark, folder)
+    unmatched = J.unmatched_notices(notices, J.exact_stands(stands, notices))
+    shapes = X.stand_corner_polygons(stands.select("stand_id", *G.BOUNDS))
+    return J.bbox_stands(unmatched, shapes, X.BBOX_PAD, geographic=False)
+
+
 @query(
     sql(
         """select stand_id, min(frame_rank) as frame_rank from (select stand_id, 0 as frame_rank

@@ -287,3 +287,33 @@ def test_projection_there_and_back(spark):
     back = geo.select(G.to_geographic(G.to_metric(F.col("geometry"))).alias("g")).first()["g"][0][0]
     for got, want in zip(back, corner[0][0], strict=True):
         assert abs(got["x"] - want["x"]) < 1e-9 and abs(got["y"] - want["y"]) < 1e-9
+
+
+def test_box_against_shape(spark):
+    notch = [[ring((0, 0), (10, 0), (10, 4), (4, 4), (4, 10), (0, 10))]]
+    holed = [[square(0, 0, 10, 10), square(2, 2, 8, 8)]]
+    cases = [
+        (notch, (5, 5, 9, 9), False), (notch, (3, 3, 5, 5), True), (notch, (4, 6, 9, 9), True),
+        (notch, (4.01, 6, 9, 9), False), (notch, (1, 1, 2, 2), True), (notch, (-5, -5, 50, 50), True),
+        (holed, (3, 3, 7, 7), False), (holed, (3, 3, 8, 7), True), (holed, (0.5, 0.5, 1, 1), True),
+        (notch, (10, 10, 12, 12), False), (notch, (10, 4, 12, 12), True), ([], (0, 0, 1, 1), False),
+        ([[ring((0, 10), (10, 0), (10, 10))]], (0, 0, 4.9, 4.9), False),
+        ([[ring((0, 10), (10, 0), (10, 10))]], (0, 0, 5, 5), True),
+        ([[ring((0, 5), (20, 5.5), (20, 6))]], (8, 0, 9, 50), True),
+    ]
+    rows = [(g, *map(float, box)) for g, box, _ in cases] + [(None, 0.0, 0.0, 1.0, 1.0)]
+    schema = "g array<array<array<struct<x:double,y:double>>>>, a double, b double, c double, d double"
+    df = spark.createDataFrame(rows, schema)
+    found = [r.m for r in df.select(G.meets_box(F.col("g"), *map(F.col, "abcd")).alias("m")).collect()]
+    assert found == [want for *_, want in cases] + [False]
+
+
+def test_stands_whose_shape_is_apart_are_not_loaded(spark):
+    notch = [[ring((0, 0), (10, 0), (10, 4), (4, 4), (4, 10), (0, 10))]]
+    schema = "geometry array<array<array<struct<x:double,y:double>>>>"
+    stands = boxes(spark, [(0, 0, 10, 10)], "stand_id").crossJoin(spark.createDataFrame([(notch,)], schema))
+    notices = boxes(spark, [(7, 7, 8, 8), (5, 5, 8, 8)], "notice_id")
+    near = bbox_stands(notices, stands, pad=1.5, geographic=False).collect()
+    assert [r["notice_id"] for r in near] == ["1"]
+    plain = bbox_stands(notices, stands.drop("geometry"), pad=1.5, geographic=False)
+    assert plain.count() == 2
