@@ -29,8 +29,8 @@ from standcarbon.oracles import (
 )
 from standcarbon.plans import analysis as N
 from standcarbon.plans import reports as R
-from standcarbon.session import scratch_path
-from standcarbon.sources import files, layers, snapshots
+from standcarbon.session import scratch_path, staged
+from standcarbon.sources import files, layers, snapshots, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -370,6 +370,37 @@ def bbox_fallback_shapes(spark, folder):
     return J.bbox_stands(unmatched, shapes, X.BBOX_PAD, geographic=False)
 
 
+@query(sql("select notice_id, stand_id from near", "near"))
+def bbox_fallback_store(spark, folder):
+    """From a layer store, of which only files near an unmatched notice are opened."""
+    notices, stands = X.notices(spark, folder), X.stands(spark, folder)
+    unmatched = J.unmatched_notices(notices, J.exact_stands(stands, notices))
+    path = scratch_path(spark, "layer")
+    stores.write_layer(stands.select("stand_id", *G.BOUNDS), path, "stand_id", file_rows=2000)
+    unmatched = staged(unmatched.select("notice_id", *G.BOUNDS))
+    near = stores.read_near(spark, path, unmatched, "notice_id", X.BBOX_PAD)
+    return J.bbox_stands(unmatched, near, X.BBOX_PAD, geographic=False)
+
+
+@query(
+    sql(
+        f"""select stand_id, {", ".join(map(rounded, G.BOUNDS))} from stands, (select min(minx) as x,
+min(miny) as y, max(maxy) as top from notices) where minx <= x + 20000 and maxx >= x
+and miny <= y + (top - y) / 4 and maxy >= y""",
+        "stands",
+        "notices",
+    )
+)
+def layer_region(spark, folder):
+    """The stands of the south-western quarter, from a layer store."""
+    ends = G.total_bounds(X.notices(spark, folder)).first()
+    region = (ends.minx, ends.miny, ends.minx + 20000, ends.miny + (ends.maxy - ends.miny) / 4)
+    path = scratch_path(spark, "layer")
+    stands = X.stands(spark, folder).select("stand_id", *G.BOUNDS)
+    stores.write_layer(stands, path, "stand_id", file_rows=2000)
+    return stores.read_region(spark, path, region)
+
+
 @query(
     sql(
         """select stand_id, min(frame_rank) as frame_rank from (select stand_id, 0 as frame_rank
@@ -520,6 +551,23 @@ def detail_pruning(spark, folder):
     return pruned.select("stand_id", "record_id")
 
 
+@query(
+    sql(
+        """select stand_id, record_id from elements e
+where exists (select 1 from overlap_rows o where o.stand_id = e.stand_id)""",
+        "elements",
+        "overlap_rows",
+    )
+)
+def detail_store(spark, folder):
+    """Details read from a store, of which only the parts with overlapping stands are opened."""
+    a = run(spark, folder)
+    path = scratch_path(spark, "details")
+    records = a.elements.select("stand_id", "record_id")
+    stores.write_details(records, path, 64)
+    return stores.details_of(spark, path, records.schema, a.overlaps.rows, 64)
+
+
 @query(
     """select cast(p as varchar) as stand_id, 0 as pos, cast(o * 10 + n as varchar) as record_id,
 'Y' as stratum_code, 'MA' as species_code, 'Mänd' as species, round(l_quantity, 4) as share_pct,
