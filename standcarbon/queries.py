@@ -278,6 +278,40 @@ def read_features(spark, folder):
     )
 
 
+@query(
+    sql(
+        """select source_layer, count(*) as n_features, count(*) + case source_layer when 'archive'
+then count(*) filter (where cast(notice_id as bigint) % 5 = 0) else 0 end as n_pages, case source_layer
+when 'archive' then count(*) filter (where cast(notice_id as bigint) % 5 = 0) else 0 end as n_broken
+from notices_raw group by source_layer""",
+        "notices_raw",
+    )
+)
+def guarded_layers(spark, folder):
+    """Two layers load, one with broken pages that are counted; a third one fails while read."""
+    raw = X.notices_raw(spark, folder)
+    readers = {}
+    for name in ("archive", "current", "closed"):
+        page = _feature_page()
+        if name == "closed":
+            deep = '"geometry":' + '{"type":"GeometryCollection","geometries":[' * 9
+            page = F.replace(page, F.lit('"geometry":{'), F.lit(deep + "{"))
+            page = F.replace(page, F.lit("}}]}"), F.lit("}" + "]}" * 9 + "}]}"))
+        pages = raw.filter(F.col("source_layer") == ("current" if name == "closed" else name))
+        torn = F.when((F.col("notice_id") % 5 == 0) & (F.lit(name) == "archive"), F.substr(page, F.lit(1), F.lit(30)))
+        path = scratch_path(spark, name)
+        pages.select(F.explode(F.array_compact(F.array(page, torn))).alias("value")).write.text(path)
+        readers[name] = lambda seen, path=path: files.read_features(
+            spark, path, ["teatis_id"], lines=True, seen=seen
+        )
+    loaded, counts = layers.load_layers(readers)
+    # One row per layer.
+    kept = [(name, c["documents"], c["broken"]) for name, c in counts.items()]
+    report = spark.createDataFrame(kept, "source_layer string, n_pages long, n_broken long")
+    rows = layers.union_layers(loaded).groupBy("source_layer").agg(F.count(F.lit(1)).alias("n_features"))
+    return rows.join(F.broadcast(report), "source_layer", "left")
+
+
 @query(
     sql(
         f"""select notice_id, {rounded("planned_volume_m3", "minx", "miny", "maxx", "maxy")} from (

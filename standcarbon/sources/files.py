@@ -2,8 +2,9 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from standcarbon import schemas as S
 from standcarbon.functions import parsing as P
@@ -64,14 +65,36 @@ def parse_geometry(geometry: Column) -> Column:
     return typed(F.when(nested, F.flatten(parts)).otherwise(simple(geometry)))
 
 
+_BROKEN = "_broken"
+
+
+def _counted(
+    spark: SparkSession, path: str, schema: StructType, lines: bool, seen: Observation, **more: Column
+) -> DataFrame:
+    """Documents of a folder, `_broken` where one cannot be parsed, counted while they are read."""
+    read = spark.read.schema(StructType([*schema.fields, StructField(_BROKEN, StringType())]))
+    read = read.option("columnNameOfCorruptRecord", _BROKEN).option("multiLine", not lines)
+    counts = {"documents": F.lit(True), "broken": F.col(_BROKEN).isNotNull(), **more}
+    return read.json(path).observe(seen, *[F.count_if(c).alias(n) for n, c in counts.items()])
+
+
 def read_features(
-    spark: SparkSession, path: str, properties: Sequence[str] | None = None, lines: bool = False
+    spark: SparkSession,
+    path: str,
+    properties: Sequence[str] | None = None,
+    lines: bool = False,
+    seen: Observation | None = None,
 ) -> DataFrame:
     """All features of all pages: properties as text columns, geometry as polygons.
 
-    Without `properties` the names in use are looked up first. `lines`: one page per line.
+    Without `properties` the names in use are looked up first. `lines`: one page per line. `seen`
+    gets the numbers of documents and of broken ones when the table is first used; what can be read
+    of a broken page stays.
     """
-    pages = spark.read.schema(S.FEATURE_PAGE).option("multiLine", not lines).json(path)
+    if seen is None:
+        pages = spark.read.schema(S.FEATURE_PAGE).option("multiLine", not lines).json(path)
+    else:
+        pages = _counted(spark, path, S.FEATURE_PAGE, lines, seen).drop(_BROKEN)
     features = pages.select(F.explode("features").alias("feature")).select("feature.*")
     if properties is None:
         names = features.select(F.explode(F.map_keys("properties")).alias("name")).distinct()
@@ -105,8 +128,19 @@ def snapshot_details(snapshots: DataFrame) -> DataFrame:
     return _details(parsed.select(*fields, stored))
 
 
-def read_details(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(stand_id, elements, …) per stand; broken documents give no row, the latest one counts."""
+def read_details(
+    spark: SparkSession, path: str, lines: bool = False, seen: Observation | None = None
+) -> DataFrame:
+    """(stand_id, elements, …) per stand; broken documents give no row, the latest one counts.
+
+    `seen` gets the numbers of documents, of broken ones and of others without a stand id when the
+    table is first used.
+    """
+    if seen is not None:
+        stand = P.stand_join_id(F.col("_stand_id"))
+        nameless = F.col(_BROKEN).isNull() & stand.isNull()
+        read = _counted(spark, path, S.DETAIL_DOCUMENT, lines, seen, without_id=nameless)
+        return _details(read.filter(F.col(_BROKEN).isNull()).drop(_BROKEN))
     documents = (
         spark.read.schema(S.DETAIL_DOCUMENT)
         .option("multiLine", not lines)

@@ -1,15 +1,19 @@
 """Layer preparation: column resolution, canonical tables, filters, union and dedupe."""
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from contextlib import suppress
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkAssertionError, PySparkException
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from standcarbon import schemas as S
 from standcarbon.functions import parsing as P
 from standcarbon.functions.geometry import BOUNDS, with_bounds
+from standcarbon.session import staged
 
 DATE_RATE = 0.8
 SHORTEST_PART_MATCH = 5
@@ -148,6 +152,30 @@ def union_layers(layers: dict[str, DataFrame | Exception]) -> DataFrame:
     return united
 
 
+def load_layers(
+    readers: dict[str, Callable[[Observation], DataFrame]],
+) -> tuple[dict[str, DataFrame | Exception], dict[str, dict[str, int]]]:
+    """Each layer read whole and staged, or what made its read fail, and the counts of each read.
+
+    A reader gets the observation to count into, as `read_features` does with `seen`. Files that
+    turn out broken halfway fail only their own layer; the first result is what `union_layers` and
+    `load_notices` take. A layer that failed has no counts, nor has one whose reader counts nothing.
+    """
+    loaded: dict[str, DataFrame | Exception] = {}
+    counts: dict[str, dict[str, int]] = {}
+    for name, reader in readers.items():
+        seen = Observation()
+        try:
+            loaded[name] = staged(reader(seen))
+        except (PySparkException, Py4JError, OSError) as error:
+            loaded[name] = error
+            continue
+        # A reader need not count.
+        with suppress(PySparkAssertionError):
+            counts[name] = seen.get
+    return loaded, counts
+
+
 def _first_of(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     # A rank-1 filter is applied in every task before the shuffle, so copies of a hot key
     # never travel: each task sends at most one row per key.

@@ -2,6 +2,7 @@ import json
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from standcarbon.sources import files, layers, snapshots
@@ -205,6 +206,39 @@ def test_equally_late_documents_are_chosen_by_content(spark):
         assert {(r.stand_id, r.elements[0]) for r in kept} == {("1", "b"), ("2", "a")}
 
 
+def test_layers_that_fail_while_read(spark, tmp_path):
+    def page(i):
+        return json.dumps({"features": [{"properties": {"teatis_id": str(i)}, "geometry": None}]})
+
+    for name in ("good", "torn", "bad"):
+        (tmp_path / name).mkdir()
+        for i in range(3):
+            (tmp_path / name / f"{i}.json").write_text(page(i))
+    (tmp_path / "torn" / "1.json").write_text(page(1)[:-9])
+    (tmp_path / "bad" / "1.json.gz").write_bytes(b"no archive")
+    read = lambda name: lambda seen: files.read_features(spark, f"{tmp_path}/{name}", ["teatis_id"], seen=seen)
+    readers = {name: read(name) for name in ("good", "torn", "bad", "missing")}
+    readers["uncounted"] = lambda seen: spark.sql("select 'u' as teatis_id")
+    loaded, counts = layers.load_layers(readers)
+    assert counts == {"good": {"documents": 3, "broken": 0}, "torn": {"documents": 3, "broken": 1}}
+    assert [n for n, x in loaded.items() if isinstance(x, Exception)] == ["bad", "missing"]
+    rows = layers.union_layers(loaded).groupBy("source_layer").count().collect()
+    assert {r["source_layer"]: r["count"] for r in rows} == {"good": 3, "torn": 2, "uncounted": 1}
+    with pytest.raises(RuntimeError, match="bad"):
+        layers.union_layers({n: loaded[n] for n in ("bad", "missing")})
+
+
+def test_details_are_counted(spark, tmp_path):
+    lines = ['{"_stand_id": "1", "elemendid": ["a"]}', '{"_stand_id": ', '{"elemendid": []}', '{"_stand_id": "1"}']
+    (tmp_path / "details.json").write_text("\n".join(lines))
+    seen = Observation()
+    read = files.read_details(spark, f"{tmp_path}/details.json", lines=True, seen=seen)
+    assert [r.stand_id for r in read.collect()] == ["1"]
+    assert seen.get == {"documents": 4, "broken": 1, "without_id": 1}
+    plain = files.read_details(spark, f"{tmp_path}/details.json", lines=True)
+    assert plain.collect() == read.collect()
+
+
 def test_store_replaces(spark, tmp_path):
     path, at = f"file://{tmp_path}/store", datetime(2024, 1, 1)
     schema = "namespace string, key string, cached_at timestamp, payload string"
