@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from standcarbon.llm.texts import byte_blocks, pieces
+from standcarbon.llm.texts import byte_blocks, per_text, pieces
+from standcarbon.session import discard, staged
 
 THRESHOLD = 0.6
 SHINGLE = 5
@@ -28,7 +29,8 @@ QUESTION_OVERLAP, ANSWER_OVERLAP = 0.8, 0.5
 BLOCK = 8
 PASSAGES = 4096  # whose blocks are looked at together
 K1, B = 1.2, 0.75
-# Items of one index; a larger test set is searched with several, one after the other.
+# Items of one index; a larger test set is searched with several, one after the other. Scores do
+# not depend on it: rarity and mean length are those of the whole test set.
 INDEX_ITEMS, INDEX_BYTES = 20_000, 16 << 20
 _PLAIN = bytes(
     b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or b >= 128 else 32 for b in range(256)
@@ -81,6 +83,20 @@ class Item:
         return question, answer
 
 
+@dataclass(frozen=True)
+class Spread:
+    """How words are spread over the searchable items of the whole test set: the number of items,
+    their mean length, and in how many each word is, for the words of one part."""
+
+    n: int
+    mean: float
+    found_in: dict[bytes, int]
+
+    def rarity(self, word: bytes) -> float:
+        df = self.found_in[word]
+        return log(1 + (self.n - df + 0.5) / (df + 0.5))
+
+
 def wand(postings: list[tuple[list[int], list[float]]], threshold: float):
     """All (item, score) of at least `threshold` in the postings of a query's terms.
 
@@ -128,16 +144,13 @@ class Index:
     largest weight in each block that it occurs in.
     """
 
-    def __init__(self, items: list[Item], span: int):
+    def __init__(self, items: list[Item], span: int, spread: Spread):
         self.items, self.span = items, span
         counts = [Counter(item.words) for item in items]
-        found_in = Counter(t for c in counts for t in c)
-        n, mean = len(items), sum(len(i.words) for i in items) / len(items)
-        rarity = {t: log(1 + (n - df + 0.5) / (df + 0.5)) for t, df in found_in.items()}
         postings: dict[bytes, tuple[list[int], list[float]]] = defaultdict(lambda: ([], []))
         for number, c in enumerate(counts):
-            norm = K1 * (1 - B + B * len(items[number].words) / mean)
-            parts = {t: rarity[t] * tf * (K1 + 1) / (tf + norm) for t, tf in c.items()}
+            norm = K1 * (1 - B + B * len(items[number].words) / spread.mean)
+            parts = {t: spread.rarity(t) * tf * (K1 + 1) / (tf + norm) for t, tf in c.items()}
             whole = sum(parts.values())
             for t, weight in parts.items():
                 postings[t][0].append(number)
@@ -154,7 +167,7 @@ class Index:
         self.block = np.array([b for m in blocks for b in m], dtype=np.int64)
         self.most = np.array([w for m in blocks for w in m.values()])
         self.top = np.array([max(w) for _, w in self.postings] + [0.0])
-        self.n_blocks = -(-n // BLOCK)
+        self.n_blocks = -(-len(items) // BLOCK)
 
     def passages(self, terms: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """Starts, and distinct terms, of the passages whose terms could reach the threshold."""
@@ -209,6 +222,7 @@ class Searcher:
     """Indexes by length class over one bounded part of the test set."""
 
     texts: list[tuple[object, bytes]]
+    spread: Spread
 
     @cached_property
     def indexes(self) -> list[Index]:
@@ -217,7 +231,7 @@ class Searcher:
             item = Item.of(id_, text)
             if item:
                 classes[max(4, (len(item.words) - 1).bit_length())].append(item)
-        return [Index(items, 1 << c) for c, items in sorted(classes.items())]
+        return [Index(items, 1 << c, self.spread) for c, items in sorted(classes.items())]
 
     @cached_property
     def vocabulary(self) -> dict[bytes, int]:
@@ -234,7 +248,7 @@ class Searcher:
         return tables
 
     def __getstate__(self):
-        return {"texts": self.texts}
+        return {"texts": self.texts, "spread": self.spread}
 
     def search(self, text: bytes, threshold: float) -> list[tuple[object, float, float, float]]:
         """(item id, score, question overlap, answer overlap), in order of the index."""
@@ -253,19 +267,59 @@ class Searcher:
         return [(self.indexes[at].items[n].id, *hit) for (at, n), hit in sorted(best.items())]
 
 
+def _words_of(texts: list[bytes]) -> dict[str, pa.Array]:
+    """Number of words, and distinct words of those with enough to be searched."""
+    words = [normal_words(t) for t in texts]
+    kinds = [list(dict.fromkeys(w)) if len(w) >= SHINGLE else [] for w in words]
+    return {
+        "n_words": pa.array([len(w) for w in words], pa.int32()),
+        "words": pa.array(kinds, pa.list_(pa.binary())),
+    }
+
+
+def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(_row, _item, _text, n_words, words) of items with a text."""
+    rows = benchmark.select(
+        F.monotonically_increasing_id().alias("_row"),
+        F.col(item_id).alias("_item"),
+        F.col(text).cast("string").alias("_text"),
+    ).filter(F.col("_text").isNotNull())
+    keys = ["_row", "_item", "_text"]
+    return per_text(rows, keys, "_text", "n_words int, words array<binary>", _words_of)
+
+
+def not_searchable(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(item_id, n_words) of the items with a text of too few words to be told from chance."""
+    short = _items(benchmark, item_id, text).filter(F.col("n_words") < SHINGLE)
+    return short.select(F.col("_item").alias(item_id), "n_words")
+
+
 def searchers(benchmark: DataFrame, item_id: str, text: str) -> list[Searcher]:
-    """The test set in parts of bounded size. Items without text are no items."""
-    rows = benchmark.select(F.col(item_id), F.col(text)).filter(F.col(text).isNotNull())
+    """The test set in parts of bounded size. Items without text are no items.
+
+    In how many items a word is, is counted by Spark over the whole test set; each item comes with
+    the counts of its own words.
+    """
+    known = staged(_items(benchmark, item_id, text))
+    searched = known.filter(F.col("n_words") >= SHINGLE)
+    n, mean = searched.agg(F.count(F.lit(1)), F.avg("n_words")).first()
+    each = searched.select("_row", F.explode("words").alias("word"))
+    spread = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    held = each.join(spread, "word").groupBy("_row").agg(F.collect_list(F.struct("word", "n")).alias("held"))
+    rows = searched.select("_row", "_item", "_text").join(held, "_row")
     parts: list[Searcher] = []
-    held: list[tuple[object, bytes]] = []
+    texts: list[tuple[object, bytes]] = []
+    found_in: dict[bytes, int] = {}
     size = 0
-    for row in rows.orderBy(item_id, text).toLocalIterator():
-        held.append((row[0], row[1].encode()))
-        size += len(held[-1][1])
-        if len(held) >= INDEX_ITEMS or size >= INDEX_BYTES:
-            parts.append(Searcher(held))
-            held, size = [], 0
-    return [*parts, Searcher(held)] if held else parts
+    for row in rows.orderBy("_item", "_text", "_row").toLocalIterator():
+        texts.append((row["_item"], row["_text"].encode()))
+        found_in |= {bytes(w): count for w, count in row["held"]}
+        size += len(texts[-1][1])
+        if len(texts) >= INDEX_ITEMS or size >= INDEX_BYTES:
+            parts.append(Searcher(texts, Spread(n, mean, found_in)))
+            texts, found_in, size = [], {}, 0
+    discard(known)
+    return [*parts, Searcher(texts, Spread(n, mean, found_in))] if texts else parts
 
 
 def _per_document(
@@ -291,7 +345,7 @@ def contaminated(
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every verified leak.
 
     Null and empty texts leak nothing; items with fewer than SHINGLE words cannot be told from
-    chance and are never found; repeated rows are reported each; empty tables give an empty
+    chance and are never found (`not_searchable` lists them); repeated rows are reported each; empty tables give an empty
     result; other columns are not looked at. No shuffle.
     """
     ids, items = docs.schema[doc_id].dataType, benchmark.schema[item_id].dataType

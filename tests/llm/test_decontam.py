@@ -13,6 +13,14 @@ def items(n: int, seed: int) -> list[tuple[int, str]]:
     return [(i, f"{prose(rng, rng.randint(8, 60))}. {prose(rng, rng.randint(1, 12))}") for i in range(n)]
 
 
+def searcher_of(tests: list[tuple[int, str]]) -> D.Searcher:
+    """All items in one part; words counted plainly."""
+    words = [w for w in (D.normal_words(t.encode()) for _, t in tests) if len(w) >= D.SHINGLE]
+    found_in = Counter(w for item in words for w in set(item))
+    spread = D.Spread(len(words), sum(map(len, words)) / len(words), found_in)
+    return D.Searcher([(i, t.encode()) for i, t in tests], spread)
+
+
 def test_wand_equals_exhaustive_scores():
     rng = random.Random(1)
     for _ in range(300):
@@ -49,7 +57,7 @@ def brute(text: str | None, index: D.Index, threshold: float) -> dict[int, tuple
 def test_search_against_brute_force():
     rng = random.Random(2)
     tests = items(60, 3)
-    searcher = D.Searcher([(i, t.encode()) for i, t in tests])
+    searcher = searcher_of(tests)
     for _ in range(60):
         parts = [prose(rng, rng.randint(0, 150))]
         for _ in range(rng.randint(0, 2)):
@@ -87,20 +95,41 @@ def test_planted_passages_go_and_others_stay(spark):
 def test_a_leak_across_blocks_of_a_long_text():
     rng = random.Random(6)
     tests = items(5, 7)
-    searcher = D.Searcher([(i, t.encode()) for i, t in tests])
+    searcher = searcher_of(tests)
     before = prose(rng, 400_000)[: (1 << 20) - 40]
     text = f"{before} {tests[2][1]} {prose(rng, 50)}".encode()
     assert [hit[0] for hit in searcher.search(text, D.THRESHOLD)] == [2]
 
 
-def test_several_indexes_find_the_same(spark, monkeypatch):
+def test_scores_do_not_depend_on_the_parts(spark, monkeypatch):
     tests, rng = items(30, 8), random.Random(9)
-    rows = [(i, f"{prose(rng, 20)} {t} {prose(rng, 20)}", "en", "s", 1) for i, t in tests]
+    common = prose(rng, 6)
+    tests = [(i, f"{common} {t}" if i % 2 else t) for i, t in tests] + [(99, "too short"), (98, None)]
+    rows = []
+    for i, t in tests[:30]:
+        words = t.split()
+        for n in range(0, len(words) // 3, 2):
+            words[n] = "other"
+        rows += [(i, f"{prose(rng, 20)} {t} {prose(rng, 20)}", "en", "s", 1)]
+        rows += [(100 + i, f"{prose(rng, 20)} {' '.join(words)} {prose(rng, 20)}", "en", "s", 1)]
     benchmark = spark.createDataFrame(tests, ITEMS)
-    one = {(r.doc_id, r.item_id) for r in D.contaminated(table(spark, rows), benchmark).collect()}
+
+    def found():
+        hits = D.contaminated(table(spark, rows), benchmark).collect()
+        return {(r.doc_id, r.item_id, round(r.score, 9)) for r in hits}
+
+    one = found()
+    plain = searcher_of(tests[:30])
+    want = {
+        (r[0], i, round(score, 9)) for r in rows for i, score, *_ in plain.search(r[1].encode(), D.THRESHOLD)
+    }
+    assert one == want and len(one) >= 30
     monkeypatch.setattr(D, "INDEX_ITEMS", 7)
-    assert {(r.doc_id, r.item_id) for r in D.contaminated(table(spark, rows), benchmark).collect()} == one
-    assert D.drop_contaminated(table(spark, rows), benchmark).count() == 0
+    assert found() == one and len(D.searchers(benchmark, "item_id", "text")) == 5
+    leaks = {i for i, _, _ in one}
+    assert D.drop_contaminated(table(spark, rows), benchmark).count() == len(rows) - len(leaks)
+    short = D.not_searchable(benchmark).collect()
+    assert [(r.item_id, r.n_words) for r in short] == [(99, 2)]
 
 
 def test_awkward_tables(spark):
