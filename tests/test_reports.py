@@ -107,3 +107,27 @@ def test_chart_rows_number_known_notices(spark):
             for n, s, p in (("b", 1.0, None), ("a", None, 2.0), ("c", None, None))]
     got = R.chart_rows(results(spark, *rows)).orderBy("sequence").collect()
     assert [(r["sequence"], r["notice_id"]) for r in got] == [(1, "a"), (2, "b")]
+
+
+def test_quantiles_rank_only_their_brackets(spark, monkeypatch):
+    from standcarbon.operators import ordering
+
+    ranked, seen = ordering._ranked, []
+
+    def counted(df, key, weight):
+        seen.append(df.count())
+        return ranked(df, key, weight)
+
+    monkeypatch.setattr(ordering, "_ranked", counted)
+    # Distinct values with one that holds a third of the rows, and some that are no numbers.
+    value = F.when(F.col("id") % 3 == 0, 1e6).otherwise(F.col("id") * 7919 % 1_000_003 + 0.5)
+    df = spark.range(600_000).select(F.when(F.col("id") % 1000 == 1, float("nan")).otherwise(value).alias("v"))
+    shares = [0.0, 0.1, 0.5, 0.66, 0.9, 1.0]
+    row = exact_quantiles(df, "v", shares).first()
+    values = np.array([r.v for r in df.filter("not isnan(v)").collect()])
+    assert tuple(row) == pytest.approx(tuple(np.quantile(values, shares)), rel=1e-12)
+    assert seen[0] < 0.005 * 600_000
+    # Brackets that miss their ranks are opened.
+    monkeypatch.setattr(F, "percentile_approx", lambda c, p, _: F.transform(p, lambda x: F.lit(3.5)))
+    missed = exact_quantiles(df, "v", [0.5]).first()
+    assert missed.q1 == pytest.approx(np.quantile(values, 0.5), rel=1e-12)
