@@ -51,7 +51,8 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
     """
     value = F.col("_v")
     values = df.select(F.col(column).cast("double").alias("_v")).filter(F.abs(value) < float("inf"))
-    values = staged(values)
+    # Three passes read the values; a staged table is scanned for the one column.
+    values = values if hasattr(df, "_staged") else staged(values)
     shares = [min(1.0, max(0.0, p + e)) for p in probabilities for e in (-2 * SKETCH_ERROR, 2 * SKETCH_ERROR)]
     sketch = F.percentile_approx("_v", F.array(*map(F.lit, shares)), round(1 / SKETCH_ERROR))
     n, ends = values.agg(F.count(F.lit(1)), sketch).first()

@@ -1225,6 +1225,24 @@ def export_table(spark, folder):
     return R.export_table(run(spark, folder).results())
 
 
+@query(
+    sql(
+        f"""select notice_id, source_layer, submitted_date, harvest_type, cadastral_ref,
+{rounded("planned_volume_m3", "minx", "maxy")} from notices_raw""",
+        "notices_raw",
+    )
+)
+def csv_round_trip(spark, folder):
+    """Notices written as CSV and read back: text, dates, numbers and unknown values stay."""
+    chosen = X.notices_raw(spark, folder).select(
+        "notice_id", "source_layer", "submitted_date", "harvest_type", "cadastral_ref",
+        "planned_volume_m3", "minx", "maxy",
+    )
+    path = scratch_path(spark, "csv")
+    files.write_csv(chosen, path)
+    return spark.read.schema(chosen.schema).option("header", True).csv(path)
+
+
 @query(
     sql(
         """select row_number() over (order by notice_id) as sequence, notice_id,
