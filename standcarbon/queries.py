@@ -30,7 +30,7 @@ from standcarbon.oracles import (
 from standcarbon.plans import analysis as N
 from standcarbon.plans import reports as R
 from standcarbon.session import scratch_path, staged
-from standcarbon.sources import files, layers, snapshots, stores
+from standcarbon.sources import files, layers, pages, snapshots, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -227,8 +227,8 @@ def load_notices(spark, folder):
     return loaded.select("notice_id", "source_layer", "submitted_date", "planned_volume_m3")
 
 
-def _feature_page() -> Column:
-    """A notice as a GeoJSON page of one feature."""
+def _feature() -> Column:
+    """A notice as a GeoJSON feature."""
     ring = F.array(
         F.array("minx", "miny"), F.array("maxx", "miny"), F.array("maxx", "maxy"),
         F.array("minx", "maxy"), F.array("minx", "miny"),
@@ -250,14 +250,15 @@ def _feature_page() -> Column:
         )
     )
     return F.concat(
-        F.lit('{"type":"FeatureCollection","features":[{"type":"Feature","properties":'),
-        properties,
-        F.lit(',"geometry":'),
-        shape,
-        F.lit("}]}"),
+        F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), shape, F.lit("}")
     )
 
 
+def _feature_page() -> Column:
+    """A notice as a GeoJSON page of one feature."""
+    return F.concat(F.lit('{"type":"FeatureCollection","features":['), _feature(), F.lit("]}"))
+
+
 @query(
     sql(
         f"""select notice_id, submitted_date, {rounded("planned_volume_m3", "minx", "miny", "maxx",
@@ -278,6 +279,49 @@ def read_features(spark, folder):
     )
 
 
+_PAGED = ("teatis_id", "kuupaev", "raiutav_maht")
+_PAGED_CAP = 1_250
+
+
+def _paged(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
+    """Both layers as pages of 200 features, in the order of layer and id, read back as a source."""
+    raw = X.notices_raw(spark, folder)
+    path = scratch_path(spark, "pages")
+    key = F.concat_ws("/", "source_layer", "notice_id").alias("key")
+    pages.write_pages(raw.select(key, _feature().alias("feature")), path, "key", "feature", 200)
+    return pages.read_pages(spark, path, _PAGED, limit, 200)
+
+
+@query(
+    sql(
+        f"""select notice_id, submitted_date, {rounded("planned_volume_m3", "minx", "miny", "maxx",
+"maxy")} from notices_raw where submitted_date >= date '1995-01-01' and submitted_date < date
+'1997-07-01' and minx <= 8000 and maxy >= 1000""",
+        "notices_raw",
+    )
+)
+def paged_features(spark, folder):
+    """Period and box are filters of the page source, so other features never leave the pages."""
+    features = _paged(spark, folder).filter(
+        "kuupaev >= '1995-01-01' and kuupaev < '1997-07-01' and minx <= 8000.0 and maxy >= 1000.0"
+    )
+    return layers.canonical_notices(features.drop(*G.BOUNDS)).select(
+        "notice_id", "submitted_date", "planned_volume_m3", *G.BOUNDS
+    )
+
+
+@query(
+    sql(
+        f"""select notice_id, {rounded("minx", "miny", "maxx", "maxy")} from (select *, row_number()
+over (order by source_layer, notice_id) as rn from notices_raw) where rn <= {_PAGED_CAP}""",
+        "notices_raw",
+    )
+)
+def paged_cap(spark, folder):
+    """The first features of a layer: only the pages that hold them are opened."""
+    return _paged(spark, folder, _PAGED_CAP).select(F.col("teatis_id").alias("notice_id"), *G.BOUNDS)
+
+
 @query(
     sql(
         """select source_layer, count(*) as n_features, count(*) + case source_layer when 'archive'
@@ -297,10 +341,10 @@ def guarded_layers(spark, folder):
             deep = '"geometry":' + '{"type":"GeometryCollection","geometries":[' * 9
             page = F.replace(page, F.lit('"geometry":{'), F.lit(deep + "{"))
             page = F.replace(page, F.lit("}}]}"), F.lit("}" + "]}" * 9 + "}]}"))
-        pages = raw.filter(F.col("source_layer") == ("current" if name == "closed" else name))
+        rows = raw.filter(F.col("source_layer") == ("current" if name == "closed" else name))
         torn = F.when((F.col("notice_id") % 5 == 0) & (F.lit(name) == "archive"), F.substr(page, F.lit(1), F.lit(30)))
         path = scratch_path(spark, name)
-        pages.select(F.explode(F.array_compact(F.array(page, torn))).alias("value")).write.text(path)
+        rows.select(F.explode(F.array_compact(F.array(page, torn))).alias("value")).write.text(path)
         readers[name] = lambda seen, path=path: files.read_features(
             spark, path, ["teatis_id"], lines=True, seen=seen
         )

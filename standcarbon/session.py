@@ -25,6 +25,8 @@ def tune(spark: SparkSession) -> SparkSession:
         # A batch that goes to Python ends at either bound, so long rows cannot pile up.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
         "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+        # Filters reach the source of feature pages.
+        "spark.sql.python.filterPushdown.enabled": "true",
     }.items():
         spark.conf.set(key, value)
     _ship(spark)

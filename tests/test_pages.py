@@ -1,0 +1,130 @@
+"""Feature pages as a data source: pushed filters, the cap, broken and short pages."""
+
+import json
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from standcarbon.sources import files, pages
+
+
+def square(x, size=1.0):
+    ring = [[x, 0.0], [x + size, 0.0], [x + size, size], [x, size], [x, 0.0]]
+    return {"type": "Polygon", "coordinates": [ring]}
+
+
+def feature(i, geometry=None, **more):
+    return {"type": "Feature", "properties": {"id": f"n{i}", **more}, "geometry": geometry}
+
+
+def stored(folder, *held):
+    Path(folder).mkdir(exist_ok=True)
+    for i, features in enumerate(held):
+        Path(folder, f"page-{i:04}.json").write_text(json.dumps({"features": features}))
+    return f"file://{folder}"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+AWKWARD = [
+    feature(0, square(0.0), v=1.50, flag=True, more={"a": [1, 2.0, None, "õ"]}),
+    feature(1, {"type": "MultiPolygon", "coordinates": [square(5.0)["coordinates"], square(9.0)["coordinates"]]}),
+    feature(2, {"type": "GeometryCollection", "geometries": [square(2.0), {"type": "Point", "coordinates": [99, 99]}]}),
+    feature(3, {"type": "Point", "coordinates": [1, 2]}, v=None),
+    feature(4),
+    {"type": "Feature", "properties": None, "geometry": square(1.0)},
+    {"type": "Feature"},
+]
+
+
+def test_equals_the_plain_reader(spark, tmp_path):
+    path = stored(tmp_path / "p", AWKWARD, [], [feature(5, square(3.0), v="x")])
+    names = ["id", "v", "flag", "more"]
+    ours, plain = pages.read_pages(spark, path, names), files.read_features(spark, path, names)
+    read = lambda df: sorted(map(str, df.select(*names[:3], "geometry").collect()))
+    assert read(ours) == read(plain)
+    nested = {r["id"]: r["more"] for r in ours.collect()}
+    assert nested["n0"] == '{"a":[1,2.0,null,"õ"]}' and nested["n1"] is None
+    boxes = {r["id"]: (r["minx"], r["miny"], r["maxx"], r["maxy"]) for r in ours.collect()}
+    assert boxes["n1"] == (5.0, 0.0, 10.0, 1.0) and boxes["n2"] == (2.0, 0.0, 3.0, 1.0)
+    assert boxes["n3"] == boxes["n4"] == (None,) * 4
+
+
+@pytest.mark.parametrize(
+    "condition",
+    ["id = 'n3'", "id >= 'n2' and id < 'n7'", "id in ('n1', 'n9')", "minx > 2.0", "maxx <= 4.0",
+     "v is not null", "id like 'n1%'", "id is null", "minx < double('NaN')", "not id = 'n1'"],
+)
+def test_filters(spark, tmp_path, condition):
+    rows = [feature(i, square(float(i)) if i % 3 else None, v=i if i % 2 else None) for i in range(12)]
+    df = pages.read_pages(spark, stored(tmp_path / "p", rows[:5], rows[5:], [{}]), ["id", "v"])
+    kept = df.filter(condition)
+    # The same rows, with nothing that the source could be asked for.
+    whole = spark.createDataFrame(df.collect(), df.schema).filter(condition)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_filters_reach_the_pages(spark, tmp_path):
+    df = pages.read_pages(spark, stored(tmp_path / "p", [feature(1, square(1.0))]), ["id"])
+    assert " Filter " not in plan(df.filter("minx <= 5.0 and id >= 'n0'"))
+    assert " Filter " in plan(df.filter(F.length("id") > 1)), "what the source cannot compare stays"
+
+
+def test_cap_opens_no_later_page(spark, tmp_path):
+    rows = [feature(i) for i in range(12)]
+    path = stored(tmp_path / "p", rows[:4], rows[4:8], rows[8:])
+    Path(tmp_path, "p", "page-0002.json").write_text("{ broken")
+    read = lambda **more: {
+        r["id"] for r in pages.read_pages(spark, path, ["id"], page_features=4, **more).collect()
+    }
+    assert read(limit=6) == {f"n{i}" for i in range(6)}
+    assert read(limit=8) == {f"n{i}" for i in range(8)}
+    assert read(limit=0) == set()
+    for more in ({}, {"limit": 9}):
+        with pytest.raises(Exception, match="page-0002.json is broken"):
+            read(**more)
+
+
+def test_cap_counts_before_filters(spark, tmp_path):
+    rows = [feature(i) for i in range(8)]
+    df = pages.read_pages(spark, stored(tmp_path / "p", rows[:4], rows[4:]), ["id"], 5, 4)
+    assert {r["id"] for r in df.filter("id >= 'n3'").collect()} == {"n3", "n4"}
+
+
+def test_cap_needs_full_pages(spark, tmp_path):
+    rows = [feature(i) for i in range(9)]
+    short = stored(tmp_path / "s", rows[:3], rows[3:7])
+    with pytest.raises(Exception, match="3 features and is not the last"):
+        pages.read_pages(spark, short, ["id"], 6, 4).collect()
+    assert pages.read_pages(spark, short, ["id"]).count() == 7
+    with pytest.raises(Exception, match="over 4"):
+        pages.read_pages(spark, stored(tmp_path / "l", rows), ["id"], 6, 4).collect()
+
+
+def test_a_page_is_a_task(spark, tmp_path, monkeypatch):
+    rows = [feature(i) for i in range(3)]
+    stored(tmp_path / "p", *[[r] for r in rows])
+    reader = pages._Reader(pages.StructType([]), {"path": str(tmp_path / "p")})
+    assert [len(p.pages) for p in reader.partitions()] == [3]
+    monkeypatch.setattr(pages, "TASK_BYTES", 100)
+    assert [len(p.pages) for p in reader.partitions()] == [1, 1, 1]
+
+
+def test_empty_folder_and_names(spark, tmp_path):
+    assert pages.read_pages(spark, stored(tmp_path / "p"), ["id"]).count() == 0
+    with pytest.raises(Exception, match="named like a column"):
+        pages.read_pages(spark, stored(tmp_path / "q"), ["Geometry"]).schema  # noqa: B018
+    with pytest.raises(ValueError):
+        pages.read_pages(spark, "file:///nowhere", ["id"], limit=-1)
+
+
+def test_written_pages(spark, tmp_path):
+    df = spark.range(7).select(
+        "id", F.concat(F.lit('{"properties":{"id":"'), "id", F.lit('"}}')).alias("feature")
+    )
+    pages.write_pages(df, f"file://{tmp_path}/p", "id", "feature", 3)
+    back = pages.read_pages(spark, f"file://{tmp_path}/p", ["id"], 4, 3)
+    assert sorted(r["id"] for r in back.collect()) == list("0123")
