@@ -10,9 +10,12 @@ from itertools import pairwise
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from standcarbon.session import staged
+
 BLOCK_BYTES = 1 << 20
 # Kernels get the texts of a batch in pieces of about this size, so a worker's memory depends
 # neither on the number nor on the length of the rows in a batch, but for a single longer text.
@@ -104,9 +107,21 @@ def offsets(sizes: Iterable[int]) -> list[tuple[int, int]]:
 
 
 def scattered(df: DataFrame, rows: int) -> DataFrame:
-    """A sample of about `rows` to twice `rows` rows, whatever ids or texts repeat."""
+    """A sample of about `rows` to twice `rows` rows, whatever ids or texts repeat.
+
+    Rows of a Parquet table are drawn by part and place in its file, so neither the splits of a
+    scan nor a lost executor change the sample. Any other table is written to the shared folder
+    first, so that it has such places.
+    """
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        df = staged(df)
+    name = F.col("_metadata.file_name")
+    part = F.regexp_extract(name, r"^part-(\d+)", 1)
+    place = F.xxhash64(F.when(part == "", name).otherwise(part), "_metadata.row_index")
     every = max(1, df.count() // rows)
-    return df.filter(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0)
+    return df.filter(F.pmod(place, F.lit(every)) == 0)
 
 
 def unused(name: str, df: DataFrame) -> str:
