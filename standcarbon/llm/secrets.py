@@ -24,6 +24,8 @@ SAMPLE_DOCS = 20_000
 WINDOWS = 8_000
 WINDOWS_PER_DOC = 4
 WINDOW = 32
+# Added to the order of windows without a secret.
+_PLAIN = 1 << 53
 REMEMBERED = 250_000
 LONGEST_REMEMBERED = 100
 
@@ -181,6 +183,26 @@ def _labels(spans: list[tuple[int, int]], base: list[tuple[str, int, int, int]])
     return labels
 
 
+# Shapes that a masked secret may take: letters and digits in lower case, in upper case, in both.
+_DISGUISES = (6, 7, 13)
+
+
+def _masked(classes: np.ndarray, labels: np.ndarray, kind: int) -> np.ndarray:
+    """A window without its keywords, its secret in another shape; the marks around it stay.
+
+    The patterns would not find this secret, so the field has to learn it from the marks and from
+    length and spread of its characters.
+    """
+    rest, space = np.divmod(classes - 1, 2)
+    rest, spread = np.divmod(rest, N_SPREADS)
+    rest, _ = np.divmod(rest, N_WORDS)
+    kinds, length = np.divmod(rest, N_LENGTHS)
+    value = (labels != crf.OUTSIDE) & (length >= 2)
+    kinds = np.where(value, kind, kinds)
+    made = 1 + (((kinds * N_LENGTHS + length) * N_WORDS * N_SPREADS) + spread) * 2 + space
+    return np.where(classes > 0, made, 0)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kernel: training windows of the texts, around pattern spans and in the middle."""
     classes = known_classes()
@@ -199,12 +221,16 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 piece = array[start : start + WINDOW].astype(np.int64)
                 marks = labels[start : start + WINDOW]
                 gap = WINDOW - len(piece)
-                # Windows with a secret come first when the sample is cut to its bound.
-                rank = int.from_bytes(hashlib.blake2b(raw, digest_size=6).digest()) * 8 + i
-                rows["order"].append(rank if marks.any() else rank + (1 << 52))
-                rows["file"].append(file_class(raw))
-                rows["classes"].append(np.pad(piece, (0, gap)).astype("<u2").tobytes())
-                rows["labels"].append(np.pad(marks, (0, gap)).astype("u1").tobytes())
+                rank = int.from_bytes(hashlib.blake2b(raw, digest_size=6).digest()) * 32 + 4 * i
+                versions = [piece]
+                if marks.any():
+                    versions += [_masked(piece, marks, kind) for kind in _DISGUISES]
+                for j, version in enumerate(versions):
+                    # Windows with a secret come first when the sample is cut to its bound.
+                    rows["order"].append(rank + j if marks.any() else rank + _PLAIN)
+                    rows["file"].append(file_class(raw))
+                    rows["classes"].append(np.pad(version, (0, gap)).astype("<u2").tobytes())
+                    rows["labels"].append(np.pad(marks, (0, gap)).astype("u1").tobytes())
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(rows["order"], pa.int64()),
@@ -219,12 +245,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, text: str) -> crf.Model:
     """The field for this corpus. Without any pattern span in the sample it tags nothing."""
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # Bounded by the sample: at most WINDOWS_PER_DOC + 1 windows of 3 x WINDOW bytes a document.
+    # Bounded by the sample: at most 4 x (WINDOWS_PER_DOC + 1) windows of 3 x WINDOW bytes a document.
     schema = "order long, file int, classes binary, labels binary"
     found = scattered(texts, SAMPLE_DOCS).mapInArrow(_windows, schema).collect()
-    cut = 1 << 52
     # Half of the bound is kept for windows without a secret.
-    with_, without = ([r for r in found if (r["order"] < cut) == x] for x in (True, False))
+    with_, without = ([r for r in found if (r["order"] < _PLAIN) == x] for x in (True, False))
     halves = (sorted(h)[: WINDOWS // 2] for h in (with_, without if with_ else []))
     rows = [r for half in halves for r in half]
     read = lambda name, kind: np.frombuffer(b"".join(bytes(r[name]) for r in rows), kind)

@@ -97,6 +97,28 @@ def test_field_adds_what_the_patterns_miss(spark):
     assert any(text[a:b] == missed for a, b in found)
 
 
+def test_masked_secrets_are_found(spark):
+    """Held-out secrets that no pattern can find: other names, values of all shapes."""
+    rng = random.Random(11)
+    texts = texts_with_secrets(600, 4)
+    shapes = {"upper": "ABCDEFGHJK0123456789", "mixed": "aBcDeFgHjK0123456789", "lower": "ghjkmnpqrs0123456789"}
+    held = []
+    for shape, letters in shapes.items():
+        for _ in range(60):
+            value = "".join(rng.choices(letters, k=rng.choice([24, 30, 36])))
+            text = f'{prose(rng, 8)} {rng.choice(["cred", "login", "signing"])} = "{value}" {prose(rng, 5)}'
+            assert plain_spans(text) == ""
+            held.append((shape, value, text))
+    clean = [prose(rng, 60) for _ in range(200)]
+    model = S.train(table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts + clean[:100])]), "text")
+    tagger = S.Tagger(model)
+    found = dict.fromkeys(shapes, 0)
+    for (shape, value, text), (_, added) in zip(held, tagger.texts([t.encode() for *_, t in held]), strict=True):
+        found[shape] += any(text[a:b] == value for _, a, b in added)
+    assert min(found.values()) >= 0.9 * 60, found
+    assert not any(added for _, added in tagger.texts([t.encode() for t in clean[100:]]))
+
+
 def test_awkward_tables(spark):
     rows = awkward_rows()
     got = S.scan(table(spark, rows, clashing=True)).collect()
